@@ -81,8 +81,15 @@ STATE_TEXTS = (
 )
 
 
+_SCHEMAS = {}
+
+
 def table(spark: SparkSession, sf_dir, name) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table; its schema is read from the file once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def pick(values, index: Column) -> Column:

@@ -5,6 +5,7 @@ from workpulse.checks import fixtures as X
 from workpulse.operators.filters import Offer
 from workpulse.plans import cases, payments
 
+NUDGE = 1e-9
 AS_OF = f"TIMESTAMP '{X.AS_OF:%Y-%m-%d %H:%M:%S}'"
 AFTER_LAST = "TIMESTAMP '2002-01-01 00:00:00'"
 HOURS = f'"{L.DEMAND}"'
@@ -43,7 +44,7 @@ def _days(start, end):
 
 
 def _r(expression, name, places=6):
-    return f"round({expression}, {places}) AS {name}"
+    return f"round({expression} + {NUDGE}, {places}) AS {name}"
 
 
 _BASE = f"""
@@ -247,7 +248,7 @@ d AS ({' UNION ALL '.join(
 _CASE_KPIS = f"""count(*) AS total, count_if(status = 'Finalizado')::BIGINT AS finished,
   count_if(status = 'Aberto')::BIGINT AS open, count_if("slaStatus" = 'No Prazo')::BIGINT AS on_time,
   count_if("slaStatus" = 'Em Atraso')::BIGINT AS late, {_r('avg(lead_time)', 'mean_lead')},
-  {_r('coalesce(sum("prejFinanc"), 0.0)', 'total_loss')}"""
+  {_r('coalesce(sum("prejFinanc"), 0.0)', 'total_loss', 2)}"""
 
 
 def _count(source, keys, name="total"):
@@ -257,12 +258,12 @@ def _count(source, keys, name="total"):
 
 
 def _rank(source, key, measure, name, table="f"):
-    return f"""{source} SELECT {key}, round(m, 6) AS {name}, row_number() OVER (ORDER BY m DESC NULLS LAST, {key})
+    return f"""{source} SELECT {key}, round(m + 1e-9, 6) AS {name}, row_number() OVER (ORDER BY m DESC NULLS LAST, {key})
       AS ranking FROM (SELECT {key}, {measure} AS m FROM {table} WHERE {key} IS NOT NULL GROUP BY {key})"""
 
 
 def _rank_count(source, key):
-    return _rank(source, key, "count(*)", "total").replace("round(m, 6)", "m")
+    return _rank(source, key, "count(*)", "total").replace("round(m + 1e-9, 6)", "m")
 
 
 def _mean(source, key, table="f"):
@@ -405,19 +406,19 @@ SQL = {
     "season_ratio": f"""{_LONG}, s AS (SELECT coalesce(sum({HOURS}) FILTER ("Temporada" = 'Alta'), 0.0) AS h,
         coalesce(sum({HOURS}) FILTER ("Temporada" = 'Baixa'), 0.0) AS l FROM f)
       SELECT round(h, 6) AS high_hours, round(l, 6) AS low_hours,
-        round((h / nullif(l, 0) - 1) * 100, 6) AS ratio_percent FROM s""",
+        round((h / nullif(l, 0) - 1) * 100 + 1e-9, 6) AS ratio_percent FROM s""",
     "hours_by_unit": _sum(['"Unidade"']),
     "hours_by_type": f"""{_LONG}, s AS (SELECT {TYPE}, sum({HOURS}) AS h FROM f GROUP BY 1)
-      SELECT {TYPE}, round(h, 6) AS {HOURS}, round(h / sum(h) OVER (), 6) AS share FROM s""",
+      SELECT {TYPE}, round(h, 6) AS {HOURS}, round(h / sum(h) OVER () + 1e-9, 6) AS share FROM s""",
     "hours_by_unit_type": _sum(['"Unidade"', TYPE]),
     "automation_count": f"""{_LONG}, s AS (SELECT {AUTO}, count(*) AS total FROM f WHERE lower({AUTO}) <> 'nan' GROUP BY 1)
-      SELECT {AUTO}, total, round(total / (sum(total) OVER ())::DOUBLE, 6) AS share FROM s""",
+      SELECT {AUTO}, total, round(total / (sum(total) OVER ())::DOUBLE + 1e-9, 6) AS share FROM s""",
     "automation_mean": f"""{_LONG} SELECT {AUTO}, {_r(f'avg({HOURS})', 'mean_hours')} FROM f GROUP BY 1""",
     "hierarchy_hours": f"""{_LONG}, s AS (SELECT "Processo", "Procedimento", "Atividade", "Tarefa", sum({HOURS}) AS h
         FROM f WHERE "Procedimento" IS NOT NULL AND "Atividade" IS NOT NULL AND "Tarefa" IS NOT NULL GROUP BY ALL)
       SELECT CAST(4 - bit_count(grouping("Processo", "Procedimento", "Atividade", "Tarefa")) AS INTEGER) AS level,
         "Processo", "Procedimento", "Atividade", "Tarefa", round(sum(h), 6) AS hours,
-        round(sum(h * h) / nullif(sum(h), 0), 6) AS color
+        round(sum(h * h) / nullif(sum(h), 0) + 1e-9, 6) AS color
       FROM s GROUP BY ROLLUP ("Processo", "Procedimento", "Atividade", "Tarefa")""",
     "top_processes": _top("Processo", 6),
     "top_procedures": _top("Procedimento", 6),
@@ -451,10 +452,10 @@ SQL = {
     "measures_by_city": _count(_CASES, ['"cidadeFato"', '"mddCorretSelecionada"']),
     "sla_share": f"""{_CASES}, p AS (SELECT 'slaStatus' AS kind, "slaStatus" AS label FROM f
         UNION ALL SELECT 'status', status FROM f)
-      SELECT kind, label, count(*) AS total, round(count(*) / (SELECT count(*) FROM f)::DOUBLE, 6) AS share
+      SELECT kind, label, count(*) AS total, round(count(*) / (SELECT count(*) FROM f)::DOUBLE + 1e-9, 6) AS share
       FROM p GROUP BY 1, 2""",
     "monthly_cases": _monthly("count(*)", "total"),
-    "monthly_loss": _monthly('round(coalesce(sum("prejFinanc"), 0.0), 6)', "loss"),
+    "monthly_loss": _monthly('round(coalesce(sum("prejFinanc"), 0.0), 2)', "loss"),
     "severity_pivot": f"""{_CASES} SELECT irregularidade, {', '.join(
         f'''count_if("gravidadeMaxima" = '{s}')::BIGINT AS "{s}"''' for s in L.SEVERITIES)}
       FROM f WHERE irregularidade IS NOT NULL GROUP BY 1""",

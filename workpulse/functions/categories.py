@@ -63,5 +63,7 @@ def department(text: Column, company: str | None = None) -> Column:
 
 
 def frequency_multiplier(text: Column) -> Column:
-    """Times per month of a frequency text."""
-    return translate_exact(F.lower(strip(text)), L.FREQUENCIES, L.FREQUENCY_OTHER)
+    """Times per month of a frequency text; only text that is not known as it stands is stripped."""
+    known = translate_exact(F.lower(text), L.FREQUENCIES)
+    stripped = translate_exact(F.lower(strip(text)), L.FREQUENCIES, L.FREQUENCY_OTHER)
+    return F.coalesce(known, stripped)

@@ -9,8 +9,10 @@ NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def number_or_null(text: Column) -> Column:
+    """A number. The guard runs first, since a failing cast costs an exception per row, and only text
+    that fails it is stripped and tried again."""
     bare = strip(text)
-    return F.when(bare.rlike(NUMBER), bare.try_cast("double"))
+    return F.when(text.rlike(NUMBER), text.try_cast("double")).when(bare.rlike(NUMBER), bare.try_cast("double"))
 
 
 def number_or_zero(text: Column) -> Column:

@@ -2,16 +2,17 @@
 
 from pyspark.sql import Column, functions as F
 
-# Spaces as Python sees them: Unicode white space and the four separator controls.
-_SPACE = r"[\s\x1c-\x1f]"
+# What Python's strip takes off: every character that counts as space.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:
-    return text.rlike(f"(?U)^{_SPACE}*$")
+    """Nothing but spaces; the pattern gives up at the first other character."""
+    return text.rlike(f"^[{SPACES}]*$")
 
 
 def first_match(text: Column, rules, otherwise: Column) -> Column:

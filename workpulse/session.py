@@ -18,6 +18,9 @@ def build_session(app="workpulse", master=None, partitions=None):
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
         .config("spark.sql.session.timeZone", "UTC")
+        # Call sites of column expressions help debugging but cost several driver round trips each.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
