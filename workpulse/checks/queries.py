@@ -89,10 +89,9 @@ def _bad_records(spark, sf_dir):
     """Records read and strays skipped, each page holding one of both."""
     landed = X.landed_cases(spark, sf_dir)
     texts = records.unwrap(X.pages(landed, X.stray_texts()))
-    read = F.col("data").isNotNull()
     return records.parse(texts, schemas.REQUEST).agg(
-        F.count_if(read).alias("kept"),
-        F.count_if(~read).alias("skipped"),
+        F.count_if("sound").alias("kept"),
+        F.count_if(~F.col("sound")).alias("skipped"),
     )
 
 

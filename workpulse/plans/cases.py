@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from workpulse import labels as L
 from workpulse.functions import categories, numbers
 from workpulse.functions.dates import lead_days, mean_days, shown_date
+from workpulse.operators.columns import computed_once
 from workpulse.operators.filters import Choice, Offer, Validity, all_members
 from workpulse.operators.grouping import count_by, mean_lead_by, sum_or_zero
 from workpulse.operators.ranking import with_position
@@ -22,11 +23,9 @@ CHOICES = (
 
 
 def clean_cases(flat: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Typed and labelled cases, each with its lead time and SLA status.
-
-    Labels come in a step of their own, so the SLA reads them instead of working them out again.
-    """
-    labelled = flat.withColumns(
+    """Typed and labelled cases, each with its lead time and SLA status."""
+    labelled = computed_once(
+        flat,
         {
             "lead_time": lead_days(F.col("startDate"), F.col("endDate"), as_of),
             "prejFinanc": numbers.loss_amount(F.col("prejFinanc")),
@@ -35,7 +34,7 @@ def clean_cases(flat: DataFrame, as_of: dt.datetime) -> DataFrame:
             "unidade": categories.unit(F.col("unidade")),
             "tbIrregularidade___1": categories.irregularity(F.col("tbIrregularidade___1")),
             "status": categories.status(F.col("status")),
-        }
+        },
     )
     sla = categories.sla_status(F.col("gravidadeMaxima"), F.col("tbIrregularidade___1"), F.col("lead_time"))
     return labelled.withColumn("slaStatus", sla)

@@ -6,6 +6,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from workpulse import labels as L
 from workpulse import schemas
 from workpulse.functions.dates import wall_time
+from workpulse.operators.columns import computed_once
 
 _BROKEN = "_broken"
 
@@ -39,23 +40,25 @@ def unwrap(pages: DataFrame, list_name="requests") -> DataFrame:
 
 
 def parse(records: DataFrame, schema: StructType) -> DataFrame:
-    """Parsed ``data`` beside each ``record`` text; ``data`` is null where the text is no record."""
+    """Columns of each ``record`` text, with ``sound`` telling whether it is a record at all.
+
+    The parse is a generator's output, so filters on its columns do not parse the text again.
+    """
     with_broken = StructType(schema.fields + [StructField(_BROKEN, StringType())])
-    parsed = records.withColumn(
-        "data", F.from_json("record", with_broken, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN})
-    )
-    sound = F.ltrim("record").startswith("{") & F.col(f"data.{_BROKEN}").isNull()
-    return parsed.withColumn("data", F.when(sound, F.col("data")))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
+    parsed = records.select("record", F.inline(F.array(F.from_json("record", with_broken, options))))
+    sound = F.coalesce(F.ltrim("record").startswith("{") & F.col(_BROKEN).isNull(), F.lit(False))
+    return parsed.withColumn("sound", sound).drop(_BROKEN)
 
 
 def sound_records(records: DataFrame, schema: StructType) -> DataFrame:
     """Columns of the records; what is no record is left out."""
-    return parse(records, schema).where("data is not null").select(*[f"data.{name}" for name in schema.names])
+    return parse(records, schema).where("sound").select(*schema.names)
 
 
 def skipped_records(records: DataFrame, schema: StructType) -> DataFrame:
     """Texts that are no record."""
-    return parse(records, schema).where("data is null").select("record")
+    return parse(records, schema).where("not sound").select("record")
 
 
 def asked(rows: DataFrame, process=None, statuses=None) -> DataFrame:
@@ -97,7 +100,7 @@ def with_times(rows: DataFrame) -> DataFrame:
     """Start and end as wall times, where they still are text."""
     texts = {field.name for field in rows.schema.fields if isinstance(field.dataType, StringType)}
     times = {name: wall_time(F.col(name)) for name in ("startDate", "endDate") if name in texts}
-    return rows.withColumns(times) if times else rows
+    return computed_once(rows, times) if times else rows
 
 
 def read_cases(spark, path, process=L.CASE_PROCESS, statuses=L.REQUESTED_STATUS, **layout) -> DataFrame:
