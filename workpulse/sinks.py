@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 
 def write_csv(frame: DataFrame, path, mode="overwrite"):
     """CSV parts with a header; times as wall time, null as an empty cell."""
-    frame.write.mode(mode).csv(path, header=True, timestampNTZFormat="yyyy-MM-dd HH:mm:ss[.SSSSSS]", escape='"')
+    writer = frame.write.mode(mode).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
+    writer.csv(path, header=True, escape='"')
 
 
 def write_parquet(frame: DataFrame, path, mode="overwrite", partition_by=()):

@@ -77,23 +77,28 @@ def flatten(rows: DataFrame, fields, null_is_blank=schemas.NULL_IS_BLANK) -> Dat
     Names and values are turned round once, so the first position found is the last in the form; position
     and element access compile into the stage, unlike a filter with a lambda.
     """
-    turned = rows.withColumn("_names", F.reverse("formFields.field")).withColumn(
-        "_values", F.reverse("formFields.value")
-    )
+    turned = rows.withColumns(
+        {"_names": F.reverse("formFields.field"), "_values": F.reverse("formFields.value")}
+    ).withColumns({f"_at_{i}": _position(name) for i, name in enumerate(fields)})
     kept = [name for name in rows.columns if name not in fields and name != "formFields"]
-    columns = [_form_value(name, name in rows.columns, name in null_is_blank) for name in fields]
+    columns = [
+        _form_value(F.col(f"_at_{i}"), name, name in rows.columns, name in null_is_blank).alias(name)
+        for i, name in enumerate(fields)
+    ]
     return turned.select(*kept, *columns)
 
 
-def _form_value(name, in_record, null_is_blank) -> Column:
-    position = F.array_position("_names", F.lit(name))
-    given = F.coalesce(position > 0, F.lit(False))
-    value = F.get("_values", position.cast("int") - 1)
+def _position(name) -> Column:
+    """Place of the field in the turned form, 0 when it is not given."""
+    return F.coalesce(F.array_position("_names", F.lit(name)), F.lit(0)).cast("int")
+
+
+def _form_value(position, name, in_record, null_is_blank) -> Column:
+    value = F.get("_values", position - 1)
+    given = position > 0
     if null_is_blank:
         value = F.when(given, F.coalesce(value, F.lit("")))
-    if in_record:
-        value = F.when(given, value).otherwise(F.col(name))
-    return value.alias(name)
+    return F.when(given, value).otherwise(F.col(name)) if in_record else value
 
 
 def with_times(rows: DataFrame) -> DataFrame:
