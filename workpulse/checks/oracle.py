@@ -315,8 +315,8 @@ _FLAT_OUT = """"processInstanceId", "startDate", "endDate", status, "gravidadeMa
 _FLAT_IDS = "CASE WHEN k % 5 = 4 THEN 'ARF-SolicitaçãodePagamentoAntecipado' ELSE 'ElaborarRelatoriodeSindicancia' END"
 
 
-def _shown_day(column):
-    return f"""coalesce(strftime({column}, '%d/%m/%Y'), '')"""
+def _shown_day(column, missing=""):
+    return f"""coalesce(strftime({column}, '%d/%m/%Y'), '{missing}')"""
 
 
 def _detail(pairs, shown):
@@ -366,8 +366,11 @@ SQL = {
           OR "endDate" <= TIMESTAMP '1999-06-30 23:59:59.999999')""",
     "window_bounds": """SELECT strftime(min(o_orderdate), '%Y-%m-%d') AS first_day, '2001-12-31' AS last_day
       FROM orders""",
-    "case_one": f"""{_CASES} SELECT "processInstanceId", "startDate", {_r('lead_time', 'lead_time')}, status, unidade
-      FROM f ORDER BY "startDate" NULLS LAST, "processInstanceId" LIMIT 1""",
+    "case_one": f"""{_CASES} SELECT "processInstanceId", {_shown_day('"startDate"', 'N/A')} AS "startDate",
+      {_shown_day('"endDate"', 'N/A')} AS "endDate", format('{{:.3f}}', lead_time) || ' dias' AS lead_time, status,
+      "slaStatus", unidade, "cidadeFato", "regiaoUnidade", "tbIrregularidade___1", "gravidadeMaxima", "nmInvestigado",
+      solicitante, 'R$' || coalesce(format('{{:.2f}}', "prejFinanc"), 'nan') AS "prejFinanc", "descFato", conclusao
+      FROM (SELECT * FROM f ORDER BY "startDate" NULLS LAST, "processInstanceId" LIMIT 1)""",
     "kpi_general": f"WITH {_LABELLED} SELECT {_CASE_KPIS} FROM clean WHERE {_IN_WINDOW}",
     "kpi_general_by_unit": f"WITH {_LABELLED} SELECT unidade, {_CASE_KPIS} FROM clean WHERE {_IN_WINDOW} GROUP BY unidade",
     "kpi_filtered": f"{_CASES} SELECT {_CASE_KPIS} FROM f",
@@ -397,6 +400,11 @@ SQL = {
     "rank_payment_units": _rank_count(_PAYMENTS, '"unidadeSolicitante"'),
     "rank_departments": _rank_count(_PAYMENTS, '"departamentoSolicitante"'),
     "rank_payment_lead": _rank(_PAYMENTS, '"unidadeSolicitante"', "avg(lead_time)", "mean_lead"),
+    "payment_one": f"""{_PAYMENTS} SELECT "processInstanceId", {_shown_day('"startDate"', 'N/A')} AS "startDate",
+      {_shown_day('"endDate"', 'N/A')} AS "endDate", format('{{:.1f}}', lead_time) || ' dias' AS lead_time, status,
+      "slaStatus", "unidadeSolicitante", "tpPagamento", "empresaPagamento", "departamentoSolicitante",
+      "nomeSolicitante", "funcaoSolicitante", observacao
+      FROM (SELECT * FROM f ORDER BY "startDate" NULLS LAST, "processInstanceId" LIMIT 1)""",
     "payment_detail": f"{_PAYMENTS} SELECT {_detail(L.PAYMENT_DETAIL, _DAYS_SHOWN)} FROM f",
     "vc_long": f"{_LONG} SELECT {_LONG_OUT} FROM long",
     "vc_filtered": f"{_LONG} SELECT {_LONG_OUT} FROM f",

@@ -138,7 +138,11 @@ def _kpi_general(spark, sf_dir):
 
 
 def _case_one(spark, sf_dir):
-    return rounded(first_case(_filtered_cases(spark, sf_dir)).select(ID, "startDate", "lead_time", "status", "unidade"))
+    return cases.card(first_case(_filtered_cases(spark, sf_dir)))
+
+
+def _payment_one(spark, sf_dir):
+    return payments.card(first_case(_filtered_payments(spark, sf_dir)))
 
 
 def _case_timeline(spark, sf_dir):
@@ -214,6 +218,7 @@ QUERIES = {
     "rank_payment_units": _of_payments(payments.rank_units),
     "rank_departments": _of_payments(payments.rank_departments),
     "rank_payment_lead": _of_payments(payments.rank_lead_units),
+    "payment_one": _payment_one,
     "payment_detail": _of_payments(payments.detail),
     # value chain
     "vc_long": lambda spark, sf_dir: rounded(X.chain_long(spark, sf_dir)),

@@ -28,6 +28,11 @@ def money_text(amount: Column) -> Column:
     return F.concat(F.lit("R$"), F.coalesce(F.format_number(amount, 2), F.lit("nan")))
 
 
+def fixed_text(value: Column, places: int) -> Column:
+    """Number with a fixed count of decimals and no separators."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{places}f", value)).otherwise("nan")
+
+
 def round_half_even(value: Column, places: int) -> Column:
     """Scale, round to the even neighbour, scale back."""
     scale = float(10**places)

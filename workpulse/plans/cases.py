@@ -115,6 +115,20 @@ def detail(cases: DataFrame) -> DataFrame:
     return cases.select(*[shown.get(name, F.col(name)).alias(heading) for name, heading in L.CASE_DETAIL])
 
 
+def card(case: DataFrame) -> DataFrame:
+    """What is shown of a chosen case: dates with a mark for none, days and money with fixed decimals."""
+    return case.select(
+        "processInstanceId",
+        shown_date(F.col("startDate"), "N/A").alias("startDate"),
+        shown_date(F.col("endDate"), "N/A").alias("endDate"),
+        F.concat(numbers.fixed_text(F.col("lead_time"), 3), F.lit(" dias")).alias("lead_time"),
+        *("status", "slaStatus", "unidade", "cidadeFato", "regiaoUnidade", "tbIrregularidade___1"),
+        *("gravidadeMaxima", "nmInvestigado", "solicitante"),
+        F.concat(F.lit("R$"), numbers.fixed_text(F.col("prejFinanc"), 2)).alias("prejFinanc"),
+        *("descFato", "conclusao"),
+    )
+
+
 def clean_activities(activities: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Activities in one of the kept states, with the days each took, rounded to two places."""
     named = activities.select(

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, functions as F
 
 from workpulse import labels as L
-from workpulse.functions import categories
+from workpulse.functions import categories, numbers
 from workpulse.functions.dates import lead_days, mean_days, shown_date
 from workpulse.operators.columns import computed_once
 from workpulse.operators.filters import Choice, Offer, Validity, all_members
@@ -84,3 +84,15 @@ def detail(payments: DataFrame) -> DataFrame:
     """Detail table with its headings and dates as shown."""
     shown = {"startDate": shown_date(F.col("startDate")), "endDate": shown_date(F.col("endDate"))}
     return payments.select(*[shown.get(name, F.col(name)).alias(heading) for name, heading in L.PAYMENT_DETAIL])
+
+
+def card(payment: DataFrame) -> DataFrame:
+    """What is shown of a chosen request: dates with a mark for none, days with one decimal."""
+    return payment.select(
+        "processInstanceId",
+        shown_date(F.col("startDate"), "N/A").alias("startDate"),
+        shown_date(F.col("endDate"), "N/A").alias("endDate"),
+        F.concat(numbers.fixed_text(F.col("lead_time"), 1), F.lit(" dias")).alias("lead_time"),
+        *("status", "slaStatus", "unidadeSolicitante", "tpPagamento", "empresaPagamento"),
+        *("departamentoSolicitante", "nomeSolicitante", "funcaoSolicitante", "observacao"),
+    )

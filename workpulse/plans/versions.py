@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from workpulse import labels as L
+from workpulse.operators.grouping import keyed
 
 
 def in_order(chosen):
@@ -18,7 +19,7 @@ def in_order(chosen):
 def rows_of(stacked: DataFrame, chosen) -> DataFrame:
     """Rows of the two versions that have process, procedure and activity."""
     ours = stacked.where(F.col("Versao").isin(list(in_order(chosen))))
-    return ours.dropna("any", subset=list(L.REQUIRED_COMPONENTS))
+    return keyed(ours, L.REQUIRED_COMPONENTS)
 
 
 def metrics(rows: DataFrame) -> DataFrame:
