@@ -210,3 +210,39 @@ def test_chosen_values_against_brute_force(spark, sf_dir):
         and (r.endDate < after if r.endDate else r.startDate < after)
     }
     assert got == expected and got
+
+
+def test_hot_case_is_split_over_tasks(spark, tmp_path):
+    """With joins by sort, the activities of a case that holds a third of them are read by several tasks."""
+    path = str(tmp_path / "activities")
+    hot = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string"))
+    made = spark.range(0, 300000, 1, 8).select(
+        hot.alias("processInstanceId"),
+        F.xxhash64("id").cast("string").alias("stateName"),
+        F.timestamp_seconds(F.xxhash64("id") % 10**9).cast("timestamp_ntz").alias("startDate"),
+        F.lit(None).cast("timestamp_ntz").alias("endDate"),
+    )
+    made.write.parquet(path)
+    chosen = spark.range(0, 300000, 1, 8).select(hot.alias("processInstanceId"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        rows = cases.timeline(chosen, spark.read.parquet(path)).agg(
+            F.count(F.lit(1)), F.max(F.struct("startDate", "stateName", "endDate"))
+        )
+        assert rows.collect()[0][0] == 300000
+        assert "SortMergeJoin(skew=true)" in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
