@@ -190,8 +190,8 @@ def flat_payments(spark, sf_dir) -> DataFrame:
     return _select(_orders(spark, sf_dir), _envelope() | sla | _payment_fields())
 
 
-def clean_cases(spark, sf_dir) -> DataFrame:
-    return cases.clean_cases(flat_cases(spark, sf_dir), AS_OF)
+def clean_cases(spark, sf_dir, only=None) -> DataFrame:
+    return cases.clean_cases(flat_cases(spark, sf_dir), AS_OF, only)
 
 
 def clean_payments(spark, sf_dir) -> DataFrame:

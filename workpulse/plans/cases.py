@@ -22,20 +22,32 @@ CHOICES = (
 )
 
 
-def clean_cases(flat: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Typed and labelled cases, each with its lead time and SLA status."""
-    labelled = computed_once(
-        flat,
-        {
-            "lead_time": lead_days(F.col("startDate"), F.col("endDate"), as_of),
-            "prejFinanc": numbers.loss_amount(F.col("prejFinanc")),
-            "gravidadeMaxima": categories.severity(F.col("gravidadeMaxima")),
-            "mddCorretSelecionada": categories.measure(F.col("mddCorretSelecionada")),
-            "unidade": categories.unit(F.col("unidade")),
-            "tbIrregularidade___1": categories.irregularity(F.col("tbIrregularidade___1")),
-            "status": categories.status(F.col("status")),
-        },
-    )
+def clean_cases(flat: DataFrame, as_of: dt.datetime, only=None) -> DataFrame:
+    """Typed and labelled cases, each with its lead time and SLA status.
+
+    ``only`` names the derived columns a narrow report needs; the others are left out, and the scan does
+    not read their source. All are made by default.
+    """
+    labels = {
+        "lead_time": lead_days(F.col("startDate"), F.col("endDate"), as_of),
+        "prejFinanc": numbers.loss_amount(F.col("prejFinanc")),
+        "gravidadeMaxima": categories.severity(F.col("gravidadeMaxima")),
+        "mddCorretSelecionada": categories.measure(F.col("mddCorretSelecionada")),
+        "unidade": categories.unit(F.col("unidade")),
+        "tbIrregularidade___1": categories.irregularity(F.col("tbIrregularidade___1")),
+        "status": categories.status(F.col("status")),
+    }
+    wanted = {*labels, "slaStatus"} if only is None else set(only)
+    unknown = wanted - {*labels, "slaStatus"}
+    if unknown:
+        raise ValueError(f"not a derived column: {sorted(unknown)}")
+    if "slaStatus" in wanted:
+        wanted |= {"gravidadeMaxima", "tbIrregularidade___1", "lead_time"}
+    made = {name: label for name, label in labels.items() if name in wanted}
+    rows = flat.drop(*[name for name in labels if name not in wanted])
+    labelled = computed_once(rows, made) if made else rows
+    if "slaStatus" not in wanted:
+        return labelled
     sla = categories.sla_status(F.col("gravidadeMaxima"), F.col("tbIrregularidade___1"), F.col("lead_time"))
     return labelled.withColumn("slaStatus", sla)
 
