@@ -5,13 +5,34 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from workpulse.llm import mixing, tokenids
+from workpulse.llm import decontamination, language, mixing, quality, tokenids, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(_table(spark, sf_dir, "pages"))
+
+
+def op3_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
+def op5_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -21,8 +42,38 @@ def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
+    "op3_quadratic_discriminant": op3_quadratic_discriminant,
+    "op4_family_svm": op4_family_svm,
+    "op5_pivot_topk": op5_pivot_topk,
+    "op7_string_tiling": op7_string_tiling,
     "op8_pareto_mix": op8_pareto_mix,
     "op10_simple8b": op10_simple8b,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op1_warc": """
+        WITH rows AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS size, sha1(coalesce(html, '')) AS digest FROM pages
+        ), kept AS (
+            SELECT digest, max(page_id) AS kept FROM rows WHERE size >= 1000 GROUP BY digest
+        )
+        SELECT page_id, size AS payload_bytes, rows.digest AS payload_digest,
+            CASE WHEN kept IS NOT NULL AND (page_id IS NULL OR page_id < kept) THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id IS NULL OR page_id < kept THEN kept END AS refers_to
+        FROM rows LEFT JOIN kept ON rows.digest = kept.digest
+    """,
+    "op5_pivot_topk": """
+        WITH good AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scores AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM good q JOIN good c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scores
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
+}

@@ -12,6 +12,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 SLICE = 1 << 19  # bytes of text worked on at once; a longer text is a slice of its own
+PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])  # white space and all other signs of ASCII
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _FOLDED = _BYTE.copy()
@@ -69,12 +70,15 @@ def parts(column, most: int = SLICE):
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words in bytes, and the index of each text's first word (with the count at the end)."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words in bytes, and the index of each text's first word (with the count at the end).
+
+    ``between`` marks the bytes that part words.
+    """
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~_WHITE[data]
+    inside = ~between[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.empty(n, bool)

@@ -132,7 +132,7 @@ class Writer:
     def __init__(self, path: str):
         system, place = file_system(path)
         system.create_dir(os.path.dirname(place), recursive=True)
-        self.out = system.open_output_stream(place)
+        self.out = system.open_output_stream(place, compression=None)
         self.out.write(MARK)
         self.offsets, self.words, self.ids, self.rows = [np.zeros(1, np.int64)], 0, 0, []
         self.held = np.zeros(0, np.uint64)
