@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from workpulse.llm import decontamination, language, mixing, quality, tokenids, topk, warc
+from workpulse.llm import decontamination, language, mixing, neardup, quality, tokenids, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(_table(spark, sf_dir, "pages"))
 
 
+def op2_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -43,6 +47,7 @@ def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_lsh_forest": op2_lsh_forest,
     "op3_quadratic_discriminant": op3_quadratic_discriminant,
     "op4_family_svm": op4_family_svm,
     "op5_pivot_topk": op5_pivot_topk,
