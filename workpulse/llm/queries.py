@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from workpulse.llm import decontamination, language, mixing, neardup, quality, tokenids, topk, warc
+from workpulse.llm import decontamination, language, licenses, mixing, neardup, quality, repeats, tokenids, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -41,6 +45,10 @@ def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op9_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(_table(spark, sf_dir, "documents"))
+
+
 def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path(tokenids.VOCABULARY))
 
@@ -51,8 +59,10 @@ QUERIES = {
     "op3_quadratic_discriminant": op3_quadratic_discriminant,
     "op4_family_svm": op4_family_svm,
     "op5_pivot_topk": op5_pivot_topk,
+    "op6_license_windows": op6_license_windows,
     "op7_string_tiling": op7_string_tiling,
     "op8_pareto_mix": op8_pareto_mix,
+    "op9_prefix_free_parsing": op9_prefix_free_parsing,
     "op10_simple8b": op10_simple8b,
 }
 
