@@ -3,7 +3,7 @@
 Features are counts of hashed byte trigrams and of hashed words over the whole text, A-Z lowered; their square roots are
 scaled to length one. Families are told apart by one-versus-rest machines, related languages by one machine a pair and a
 vote. Machines minimise the squared hinge loss by Newton steps on a bounded sample of labelled documents:
-at most about ``PER_LANGUAGE`` of each language, chosen by a hash of the id. Everything else covers all documents.
+about ``PER_LANGUAGE`` of each language and ``SAMPLE`` in all at most (but ``LEAST`` of a language), chosen by a hash of the id. Everything else covers all documents.
 
 A text that is null or has no letter is ``und`` with score 0; so is every text if nothing can be learned. A language outside
 the family table is a family of its own. Repeated rows are scored alike; a null id is not held out. An empty table gives no rows.
@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from workpulse.llm.text import parts, word_values, words
 
-PER_LANGUAGE = 2000
+PER_LANGUAGE = 1000
+SAMPLE = 6000
+LEAST = 20
 MOST_LANGUAGES = 500
 DIM = 4096
 STEPS = 12
@@ -74,8 +76,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def fit_machine(rows: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    """Weights and bias of a linear machine: Newton steps with conjugate gradients on the squared hinge loss, classes weighed alike."""
-    rows = np.hstack([rows, np.ones((len(rows), 1), np.float32)])
+    """Weights of a linear machine, the last of them its bias if the last column holds ones: Newton steps with conjugate gradients on the squared hinge loss, classes weighed alike."""
     signs = signs.astype(np.float32)
     share = np.where(signs > 0, 0.5 / max(1, (signs > 0).sum()), 0.5 / max(1, (signs < 0).sum()))
     cost = (share * COST * 10 * len(rows) ** 0.5).astype(np.float32)
@@ -155,9 +156,11 @@ def fit(docs: DataFrame) -> Model | None:
     known = docs.select("doc_id", "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     # Counting needs no text: texts without a letter may be counted, which only makes the sample smaller.
     counted = docs.filter(~held_out() & F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    shares = {row.lang: min(1.0, PER_LANGUAGE / row["count"]) for row in counted.collect()}
-    if not shares:
+    counts = {row.lang: row["count"] for row in counted.collect()}
+    if not counts:
         return None
+    each = max(LEAST, min(PER_LANGUAGE, SAMPLE // len(counts)))
+    shares = {lang: min(1.0, each / count) for lang, count in counts.items()}
     place = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
     sample = known.filter(place < share[F.col("lang")]).select("lang", "text")
@@ -171,11 +174,12 @@ def fit(docs: DataFrame) -> Model | None:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i + k, 1), pa.array([at.astype("<u2").tobytes()]), pa.array([row[at].tobytes()])], ["lang", "bins", "counts"])
 
     # The hash keeps to the bound by chance; the limit does so for tables of few, often repeated ids.
-    got = sample.mapInArrow(rows, "lang string, bins binary, counts binary").limit(2 * PER_LANGUAGE * len(shares)).toArrow()
+    got = sample.mapInArrow(rows, "lang string, bins binary, counts binary").limit(2 * each * len(shares)).toArrow()
     got = got.sort_by([("lang", "ascending"), ("bins", "ascending"), ("counts", "ascending")])
     if not got.num_rows:
         return None
-    dense = np.zeros((got.num_rows, DIM), np.float32)
+    dense = np.zeros((got.num_rows, DIM + 1), np.float32)
+    dense[:, DIM] = 1
     for k, (bins, counts) in enumerate(zip(got["bins"].to_pylist(), got["counts"].to_pylist(), strict=True)):
         dense[k, np.frombuffer(bins, "<u2")] = np.frombuffer(counts, np.float32)
     return Model(dense, np.array(got["lang"].to_pylist(), object))
