@@ -34,6 +34,7 @@ COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 BITS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 END_ID = 2
 FILE_IDS = 1 << 24  # a task starts another file after so many ids
+MOST_TASKS = 10_000  # that read files back; beyond, a task reads several
 SLICE = 1 << 20
 _TAIL = np.array([32 < c < 127 and not chr(c).isalnum() and chr(c) != "'" for c in range(256)])
 _LETTER = np.array([c < 128 and chr(c).isalpha() for c in range(256)])
@@ -324,7 +325,8 @@ def read(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([doc_ids.cast(pa.int64()), pa.array(start + ends - counts), pa.array(counts), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
                     start += int(ends[-1])
 
-    files = placed.select("file", "start").repartition("file")
+    # A given number of partitions, or the adaptive planner would put the few bytes of the manifest, and so all files, into one task.
+    files = placed.select("file", "start").repartition(min(MOST_TASKS, max(1, manifest.count())), "file")
     return files.mapInArrow(rows, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 

@@ -31,6 +31,8 @@ LEAST = 1000
 FRAME = 1 << 20
 BUNDLE = 256 << 20  # plain bytes after which a task starts another bundle
 LEVEL = 3
+RUN = 16  # frames of a bundle that are read together
+MOST_TASKS = 10_000  # that read archives back; beyond, a task reads several runs
 DATE = "2024-01-01T00:00:00Z"
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # marks of the seekable format
 INDEX = "bundle string, frame bigint, frame_at bigint, frame_size bigint, record_at bigint, record_size bigint, page_id bigint"
@@ -200,8 +202,10 @@ def read(index: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(found, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    frames = index.filter("record_at = 0").select("bundle", "frame")
-    frames = frames.repartition("bundle", F.floor(F.col("frame") / 64)).sortWithinPartitions("bundle", "frame")
+    frames = index.filter("record_at = 0").select("bundle", "frame", F.floor(F.col("frame") / RUN).alias("run"))
+    # A given number of partitions, or the adaptive planner would put the few bytes of the index, and so all bundles, into one task.
+    tasks = min(MOST_TASKS, max(1, frames.select("bundle", "run").distinct().count()))
+    frames = frames.repartition(tasks, "bundle", "run").sortWithinPartitions("bundle", "frame").select("bundle", "frame")
     return frames.mapInArrow(rows, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
