@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from workpulse.llm.components import components
-from workpulse.llm.storage import stored
+from workpulse.llm.storage import scratch, stored
 from workpulse.llm.text import mixed, parts, shingles, word_values, words
 
 TREES, DEPTH, FIRST = 20, 5, 3
@@ -243,6 +243,11 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each document."""
+    with scratch(docs.sparkSession):
+        return stored(_near_duplicates(docs), "near-duplicates", keep=True)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     signed = stored(_signed(docs), "signed")
     named = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = stored(named.groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
@@ -268,6 +273,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component, columns as they are; rows that repeat a kept id go too. Rows without an id stay."""
-    kept = near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    kept = near_duplicates(docs).filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_kept")).agg((F.count(F.lit(1)) > 1).alias("_again"))
+    kept = stored(kept, "kept")
+    named = docs.filter("doc_id is not null")
+
+    def chosen(ids):
+        return named.join(ids, named["doc_id"] == ids["_kept"], "left_semi")
+
+    out = chosen(kept.filter("not _again")).unionByName(docs.filter("doc_id is null"))
+    again = kept.filter("_again")
+    return out if again.isEmpty() else out.unionByName(chosen(again).dropDuplicates(["doc_id"]))

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from workpulse.llm.storage import stored
+from workpulse.llm.storage import discard, scratch, stored
 from workpulse.llm.text import U64, mixed, parts, powers
 
 LENGTH = 400
@@ -198,6 +198,7 @@ def spans(docs: DataFrame) -> DataFrame:
     parse = stored(_parsed(docs), "parse")
     order = ["core", "context", "id", "mark", "place"]
     shared = stored(_repeated(parse, ["core"], order, _KEY).drop("edge"), "shared")
+    discard(parse)
     entries = shared.groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "mark", "place")).alias("at"))
     entries = stored(entries, "entries")
     open_cores = entries.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1")
@@ -251,4 +252,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return without_repeats(docs).drop("kept")
+    """The same without the bytes kept; stored, so that all tables on the way can go."""
+    with scratch(docs.sparkSession):
+        return stored(without_repeats(docs).drop("kept"), "digest", keep=True)

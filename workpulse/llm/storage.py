@@ -6,10 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow.fs as pafs
 
 _own: list[str] = []
+_open: list[list[str]] = []  # tables of the scratch blocks that are open
 
 
 def shared_folder(spark) -> str:
@@ -32,15 +34,47 @@ def new_folder(spark, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(frame, name: str = "table"):
+def stored(frame, name: str = "table", keep: bool = False):
     """Write ``frame`` as Parquet into the shared folder and read it back.
 
     The result has no lineage: a lost executor costs no recomputation, and later passes read only the columns they need.
+    Within a ``scratch`` block the table goes with the block, unless it is to ``keep``.
     """
     spark = frame.sparkSession
     path = new_folder(spark, name)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    if _open and not keep:
+        _open[-1].append(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _delete(spark, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(frame) -> None:
+    """Delete a stored table that nothing reads any more."""
+    path = frame.stored_at
+    _delete(frame.sparkSession, path)
+    for tables in _open:
+        if path in tables:
+            tables.remove(path)
+
+
+@contextmanager
+def scratch(spark):
+    """Delete the tables that are stored within the block at its end. What the block returns must be stored with ``keep``."""
+    tables: list[str] = []
+    _open.append(tables)
+    try:
+        yield
+    finally:
+        _open.remove(tables)
+        for path in tables:
+            _delete(spark, path)
 
 
 def file_system(path: str):
