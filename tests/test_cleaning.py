@@ -185,3 +185,16 @@ def test_known_sample_of_codes(texts):
 def test_fixture_codes_reach_every_rule(mapped):
     labels = set(mapped(C.irregularity, [code for code in CODES if code]))
     assert len(labels) == 20 + 2  # every rule, the omitted marker and the code without a rule
+
+
+@pytest.mark.parametrize(
+    "value, places",
+    [(0.25, 1), (1.25, 1), (0.0625, 3), (2.675, 2), (0.125, 2), (-0.125, 2), (-1.005, 2), (12345.5, 0), (1234567.891, 2), (0.0005, 3), (0.05, 1), (0.005, 2), (-0.0005, 3), (0.5, 0), (0.0004, 3), (-0.0004, 3), (0.0007, 3), (0.9996, 3), (0.00149, 3)],
+)
+def test_shown_numbers_round_the_exact_value_ties_to_even(spark, value, places):
+    shown = spark.range(1).select(N.fixed_text(F.lit(value), places).alias("t")).first().t
+    assert shown == f"{value:.{places}f}"
+
+
+def test_shown_null(spark):
+    assert spark.range(1).select(N.fixed_text(F.lit(None).cast("double"), 2).alias("t")).first().t == "nan"

@@ -46,6 +46,11 @@ def test_unknown_filter_is_refused(letters):
         all_members([Choice("x", Offer.NOT_NULL)], {"y": ["a"]})
 
 
+def test_a_text_is_no_choice(letters):
+    with pytest.raises(ValueError):
+        all_members([Choice("x", Offer.KEEP_NULL)], {"x": "abc"})
+
+
 def test_offered_values(letters):
     kept = offered_values(letters, [Choice("x", Offer.KEEP_NULL)])
     assert _values(kept, "value") == ["", "a", "b", "c", None]

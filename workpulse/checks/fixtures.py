@@ -17,6 +17,16 @@ AS_OF = dt.datetime(2001, 12, 31, 12)
 LAST_DAY = AS_OF.date()
 COMPANY = "ACME"
 CHOSEN_VERSIONS = ("Anterior", "Nova")
+# Choices of a user, null among them.
+CHOSEN_CASES = {
+    "status": ["Aberto", None],
+    "gravidadeMaxima": ["Grave", "Leve"],
+    "unidade": ["NATION_1", "NATION_7", "CEEM Boa Vista/Manaus", None],
+    "mddCorretSelecionada": ["Suspensão", "Não informada"],
+}
+CHOSEN_UNITS = ["NATION_2", "Não informada", None]
+CHOSEN_PAYMENTS = {"slaStatus": ["No Prazo"], "departamentoSolicitante": ["Financeiro", "Encomendas"]}
+CHOSEN_CHAIN = {"Unidade": ["ASIA"], "Temporada": ["Baixa"], "Tipo de Procedimento": ["Apoio", "Gerencial"]}
 CHAIN_UNITS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 
 # Every irregularity rule, then blank, explicit null, a field not given, and a code without a rule.
@@ -190,8 +200,8 @@ def flat_payments(spark, sf_dir) -> DataFrame:
     return _select(_orders(spark, sf_dir), _envelope() | sla | _payment_fields())
 
 
-def clean_cases(spark, sf_dir, only=None) -> DataFrame:
-    return cases.clean_cases(flat_cases(spark, sf_dir), AS_OF, only)
+def clean_cases(spark, sf_dir) -> DataFrame:
+    return cases.clean_cases(flat_cases(spark, sf_dir), AS_OF)
 
 
 def clean_payments(spark, sf_dir) -> DataFrame:
@@ -249,6 +259,28 @@ def stray_texts() -> Column:
     return pick(("17", '"solto"', "null", "[1,2]"), F.col("processInstanceId").cast("bigint") % 4)
 
 
+# Kinds of landed pages, by the case's id: plain, with a stray, cut off, an error, no list under the list's name, and
+# records without process or state.
+PAGE_KINDS = 7
+
+
+def mixed_pages(spark, sf_dir) -> DataFrame:
+    """Pages of every kind, a case each."""
+    landed = landed_cases(spark, sf_dir)
+    kind = F.col("processInstanceId").cast("bigint") % PAGE_KINDS
+    landed = landed.withColumn("processId", F.when(kind != 5, F.col("processId")))
+    landed = landed.withColumn("status", F.when(kind != 6, F.col("status")))
+    text = F.to_json(F.struct(*landed.columns), {"ignoreNullFields": "false"})
+    page = (
+        F.when(kind == 1, F.concat(F.lit('{"requests":['), stray_texts(), F.lit(","), text, F.lit("]}")))
+        .when(kind == 2, F.concat(F.lit('{"requests":['), F.substring(text, 1, 40)))
+        .when(kind == 3, F.lit('{"error":"denied"}'))
+        .when(kind == 4, F.concat(F.lit('{"requests":'), text, F.lit("}")))
+        .otherwise(F.concat(F.lit('{"requests":['), text, F.lit("]}")))
+    )
+    return landed.select(page.alias("page"))
+
+
 def requests_from_pages(spark, sf_dir) -> DataFrame:
     rows = records.sound_records(records.unwrap(pages(landed_cases(spark, sf_dir))), schemas.REQUEST)
     asked = records.asked(rows, L.CASE_PROCESS, L.REQUESTED_STATUS)

@@ -251,9 +251,9 @@ _CASE_KPIS = f"""count(*) AS total, count_if(status = 'Finalizado')::BIGINT AS f
   {_r('coalesce(sum("prejFinanc"), 0.0)', 'total_loss', 2)}"""
 
 
-def _count(source, keys, name="total"):
+def _count(source, keys, name="total", also="TRUE"):
     columns = ", ".join(keys)
-    given = " AND ".join(f"{key} IS NOT NULL" for key in keys)
+    given = " AND ".join([f"{key} IS NOT NULL" for key in keys] + [also])
     return f"{source} SELECT {columns}, count(*) AS {name} FROM f WHERE {given} GROUP BY {columns}"
 
 
@@ -327,12 +327,35 @@ _DAYS_SHOWN = {"startDate": _shown_day('"startDate"'), "endDate": _shown_day('"e
                "lead_time": "round(lead_time, 6)"}
 _CASE_SHOWN = _DAYS_SHOWN | {"prejFinanc": """'R$' || coalesce(format('{:,.2f}', "prejFinanc"), 'nan')"""}
 
+_FIRST = """(SELECT * FROM f ORDER BY "startDate" NULLS LAST, "processInstanceId" LIMIT 1)"""
+_CASE_CARDS = f"""{_CASES} SELECT "processInstanceId", {_shown_day('"startDate"', 'N/A')} AS "startDate",
+  {_shown_day('"endDate"', 'N/A')} AS "endDate", format('{{:.3f}}', lead_time) || ' dias' AS lead_time, status,
+  "slaStatus", unidade, "cidadeFato", "regiaoUnidade", "tbIrregularidade___1", "gravidadeMaxima", "nmInvestigado",
+  solicitante, 'R$' || coalesce(format('{{:.2f}}', "prejFinanc"), 'nan') AS "prejFinanc", "descFato", conclusao"""
+_PAYMENT_CARDS = f"""{_PAYMENTS} SELECT "processInstanceId", {_shown_day('"startDate"', 'N/A')} AS "startDate",
+  {_shown_day('"endDate"', 'N/A')} AS "endDate", format('{{:.1f}}', lead_time) || ' dias' AS lead_time, status,
+  "slaStatus", "unidadeSolicitante", "tpPagamento", "empresaPagamento", "departamentoSolicitante",
+  "nomeSolicitante", "funcaoSolicitante", observacao"""
+
+
+def _chosen(choices):
+    """The user's choices as a condition; null is a choice like any other."""
+    kept = []
+    for column, values in choices.items():
+        known = f'"{column}" IN ({_list([value for value in values if value is not None])})'
+        kept.append(f'({known} OR "{column}" IS NULL)' if None in values else known)
+    return " AND ".join(kept)
+
+
 SQL = {
     "src_requests": f"""WITH {_FLAT} SELECT {_FLAT_OUT} FROM flat WHERE k % 5 <> 4
       AND upper(status) IN ('OPEN', 'FINALIZED')""",
     "src_payments": f"""WITH {_PAYMENTS_CLEAN} SELECT * EXCLUDE (k) FROM pay WHERE k % 5 = 4
       AND upper(status) IN ('OPEN', 'FINALIZED')""",
-    "bad_records": "SELECT count(*) AS kept, count(*) AS skipped FROM orders",
+    "bad_records": f"""WITH kinds AS (SELECT o_orderkey % {X.PAGE_KINDS} AS kind FROM orders), ends AS (
+      SELECT unnest(CASE kind WHEN 0 THEN ['sound'] WHEN 1 THEN ['sound', 'stray element'] WHEN 2 THEN ['broken page']
+        WHEN 5 THEN ['no process id'] WHEN 6 THEN ['no status'] ELSE ['no list'] END) AS outcome FROM kinds)
+      SELECT outcome, count(*) AS total FROM ends GROUP BY outcome""",
     "flatten_requests": f'WITH {_FLAT} SELECT {_FLAT_OUT}, {_FLAT_IDS} AS "processId" FROM flat',
     "activities_clean": f"{_ACTIVITIES} SELECT * REPLACE (round(lead_time, 6) AS lead_time) FROM a",
     "src_wide": f"WITH {_WIDE} SELECT * FROM wide",
@@ -366,11 +389,14 @@ SQL = {
           OR "endDate" <= TIMESTAMP '1999-06-30 23:59:59.999999')""",
     "window_bounds": """SELECT strftime(min(o_orderdate), '%Y-%m-%d') AS first_day, '2001-12-31' AS last_day
       FROM orders""",
-    "case_one": f"""{_CASES} SELECT "processInstanceId", {_shown_day('"startDate"', 'N/A')} AS "startDate",
-      {_shown_day('"endDate"', 'N/A')} AS "endDate", format('{{:.3f}}', lead_time) || ' dias' AS lead_time, status,
-      "slaStatus", unidade, "cidadeFato", "regiaoUnidade", "tbIrregularidade___1", "gravidadeMaxima", "nmInvestigado",
-      solicitante, 'R$' || coalesce(format('{{:.2f}}', "prejFinanc"), 'nan') AS "prejFinanc", "descFato", conclusao
-      FROM (SELECT * FROM f ORDER BY "startDate" NULLS LAST, "processInstanceId" LIMIT 1)""",
+    "case_one": f"{_CASE_CARDS} FROM {_FIRST}",
+    "case_cards": f"{_CASE_CARDS} FROM f",
+    "kpi_chosen": f"{_CASES} SELECT {_CASE_KPIS} FROM f WHERE {_chosen(X.CHOSEN_CASES)}",
+    "kpi_units": f"""WITH {_LABELLED} SELECT {_CASE_KPIS} FROM clean
+      WHERE {_IN_WINDOW} AND {_chosen({"unidade": X.CHOSEN_UNITS})}""",
+    "payments_chosen": _count(_PAYMENTS, ['"unidadeSolicitante"'], also=_chosen(X.CHOSEN_PAYMENTS)),
+    "vc_chosen": f"""{_LONG} SELECT "Unidade", {TYPE}, {_r(f'sum({HOURS})', HOURS)} FROM f
+      WHERE {_chosen(X.CHOSEN_CHAIN)} GROUP BY ALL""",
     "kpi_general": f"WITH {_LABELLED} SELECT {_CASE_KPIS} FROM clean WHERE {_IN_WINDOW}",
     "kpi_general_by_unit": f"WITH {_LABELLED} SELECT unidade, {_CASE_KPIS} FROM clean WHERE {_IN_WINDOW} GROUP BY unidade",
     "kpi_filtered": f"{_CASES} SELECT {_CASE_KPIS} FROM f",
@@ -400,11 +426,8 @@ SQL = {
     "rank_payment_units": _rank_count(_PAYMENTS, '"unidadeSolicitante"'),
     "rank_departments": _rank_count(_PAYMENTS, '"departamentoSolicitante"'),
     "rank_payment_lead": _rank(_PAYMENTS, '"unidadeSolicitante"', "avg(lead_time)", "mean_lead"),
-    "payment_one": f"""{_PAYMENTS} SELECT "processInstanceId", {_shown_day('"startDate"', 'N/A')} AS "startDate",
-      {_shown_day('"endDate"', 'N/A')} AS "endDate", format('{{:.1f}}', lead_time) || ' dias' AS lead_time, status,
-      "slaStatus", "unidadeSolicitante", "tpPagamento", "empresaPagamento", "departamentoSolicitante",
-      "nomeSolicitante", "funcaoSolicitante", observacao
-      FROM (SELECT * FROM f ORDER BY "startDate" NULLS LAST, "processInstanceId" LIMIT 1)""",
+    "payment_one": f"{_PAYMENT_CARDS} FROM {_FIRST}",
+    "payment_cards": f"{_PAYMENT_CARDS} FROM f",
     "payment_detail": f"{_PAYMENTS} SELECT {_detail(L.PAYMENT_DETAIL, _DAYS_SHOWN)} FROM f",
     "vc_long": f"{_LONG} SELECT {_LONG_OUT} FROM long",
     "vc_filtered": f"{_LONG} SELECT {_LONG_OUT} FROM f",

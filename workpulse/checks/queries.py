@@ -33,26 +33,21 @@ def rounded(frame: DataFrame) -> DataFrame:
     return frame.select(*columns)
 
 
-# The derived columns that the default choices test.
-TESTED = ("gravidadeMaxima", "mddCorretSelecionada")
+def _filtered_cases(spark, sf_dir, chosen=None):
+    return cases.filtered(X.clean_cases(spark, sf_dir), EVERYTHING, chosen)
 
 
-def _filtered_cases(spark, sf_dir, only=None):
-    return cases.filtered(X.clean_cases(spark, sf_dir, only), EVERYTHING)
+def _filtered_payments(spark, sf_dir, chosen=None):
+    return payments.filtered(X.clean_payments(spark, sf_dir), EVERYTHING, chosen)
 
 
-def _filtered_payments(spark, sf_dir):
-    return payments.filtered(X.clean_payments(spark, sf_dir), EVERYTHING)
+def _of_cases(plan, chosen=None):
+    """A report over the filtered cases."""
+    return lambda spark, sf_dir: rounded(plan(_filtered_cases(spark, sf_dir, chosen)))
 
 
-def _of_cases(plan, only=None):
-    """A report over the filtered cases; ``only`` are the derived columns it reads itself."""
-    derived = None if only is None else (*TESTED, *only)
-    return lambda spark, sf_dir: rounded(plan(_filtered_cases(spark, sf_dir, derived)))
-
-
-def _of_payments(plan):
-    return lambda spark, sf_dir: rounded(plan(_filtered_payments(spark, sf_dir)))
+def _of_payments(plan, chosen=None):
+    return lambda spark, sf_dir: rounded(plan(_filtered_payments(spark, sf_dir, chosen)))
 
 
 def _of_activities(plan):
@@ -79,7 +74,7 @@ def _relabelled(flat, clean, column):
 
 
 def _case_label(column):
-    return _relabelled(X.flat_cases, lambda rows: cases.clean_cases(rows, X.AS_OF, [column]), column)
+    return _relabelled(X.flat_cases, lambda rows: cases.clean_cases(rows, X.AS_OF), column)
 
 
 def _payment_label(column):
@@ -92,13 +87,8 @@ def _flatten_requests(spark, sf_dir):
 
 
 def _bad_records(spark, sf_dir):
-    """Records read and strays skipped, each page holding one of both."""
-    landed = X.landed_cases(spark, sf_dir)
-    texts = records.unwrap(X.pages(landed, X.stray_texts()))
-    return records.parse(texts, schemas.REQUEST).agg(
-        F.count_if("sound").alias("kept"),
-        F.count_if(~F.col("sound")).alias("skipped"),
-    )
+    """What becomes of pages of every kind, each kind counted."""
+    return records.outcomes(records.unwrap(X.mixed_pages(spark, sf_dir)), schemas.REQUEST)
 
 
 def _src_requests(spark, sf_dir):
@@ -110,12 +100,12 @@ def _src_payments(spark, sf_dir):
 
 
 def _lead_time(spark, sf_dir):
-    rows = X.clean_cases(spark, sf_dir, ["lead_time"])
+    rows = X.clean_cases(spark, sf_dir)
     return rounded(rows.select(ID, "startDate", "endDate", "lead_time"))
 
 
 def _sla_status(spark, sf_dir):
-    rows = X.clean_cases(spark, sf_dir, ["slaStatus"])
+    rows = X.clean_cases(spark, sf_dir)
     return rounded(rows.select(ID, "gravidadeMaxima", "tbIrregularidade___1", "lead_time", "slaStatus"))
 
 
@@ -130,12 +120,12 @@ def _filter_options(spark, sf_dir):
 
 
 def _window_filter(spark, sf_dir):
-    rows = X.clean_cases(spark, sf_dir, [])
+    rows = X.clean_cases(spark, sf_dir)
     return rows.where(SOME_YEARS.holds()).select(ID, "startDate", "endDate")
 
 
 def _window_bounds(spark, sf_dir):
-    days = bounds(X.clean_cases(spark, sf_dir, []), X.LAST_DAY)
+    days = bounds(X.clean_cases(spark, sf_dir), X.LAST_DAY)
     return days.select(*[F.date_format(name, "yyyy-MM-dd").alias(name) for name in days.columns])
 
 
@@ -152,7 +142,16 @@ def _payment_one(spark, sf_dir):
 
 
 def _case_timeline(spark, sf_dir):
-    return cases.timeline(_filtered_cases(spark, sf_dir, TESTED), X.clean_activities(spark, sf_dir))
+    return cases.timeline(_filtered_cases(spark, sf_dir), X.clean_activities(spark, sf_dir))
+
+
+def _general_of_units(spark, sf_dir):
+    return rounded(cases.kpis(cases.general(X.clean_cases(spark, sf_dir), EVERYTHING, X.CHOSEN_UNITS)))
+
+
+def _chain_chosen(spark, sf_dir):
+    rows = value_chain.filtered(X.chain_long(spark, sf_dir), X.CHOSEN_CHAIN)
+    return rounded(value_chain.hours_by_unit_type(rows))
 
 
 def _top(column, n):
@@ -161,7 +160,7 @@ def _top(column, n):
 
 def _monthly(plan):
     def query(spark, sf_dir):
-        rows = rounded(plan(_filtered_cases(spark, sf_dir, (*TESTED, "prejFinanc"))))
+        rows = rounded(plan(_filtered_cases(spark, sf_dir)))
         return rows.withColumn("month_end", F.date_format("month_end", "yyyy-MM-dd"))
 
     return query
@@ -199,23 +198,28 @@ QUERIES = {
     "window_filter": _window_filter,
     "window_bounds": _window_bounds,
     "case_one": _case_one,
+    "kpi_chosen": _of_cases(cases.kpis, X.CHOSEN_CASES),
+    "kpi_units": _general_of_units,
+    "payments_chosen": _of_payments(payments.by_unit, X.CHOSEN_PAYMENTS),
+    "vc_chosen": _chain_chosen,
     # cases
     "kpi_general": _kpi_general,
     "kpi_general_by_unit": flagship,
     "kpi_filtered": _of_cases(cases.kpis),
-    "cases_by_unit": _of_cases(cases.by_unit, ["unidade"]),
-    "irregularity_by_unit": _of_cases(cases.irregularities_by_unit, ["unidade"]),
-    "severity_totals": _of_cases(cases.severity_totals, []),
-    "lead_by_unit": _of_cases(cases.lead_by_unit, ["unidade", "lead_time"]),
-    "measures_by_unit": _of_cases(cases.measures_by_unit, ["unidade"]),
-    "rank_units": _of_cases(cases.rank_units, ["unidade"]),
-    "rank_irregularities": _of_cases(cases.rank_irregularities, ["tbIrregularidade___1"]),
-    "rank_measures": _of_cases(cases.rank_measures, []),
-    "rank_lead_units": _of_cases(cases.rank_lead_units, ["unidade", "lead_time"]),
+    "cases_by_unit": _of_cases(cases.by_unit),
+    "irregularity_by_unit": _of_cases(cases.irregularities_by_unit),
+    "severity_totals": _of_cases(cases.severity_totals),
+    "lead_by_unit": _of_cases(cases.lead_by_unit),
+    "measures_by_unit": _of_cases(cases.measures_by_unit),
+    "rank_units": _of_cases(cases.rank_units),
+    "rank_irregularities": _of_cases(cases.rank_irregularities),
+    "rank_measures": _of_cases(cases.rank_measures),
+    "rank_lead_units": _of_cases(cases.rank_lead_units),
     "lead_by_task": _of_activities(cases.lead_by_task),
     "rank_lead_tasks": _of_activities(cases.rank_lead_tasks),
     "case_timeline": _case_timeline,
     "case_detail": _of_cases(cases.detail),
+    "case_cards": _of_cases(cases.card),
     # payments
     "payment_kpis": _of_payments(payments.kpis),
     "payments_by_unit": _of_payments(payments.by_unit),
@@ -225,6 +229,7 @@ QUERIES = {
     "rank_departments": _of_payments(payments.rank_departments),
     "rank_payment_lead": _of_payments(payments.rank_lead_units),
     "payment_one": _payment_one,
+    "payment_cards": _of_payments(payments.card),
     "payment_detail": _of_payments(payments.detail),
     # value chain
     "vc_long": lambda spark, sf_dir: rounded(X.chain_long(spark, sf_dir)),
@@ -250,14 +255,14 @@ QUERIES = {
     "version_gap": _of_versions(lambda rows: versions.gap(rows, X.CHOSEN_VERSIONS)),
     "version_rows": X.chosen_versions,
     # reserve
-    "cases_by_city": _of_cases(trends.by_city, []),
-    "cases_by_region": _of_cases(trends.by_region, []),
-    "irregularity_by_place": _of_cases(trends.irregularities_by_place, []),
-    "irregularity_severity": _of_cases(trends.irregularity_severity, []),
-    "measures_by_city": _of_cases(trends.measures_by_city, []),
-    "sla_share": _of_cases(trends.status_shares, ["status", "slaStatus"]),
+    "cases_by_city": _of_cases(trends.by_city),
+    "cases_by_region": _of_cases(trends.by_region),
+    "irregularity_by_place": _of_cases(trends.irregularities_by_place),
+    "irregularity_severity": _of_cases(trends.irregularity_severity),
+    "measures_by_city": _of_cases(trends.measures_by_city),
+    "sla_share": _of_cases(trends.status_shares),
     "monthly_cases": _monthly(trends.monthly_cases),
     "monthly_loss": _monthly(trends.monthly_loss),
-    "severity_pivot": _of_cases(trends.severity_pivot, []),
-    "rank_cities": _of_cases(trends.rank_cities, []),
+    "severity_pivot": _of_cases(trends.severity_pivot),
+    "rank_cities": _of_cases(trends.rank_cities),
 }

@@ -1,5 +1,7 @@
 """Text to number, and numbers to shown text."""
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F
 
 from workpulse.functions.text import strip
@@ -29,8 +31,17 @@ def money_text(amount: Column) -> Column:
 
 
 def fixed_text(value: Column, places: int) -> Column:
-    """Number with a fixed count of decimals and no separators."""
-    return F.when(value.isNotNull(), F.format_string(f"%.{places}f", value)).otherwise("nan")
+    """Number with a fixed count of decimals and no separators; the exact value is rounded, ties to even.
+
+    Below one unit of the last place the formatter goes by the shortest text of the number, which may lie on a tie that
+    the number itself does not, so these are told by comparison.
+    """
+    unit = Decimal(1).scaleb(-places)
+    tie, size = float(unit / 2), F.abs(value)
+    up = size >= tie if Decimal(tie) > unit / 2 else size > tie
+    one = F.concat(F.when(value < 0, "-").otherwise(""), F.lit(f"{unit:f}"))
+    shown = F.replace(F.format_number(value, places), F.lit(","), F.lit(""))
+    return F.coalesce(F.when((size < float(unit)) & up, one).otherwise(shown), F.lit("nan"))
 
 
 def round_half_even(value: Column, places: int) -> Column:

@@ -120,10 +120,13 @@ HOURS_EACH = "Tempo (h)"
 DEMAND = "Demanda_Total_Horas"
 NO_AUTOMATION = "nan"
 HOURS_PER_PERSON = 200
+STAFF = "Colaboradores_Necessarios"
+STAFF_LONG = ("Métrica", "Valor")
 
 # Versions from the earliest on, their components and the words of the comparison.
 VERSIONS = ("Anterior", "Nova", "Arquitetura")
 COMPONENTS = ("Processo", "Procedimento", "Atividade", "Tarefa")
+COMPONENT_COUNTS = ("Qtd_Processos", "Qtd_Procedimentos", "Qtd_Atividades", "Qtd_Tarefas")
 REQUIRED_COMPONENTS = ("Processo", "Procedimento", "Atividade")
 KEPT, REMOVED, NEW = "Mantido", "Removido", "Novo"
 

@@ -6,6 +6,8 @@ from enum import Enum
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from workpulse.operators.columns import computed_once
+
 # The choice that stands for every offered value.
 ALL = "Todos"
 
@@ -26,10 +28,19 @@ class Choice:
     offer: Offer
     domain: tuple = ()
 
+    def _everything(self, chosen):
+        if isinstance(chosen, str) and chosen != ALL:
+            raise ValueError(f"{self.column}: choose a list of values, not the text {chosen!r}")
+        return ALL in chosen
+
+    def tests(self, chosen=ALL) -> bool:
+        """Whether the choice looks at its column at all."""
+        return not (self._everything(chosen) and self.offer is Offer.KEEP_NULL)
+
     def member(self, chosen=ALL) -> Column:
         """Rows the user's choice keeps. ``chosen`` is ``ALL`` or a list that may hold null."""
         field = F.col(f"`{self.column}`")
-        if chosen == ALL or ALL in chosen:
+        if self._everything(chosen):
             if self.offer is Offer.KEEP_NULL:
                 return F.lit(True)
             if self.offer is Offer.NOT_NULL:
@@ -52,6 +63,20 @@ def all_members(choices, chosen=None) -> Column:
     return kept
 
 
+def passing(frame: DataFrame, choices, chosen=None, validity=None) -> DataFrame:
+    """Rows that pass every multi-select and lie in the window.
+
+    The columns tested are worked out once, for the test and for the result; labels that neither reads stay plain columns and are pruned.
+    """
+    chosen = chosen or {}
+    kept = all_members(choices, chosen)
+    if validity is not None:
+        kept = kept & validity.holds()
+    tested = [choice.column for choice in choices if choice.tests(chosen.get(choice.column, ALL))]
+    rows = computed_once(frame, {name: F.col(f"`{name}`") for name in tested}) if tested else frame
+    return rows.where(kept)
+
+
 @dataclass(frozen=True)
 class Validity:
     """Days from ``first`` to ``last``, both whole. Without ``first`` it is the earliest start.

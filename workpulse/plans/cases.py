@@ -8,7 +8,7 @@ from workpulse import labels as L
 from workpulse.functions import categories, numbers
 from workpulse.functions.dates import lead_days, mean_days, shown_date
 from workpulse.operators.columns import computed_once
-from workpulse.operators.filters import Choice, Offer, Validity, all_members
+from workpulse.operators.filters import Choice, Offer, Validity, passing
 from workpulse.operators.grouping import count_by, mean_lead_by, sum_or_zero
 from workpulse.operators.ranking import with_position
 
@@ -22,32 +22,22 @@ CHOICES = (
 )
 
 
-def clean_cases(flat: DataFrame, as_of: dt.datetime, only=None) -> DataFrame:
+def clean_cases(flat: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Typed and labelled cases, each with its lead time and SLA status.
 
-    ``only`` names the derived columns a narrow report needs; the others are left out, and the scan does
-    not read their source. All are made by default.
+    The labels are plain columns: a report that does not read one neither works it out nor reads its source.
     """
-    labels = {
-        "lead_time": lead_days(F.col("startDate"), F.col("endDate"), as_of),
-        "prejFinanc": numbers.loss_amount(F.col("prejFinanc")),
-        "gravidadeMaxima": categories.severity(F.col("gravidadeMaxima")),
-        "mddCorretSelecionada": categories.measure(F.col("mddCorretSelecionada")),
-        "unidade": categories.unit(F.col("unidade")),
-        "tbIrregularidade___1": categories.irregularity(F.col("tbIrregularidade___1")),
-        "status": categories.status(F.col("status")),
-    }
-    wanted = {*labels, "slaStatus"} if only is None else set(only)
-    unknown = wanted - {*labels, "slaStatus"}
-    if unknown:
-        raise ValueError(f"not a derived column: {sorted(unknown)}")
-    if "slaStatus" in wanted:
-        wanted |= {"gravidadeMaxima", "tbIrregularidade___1", "lead_time"}
-    made = {name: label for name, label in labels.items() if name in wanted}
-    rows = flat.drop(*[name for name in labels if name not in wanted])
-    labelled = computed_once(rows, made) if made else rows
-    if "slaStatus" not in wanted:
-        return labelled
+    labelled = flat.withColumns(
+        {
+            "lead_time": lead_days(F.col("startDate"), F.col("endDate"), as_of),
+            "prejFinanc": numbers.loss_amount(F.col("prejFinanc")),
+            "gravidadeMaxima": categories.severity(F.col("gravidadeMaxima")),
+            "mddCorretSelecionada": categories.measure(F.col("mddCorretSelecionada")),
+            "unidade": categories.unit(F.col("unidade")),
+            "tbIrregularidade___1": categories.irregularity(F.col("tbIrregularidade___1")),
+            "status": categories.status(F.col("status")),
+        }
+    )
     sla = categories.sla_status(F.col("gravidadeMaxima"), F.col("tbIrregularidade___1"), F.col("lead_time"))
     return labelled.withColumn("slaStatus", sla)
 
@@ -55,12 +45,12 @@ def clean_cases(flat: DataFrame, as_of: dt.datetime, only=None) -> DataFrame:
 def general(cases: DataFrame, validity: Validity, units=None) -> DataFrame:
     """Cases in the window and of the chosen units."""
     chosen = {"unidade": units} if units is not None else {}
-    return cases.where(validity.holds() & all_members([c for c in CHOICES if c.column == "unidade"], chosen))
+    return passing(cases, [choice for choice in CHOICES if choice.column == "unidade"], chosen, validity)
 
 
 def filtered(cases: DataFrame, validity: Validity, chosen=None) -> DataFrame:
     """Cases in the window that pass every multi-select."""
-    return cases.where(all_members(CHOICES, chosen) & validity.holds())
+    return passing(cases, CHOICES, chosen, validity)
 
 
 def kpis(cases: DataFrame, by=()) -> DataFrame:
@@ -106,7 +96,9 @@ def rank_units(cases: DataFrame) -> DataFrame:
 
 
 def rank_irregularities(cases: DataFrame) -> DataFrame:
-    return with_position(count_by(cases, "tbIrregularidade___1"), "total", "tbIrregularidade___1")
+    # The null test on the key would copy its long rule list.
+    once = computed_once(cases, {"tbIrregularidade___1": F.col("tbIrregularidade___1")})
+    return with_position(count_by(once, "tbIrregularidade___1"), "total", "tbIrregularidade___1")
 
 
 def rank_measures(cases: DataFrame) -> DataFrame:

@@ -7,8 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from workpulse import labels as L
 from workpulse.functions import categories, numbers
 from workpulse.functions.dates import lead_days, mean_days, shown_date
-from workpulse.operators.columns import computed_once
-from workpulse.operators.filters import Choice, Offer, Validity, all_members
+from workpulse.operators.filters import Choice, Offer, Validity, passing
 from workpulse.operators.grouping import count_by, mean_lead_by
 from workpulse.operators.ranking import with_position
 
@@ -27,21 +26,20 @@ CHOICES = tuple(
 
 
 def clean_payments(flat: DataFrame, as_of: dt.datetime, company=None) -> DataFrame:
-    """Typed and labelled payment requests with their lead time."""
-    return computed_once(
-        flat,
+    """Typed and labelled payment requests with their lead time; labels that a report does not read are pruned."""
+    return flat.withColumns(
         {
             "lead_time": lead_days(F.col("startDate"), F.col("endDate"), as_of),
             "status": categories.status(F.col("status")),
             "slaStatus": categories.source_sla(F.col("slaStatus")),
             "departamentoSolicitante": categories.department(F.col("departamentoSolicitante"), company),
-        },
+        }
     )
 
 
 def filtered(payments: DataFrame, validity: Validity, chosen=None) -> DataFrame:
     """Requests in the window that pass every multi-select."""
-    return payments.where(all_members(CHOICES, chosen) & validity.holds())
+    return passing(payments, CHOICES, chosen, validity)
 
 
 def kpis(payments: DataFrame) -> DataFrame:

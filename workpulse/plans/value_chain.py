@@ -81,13 +81,17 @@ def _season_cells(season) -> Column:
 
 def filtered(rows: DataFrame, chosen=None) -> DataFrame:
     """Long rows that pass every multi-select."""
-    return rows.where(all_members(CHOICES, chosen))
+    return rows.where(all_members(CHOICES, chosen))  # the columns tested are read, not worked out
 
 
 def kpis(rows: DataFrame) -> DataFrame:
-    """Total hours and five distinct counts in one aggregation."""
+    """Total hours and five distinct counts.
+
+    Distinct counts expand every row once for each of them, so seasons and repeated rows are folded before.
+    """
     counted = (("units", "Unidade"), *zip(("processes", "procedures", "activities", "tasks"), L.COMPONENTS))
-    return rows.agg(
+    folded = rows.groupBy(*[column for _, column in counted]).agg(F.sum(L.DEMAND).alias(L.DEMAND))
+    return folded.agg(
         sum_or_zero(F.col(L.DEMAND)).alias("total_hours"),
         *[F.count_distinct(F.col(column)).alias(name) for name, column in counted],
     )
@@ -169,11 +173,11 @@ def staffing(rows: DataFrame) -> DataFrame:
     """People needed per unit at a fixed number of hours each, half a micro-hour being noise."""
     hours = sum_by(rows, L.DEMAND, "Unidade")
     people = F.ceil(F.round(L.DEMAND, 6) / L.HOURS_PER_PERSON).cast("double")
-    return hours.withColumn("Colaboradores_Necessarios", people)
+    return hours.withColumn(L.STAFF, people)
 
 
 def staffing_long(rows: DataFrame) -> DataFrame:
-    return staffing(rows).unpivot("Unidade", [L.DEMAND, "Colaboradores_Necessarios"], "Métrica", "Valor")
+    return staffing(rows).unpivot("Unidade", [L.DEMAND, L.STAFF], *L.STAFF_LONG)
 
 
 def offered(wide: DataFrame) -> DataFrame:

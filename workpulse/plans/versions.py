@@ -24,9 +24,8 @@ def rows_of(stacked: DataFrame, chosen) -> DataFrame:
 
 def metrics(rows: DataFrame) -> DataFrame:
     """Distinct components per version."""
-    names = ("Qtd_Processos", "Qtd_Procedimentos", "Qtd_Atividades", "Qtd_Tarefas")
     return rows.groupBy("Versao").agg(
-        *[F.count_distinct(F.col(column)).alias(name) for column, name in zip(L.COMPONENTS, names)]
+        *[F.count_distinct(F.col(column)).alias(name) for column, name in zip(L.COMPONENTS, L.COMPONENT_COUNTS)]
     )
 
 

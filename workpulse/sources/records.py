@@ -10,55 +10,113 @@ from workpulse.operators.columns import computed_once
 
 _BROKEN = "_broken"
 
+# What becomes of a landed page or element. Only sound records are read; strays are skipped, as they are no records at all;
+# the others would be records lost, so reading them raises an error unless the caller says that they may be skipped.
+SOUND, STRAY = "sound", "stray element"
+BROKEN_PAGE, NO_LIST, NO_PROCESS, NO_STATUS = "broken page", "no list", "no process id", "no status"
+
 
 def read_pages(spark: SparkSession, path, whole_files=False) -> DataFrame:
-    """One row per landed page in ``page``: a line, or with ``whole_files`` a whole file."""
-    return spark.read.text(path, wholetext=whole_files).withColumnRenamed("value", "page")
+    """One row per landed page in ``page``: a line that is not blank, or with ``whole_files`` a whole file.
+
+    A page of many lines that is read by lines is not lost: each of its lines is a broken page.
+    """
+    pages = spark.read.text(path, wholetext=whole_files).withColumnRenamed("value", "page")
+    return pages.where(F.trim("page") != "")
 
 
 def read_records(spark: SparkSession, path, list_name="requests", lines=False, whole_files=False) -> DataFrame:
     """Record texts of all pages below ``path``; with ``lines`` each line is a record by itself."""
     pages = read_pages(spark, path, whole_files)
-    return pages.select(F.col("page").alias("record")) if lines else unwrap(pages, list_name)
+    if lines:
+        return pages.select(F.col("page").alias("record"), F.lit(None).cast("string").alias("page_fault"))
+    return unwrap(pages, list_name)
 
 
 def unwrap(pages: DataFrame, list_name="requests") -> DataFrame:
     """Elements of the list under ``list_name``, else under ``items``, else of the page itself.
 
-    Elements stay JSON text, so one that is not a record cannot spoil the others of its page.
+    Elements stay JSON text, so one that is not a record cannot spoil the others of its page. A page that does not parse or
+    that holds no list gives one row: its own text, with what is wrong in ``page_fault``, which is null otherwise.
     """
     names = list(dict.fromkeys((list_name, "items")))
-    envelope = StructType([StructField(name, ArrayType(StringType())) for name in names])
+    envelope = StructType([StructField(name, ArrayType(StringType())) for name in names] + [StructField(_BROKEN, StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
     listed = F.ltrim("page").startswith("[")
     opened = pages.select(
         "page",
+        listed.alias("listed"),
         F.when(listed, F.from_json("page", ArrayType(StringType()))).alias("bare"),
-        F.when(~listed, F.from_json("page", envelope)).alias("envelope"),
+        F.when(~listed, F.from_json("page", envelope, options)).alias("envelope"),
     )
-    lists = [F.col(f"envelope.{name}") for name in names] + [F.col("bare")]
-    return opened.select(F.explode(F.coalesce(*lists)).alias("record"))
+    # A page whose lists have another type counts as not parsed by the schema; whether it is JSON is asked of such pages only.
+    doubtful = F.when(F.col("listed"), F.col("bare").isNull()).otherwise(F.col(f"envelope.{_BROKEN}").isNotNull())
+    broken = F.when(doubtful, F.try_parse_json("page").isNull()).otherwise(F.lit(False))
+    found = F.coalesce(*[F.col(f"envelope.{name}") for name in names], F.col("bare"))
+    judged = opened.select(
+        "page", found.alias("found"), F.when(broken, BROKEN_PAGE).when(found.isNull(), NO_LIST).alias("page_fault")
+    )
+    texts = F.when(F.col("page_fault").isNull(), F.col("found")).otherwise(F.array("page"))
+    return judged.select(F.explode(texts).alias("record"), "page_fault")
 
 
 def parse(records: DataFrame, schema: StructType) -> DataFrame:
-    """Columns of each ``record`` text, with ``sound`` telling whether it is a record at all.
+    """Columns of each ``record`` text, with its ``outcome``.
 
     The parse is a generator's output, so filters on its columns do not parse the text again.
     """
+    return _parsed(records, schema).withColumn("outcome", _outcome(schema)).drop("page_fault", "element")
+
+
+def _parsed(records: DataFrame, schema: StructType) -> DataFrame:
+    """Columns of each text, with ``element`` telling whether it is a record at all."""
     with_broken = StructType(schema.fields + [StructField(_BROKEN, StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
-    parsed = records.select("record", F.inline(F.array(F.from_json("record", with_broken, options))))
-    sound = F.coalesce(F.ltrim("record").startswith("{") & F.col(_BROKEN).isNull(), F.lit(False))
-    return parsed.withColumn("sound", sound).drop(_BROKEN)
+    parsed = records.select("record", "page_fault", F.inline(F.array(F.from_json("record", with_broken, options))))
+    element = F.coalesce(F.ltrim("record").startswith("{") & F.col(_BROKEN).isNull(), F.lit(False))
+    return parsed.withColumn("element", element).drop(_BROKEN)
+
 
+def _required(schema: StructType):
+    return [(name, missing) for name, missing in (("processId", NO_PROCESS), ("status", NO_STATUS)) if name in schema.names]
 
-def sound_records(records: DataFrame, schema: StructType) -> DataFrame:
-    """Columns of the records; what is no record is left out."""
-    return parse(records, schema).where("sound").select(*schema.names)
+
+def _outcome(schema: StructType) -> Column:
+    outcome = F.when(F.col("page_fault").isNotNull(), F.col("page_fault")).when(~F.col("element"), STRAY)
+    for name, missing in _required(schema):
+        outcome = outcome.when(F.col(name).isNull(), missing)
+    return outcome.otherwise(SOUND)
+
+
+def sound_records(records: DataFrame, schema: StructType, on_lost="raise") -> DataFrame:
+    """Columns of the sound records. Pages and records that would be lost raise an error, or are left out with ``on_lost="skip"``."""
+    if on_lost not in ("raise", "skip"):
+        raise ValueError("on_lost is 'raise' or 'skip'")
+    whole = F.col("page_fault").isNull()
+    for name, _ in _required(schema):
+        whole = whole & F.col(name).isNotNull()
+    kept = F.col("element") & whole
+    if on_lost == "raise":
+        told = F.raise_error(F.concat(F.lit("landed data would be lost: "), _outcome(schema))).cast("boolean")
+        kept = F.when(kept, True).when(F.col("page_fault").isNull() & ~F.col("element"), False).otherwise(told)
+        # Later filters must not come first and take the lost rows away: none is moved over a test of what is not deterministic.
+        kept = kept & (F.monotonically_increasing_id() >= 0)
+    return _parsed(records, schema).where(kept).select(*schema.names)
 
 
 def skipped_records(records: DataFrame, schema: StructType) -> DataFrame:
-    """Texts that are no record."""
-    return parse(records, schema).where("not sound").select("record")
+    """Texts of all pages and elements that are not read, with the reason of each."""
+    return parse(records, schema).where(F.col("outcome") != SOUND).select("record", "outcome")
+
+
+def broken_pages(pages: DataFrame, list_name="requests") -> DataFrame:
+    """Pages that give no record, with the reason of each."""
+    return unwrap(pages, list_name).where("page_fault is not null").select(F.col("record").alias("page"), "page_fault")
+
+
+def outcomes(records: DataFrame, schema: StructType) -> DataFrame:
+    """How many pages and elements came to each end; together they are all that was landed."""
+    return parse(records, schema).groupBy("outcome").agg(F.count(F.lit(1)).alias("total"))
 
 
 def asked(rows: DataFrame, process=None, statuses=None) -> DataFrame:
@@ -108,19 +166,19 @@ def with_times(rows: DataFrame) -> DataFrame:
     return computed_once(rows, times) if times else rows
 
 
-def read_cases(spark, path, process=L.CASE_PROCESS, statuses=L.REQUESTED_STATUS, **layout) -> DataFrame:
-    """Flat cases of every landed page."""
-    rows = sound_records(read_records(spark, path, "requests", **layout), schemas.REQUEST)
+def read_cases(spark, path, process=L.CASE_PROCESS, statuses=L.REQUESTED_STATUS, on_lost="raise", **layout) -> DataFrame:
+    """Flat cases of every landed page; see ``sound_records`` for ``on_lost``."""
+    rows = sound_records(read_records(spark, path, "requests", **layout), schemas.REQUEST, on_lost)
     return with_times(flatten(asked(rows, process, statuses), schemas.CASE_FIELDS))
 
 
-def read_payments(spark, path, process=L.PAYMENT_PROCESS, statuses=L.REQUESTED_STATUS, **layout) -> DataFrame:
-    """Flat payment requests of every landed page."""
-    rows = sound_records(read_records(spark, path, "requests", **layout), schemas.PAYMENT)
+def read_payments(spark, path, process=L.PAYMENT_PROCESS, statuses=L.REQUESTED_STATUS, on_lost="raise", **layout) -> DataFrame:
+    """Flat payment requests of every landed page; see ``sound_records`` for ``on_lost``."""
+    rows = sound_records(read_records(spark, path, "requests", **layout), schemas.PAYMENT, on_lost)
     return with_times(flatten(asked(rows, process, statuses), schemas.PAYMENT_FIELDS))
 
 
-def read_activities(spark, path, process=L.CASE_PROCESS, **layout) -> DataFrame:
-    """Activities of every landed page, their state still nested."""
-    rows = sound_records(read_records(spark, path, "activities", **layout), schemas.ACTIVITY)
+def read_activities(spark, path, process=L.CASE_PROCESS, on_lost="raise", **layout) -> DataFrame:
+    """Activities of every landed page, their state still nested; see ``sound_records`` for ``on_lost``."""
+    rows = sound_records(read_records(spark, path, "activities", **layout), schemas.ACTIVITY, on_lost)
     return with_times(asked(rows, process))

@@ -1,4 +1,4 @@
-"""Landed sheets as CSV: all cells text, headers trimmed."""
+"""Landed sheets: all cells text, headers trimmed."""
 
 from functools import reduce
 
@@ -6,23 +6,41 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from workpulse import labels as L
 
+FORMS = ("parquet", "json", "csv")
+
 
 def tidy_headers(sheet: DataFrame) -> DataFrame:
     return sheet.toDF(*[name.strip() for name in sheet.columns])
 
 
-def _read_csv(spark: SparkSession, path) -> DataFrame:
-    return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+def _read(spark: SparkSession, path, form, line_breaks) -> DataFrame:
+    """Cells as text. Parquet, JSON lines and plain CSV are read in as many tasks as their size asks for.
+
+    A CSV with line breaks within cells cannot be split: ``line_breaks`` makes each file one task. Without it, a line with too few or too
+    many cells, as such a break leaves, raises an error.
+    """
+    if form not in FORMS:
+        raise ValueError(f"form is one of {FORMS}")
+    if line_breaks and form != "csv":
+        raise ValueError("line_breaks is for CSV")
+    if form == "parquet":
+        sheet = spark.read.parquet(path)
+    elif form == "json":
+        sheet = spark.read.json(path, primitivesAsString=True)
+    else:
+        broken = {"multiLine": True} if line_breaks else {"mode": "FAILFAST"}
+        sheet = spark.read.csv(path, header=True, inferSchema=False, escape='"', **broken)
+    return sheet.select(*[F.col("`" + name.replace("`", "``") + "`").cast("string").alias(name) for name in sheet.columns])
 
 
-def read_sheet(spark: SparkSession, path) -> DataFrame:
+def read_sheet(spark: SparkSession, path, form="csv", line_breaks=False) -> DataFrame:
     """A sheet of the value chain; an empty cell is blank text, not null."""
-    return tidy_headers(_read_csv(spark, path)).na.fill("")
+    return tidy_headers(_read(spark, path, form, line_breaks)).na.fill("")
 
 
-def read_version(spark: SparkSession, path) -> DataFrame:
+def read_version(spark: SparkSession, path, form="csv", line_breaks=False) -> DataFrame:
     """A sheet of one version; a cell with one of the empty texts is null."""
-    return empty_to_null(_read_csv(spark, path))
+    return empty_to_null(_read(spark, path, form, line_breaks))
 
 
 def empty_to_null(sheet: DataFrame) -> DataFrame:
@@ -36,5 +54,5 @@ def stack_versions(sheets) -> DataFrame:
     return reduce(lambda upper, lower: upper.unionByName(lower, allowMissingColumns=True), labelled)
 
 
-def read_versions(spark: SparkSession, paths) -> DataFrame:
-    return stack_versions({version: read_version(spark, path) for version, path in paths.items()})
+def read_versions(spark: SparkSession, paths, form="csv", line_breaks=False) -> DataFrame:
+    return stack_versions({version: read_version(spark, path, form, line_breaks) for version, path in paths.items()})
