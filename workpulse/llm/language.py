@@ -24,6 +24,7 @@ SAMPLE = 6000
 LEAST = 20
 MOST_LANGUAGES = 500
 DIM = 4096
+TEXTS = 256  # whose features are held at once
 STEPS = 12
 COST = 8.0
 UNDETERMINED = "und"
@@ -167,7 +168,7 @@ def fit(docs: DataFrame) -> Model | None:
 
     def rows(batches):
         for batch in batches:
-            for i, j, data, offsets in parts(batch.column(1)):
+            for i, j, data, offsets in parts(batch.column(1), texts=TEXTS):
                 dense = features(data, offsets)
                 for k, row in enumerate(dense):
                     at = np.flatnonzero(row)
@@ -189,7 +190,7 @@ def _predicted(model: Model | None, texts, lettered) -> tuple[pa.Array, pa.Array
     names, scores = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
     if model is not None:
         languages = np.array(model.languages, object)
-        for i, j, data, offsets in parts(texts):
+        for i, j, data, offsets in parts(texts, texts=TEXTS):
             best, score = model.predict(features(data, offsets))
             names[i:j], scores[i:j] = languages[best], score
         none = ~lettered.fill_null(False).to_numpy(zero_copy_only=False)

@@ -54,19 +54,19 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = SLICE):
-    """Runs ``i, j`` of texts with at most ``most`` bytes together, or one longer text."""
+def slices(offsets: np.ndarray, most: int = SLICE, texts: int = 8192):
+    """Runs ``i, j`` of at most ``texts`` texts with at most ``most`` bytes together, or one longer text."""
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
+        j = min(max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1), i + texts)
         yield i, j
         i = j
 
 
-def parts(column, most: int = SLICE):
+def parts(column, most: int = SLICE, texts: int = 8192):
     """``i, j, data, offsets`` of each slice of a string column."""
     data, offsets = utf8(column)
-    for i, j in slices(offsets, most):
+    for i, j in slices(offsets, most, texts):
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 
@@ -111,7 +111,7 @@ def shingles(values: np.ndarray, firsts: np.ndarray, size: int = 5, whole: bool
     if not len(values):
         return np.zeros(0, U64), places
     chained = np.zeros(len(values), U64)
-    for k in range(size):
+    for k in range(min(size, len(values))):
         factor = U64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64))
         chained[: len(values) - k] += values[k:] * factor
     out = np.empty(places[-1], U64)
