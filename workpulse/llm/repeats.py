@@ -12,10 +12,11 @@ over the whole corpus and by ranges, so that no core is one task's. Order among
 64-bit values of core and context take the place of the texts. A core without an equal neighbour ends there: nothing of it repeats.
 
 *Dictionary.* Equal contexts are one entry. An entry that occurs twice repeats as a whole. Only where one core has several entries, and one of them occurs
-once, strings are compared one by one: each such entry, once, gives the values of its strings, which are sorted and compared with their neighbours.
-So exact copies, however many, cost one entry, and only the edges of matches are worked out byte by byte.
+once, the entry's starts are divided into blocks, each with a core and a context of its own, and these are sorted and compared in the same way; first
+blocks of `BLOCKS` starts, then, where it is still open, single ones. The dictionary keeps the bytes of such entries, each once. So exact copies, however many, cost
+one entry, and only the edges of matches are worked out byte by byte.
 
-Strings count as equal if two 64-bit values agree, those of core and context or of core and string.
+Strings count as equal if two 64-bit values agree, those of core and context.
 
 Nulls, ties and odd input: a null text is empty; rows that repeat a document are two places, so their long texts go in both; null ids are allowed, rows
 are told apart by id and a hash of the text; texts shorter than ``LENGTH`` stay whole. An empty table gives no rows. Further columns are not read.
@@ -37,12 +38,14 @@ WINDOW = 16
 EVERY = 100
 FINER = 16
 REACH = 368  # a trigger ends at most so far after the start of its strings; the rest of a string is part of the core
+BLOCKS = (16, 1)
 _AFTER = LENGTH - REACH
 _BASE = 0xA0761D6478BD642F | 1
 _BACK = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.Generator(np.random.PCG64(99)).integers(0, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _NO_ID = -(1 << 63)
 _KEY = "core bigint, context bigint, id bigint, mark int, place bigint"
+_BLOCK = f"{_KEY}, entry bigint, single boolean"
 
 
 class Values:
@@ -124,106 +127,120 @@ def _parsed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(rows, _KEY)
 
 
-def _repeated(rows: DataFrame, same: list[str], order: list[str], schema: str) -> DataFrame:
-    """Rows that agree with a neighbour in the columns ``same`` once all are sorted by ``order``.
+def _repeated(rows: DataFrame, order: list[str], schema: str) -> DataFrame:
+    """Rows whose core is also that of a neighbour once all are sorted by ``order``.
 
-    Rows at the ends of a task's range are kept as well; ``edge`` says so.
+    Rows at the ends of a task's range are kept as well: their neighbours may be in the next range. What they hold alone is seen when cores are counted.
     """
-    names = [field.split()[0] for field in schema.split(", ")]
-    where = [names.index(name) for name in same]
 
     def neighbours(batches):
-        held, alike = None, None  # the last row so far, and whether it agrees with the one before (null: there is none)
+        held, alike = None, True  # the last row so far, and whether it agrees with the one before
         for batch in batches:
             if not batch.num_rows:
                 continue
             batch = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks().to_batches()[0]
-            equal = np.ones(batch.num_rows - 1, bool)
-            for k in where:
-                column = batch.column(k).to_numpy()
-                equal &= column[1:] == column[:-1]
+            core = batch.column(0).to_numpy()
+            equal = core[1:] == core[:-1]
             keep = np.append(equal, False)
             keep[1:] |= equal
-            edge = np.zeros(batch.num_rows, bool)
-            if alike is None:
-                edge[0] = not keep[0]
-                keep[0] = True
-            else:
-                keep[0] |= alike
-            yield _flagged(batch, keep, edge, batch.num_rows - 1, names)
-            held, alike = batch.slice(batch.num_rows - 1), bool(keep[-1]) if batch.num_rows > 1 else alike
+            keep[0] |= alike
+            yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
+            held, alike = batch.slice(batch.num_rows - 1), bool(keep[-1])
         if held is not None:
-            one = np.ones(1, bool)
-            yield _flagged(held, one, one & (not alike), 1, names)
+            yield held
 
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return ordered.mapInArrow(neighbours, f"{schema}, edge boolean")
+    return ordered.mapInArrow(neighbours, schema)
 
 
-def _flagged(batch, keep, edge, upto, names):
-    keep = keep.copy()
-    keep[upto:] = False
-    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(edge)], [*names, "edge"]).filter(pa.array(keep))
+def _level(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows that share their cores: the ranges that repeat as a whole, and the entries still open.
 
+    An entry is ``single`` if it stands for one place only. Places of other entries have been found before.
+    """
+    shared = stored(rows, "shared")
+    entries = shared.groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "mark", "place", "entry")).alias("at"), F.bool_and("single").alias("single"))
+    entries = stored(entries.withColumn("single", F.col("single") & (F.col("n") == 1)), "entries")
+    open_cores = entries.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.bool_or("single").alias("some")).filter("kinds > 1 and some")
+    tried = entries.join(open_cores.select("core"), "core", "left_semi").select("at.*", "core", "single")
+    again = entries.filter("n > 1").select("core", "context")
+    whole = shared.filter("single").join(again, ["core", "context"], "left_semi")
+    end, far, near = F.shiftright("place", 18), F.shiftright("place", 9).bitwiseAND(511), F.col("place").bitwiseAND(511)
+    return whole.select("id", "mark", (end - far).alias("begin"), (end - near + LENGTH).alias("end")), tried
 
-def _strings(docs: DataFrame, entries: DataFrame) -> DataFrame:
-    """Values of all strings of chosen entries: ``core, string, id, mark, begin, single``."""
+
+def _dictionary(docs: DataFrame, entries: DataFrame) -> DataFrame:
+    """The bytes of open entries: ``id, mark, entry, bytes``. A document's entries are a list no longer than the document."""
 
     def rows(batches):
         for batch in batches:
-            places, cores, singles = (batch.column(k) for k in (3, 4, 5))
             for i, j, data, offsets in parts(batch.column(2)):
-                values = Values(data)
                 for k in range(i, j):
-                    place = places[k].values.to_numpy()
-                    end, far, near = place >> 18, (place >> 9) & 511, place & 511
-                    count = far - near + 1
-                    which = np.repeat(np.arange(len(place)), count)
-                    begin = (end - far)[which] + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                    at = begin + offsets[k - i]
-                    string = values.of(at, at + LENGTH, 7)
-                    take = pa.array(which)
-                    same = pa.array(np.full(len(which), k))
-                    yield pa.RecordBatch.from_arrays([cores[k].values.take(take), pa.array(string.view(np.int64)), batch.column(0).take(same), batch.column(1).take(same), pa.array(begin), singles[k].values.take(take)], ["core", "string", "id", "mark", "begin", "single"])
-
-    lists = entries.groupBy("id", "mark").agg(F.collect_list(F.struct("place", "core", "single")).alias("e"))
-    lists = lists.select("id", "mark", F.col("e.place").alias("places"), F.col("e.core").alias("cores"), F.col("e.single").alias("singles"))
-    found = docs.join(lists, ["id", "mark"]).select("id", "mark", "text", "places", "cores", "singles")
-    # Rows that repeat a document would give the strings of an entry twice.
-    return found.dropDuplicates(["id", "mark"]).mapInArrow(rows, "core bigint, string bigint, id bigint, mark int, begin bigint, single boolean")
+                    entry = batch.column(3)[k].values.to_numpy()
+                    end, far, near = entry >> 18, (entry >> 9) & 511, entry & 511
+                    text = data[offsets[k - i] : offsets[k - i + 1]].tobytes()
+                    own = [text[a:b] for a, b in zip((end - far).tolist(), (end - near + LENGTH).tolist(), strict=True)]
+                    same = pa.array(np.full(len(entry), k))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(same), batch.column(1).take(same), pa.array(entry), pa.array(own, pa.binary())], ["id", "mark", "entry", "bytes"])
+
+    lists = entries.groupBy("id", "mark").agg(F.collect_set("entry").alias("list"))
+    return docs.join(lists, ["id", "mark"]).select("id", "mark", "text", "list").mapInArrow(rows, "id bigint, mark int, entry bigint, bytes binary")
+
+
+def _divided(dictionary: DataFrame, entries: DataFrame, width: int) -> DataFrame:
+    """Blocks of ``width`` starts of each open entry, as rows like those of the parse.
+
+    A block's core is what all strings of a whole block share, so blocks that an entry's range cuts short still meet the others.
+    """
+
+    def rows(batches):
+        for batch in batches:
+            for i, j, data, offsets in parts(batch.column(6)):
+                values = Values(data)
+                place, entry, core = (batch.column(k).slice(i, j - i).to_numpy() for k in (2, 3, 4))
+                end, far, near = place >> 18, (place >> 9) & 511, place & 511
+                first, last = near // width, far // width
+                count = last - first + 1
+                which = np.repeat(np.arange(j - i), count)
+                block = first[which] + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                low, high = np.maximum(near[which], block * width), np.minimum(far[which], block * width + width - 1)
+                # The trigger's place within the bytes, which begin at the first start of the whole entry.
+                at = offsets[:-1][which] + ((entry >> 9) & 511)[which]
+                inner = values.of(at - block * width, at - block * width - width + 1 + LENGTH, block * 1024 + width)
+                inner = mixed(inner ^ core.view(np.uint64)[which])
+                outer = values.of(at - high, at - low + LENGTH, high * 1024 + low)
+                take = pa.array(i + which)
+                parted = pa.array((end[which] << 18) + (high << 9) + low)
+                yield pa.RecordBatch.from_arrays([pa.array(inner.view(np.int64)), pa.array(outer.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), parted, batch.column(3).take(take), batch.column(5).take(take)], ["core", "context", "id", "mark", "place", "entry", "single"])
+
+    both = entries.join(dictionary, ["id", "mark", "entry"]).select("id", "mark", "place", "entry", "core", "single", "bytes")
+    return both.mapInArrow(rows, _BLOCK)
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """``id, mark, begin, end`` of passages that repeat; they may overlap. ``docs`` has the columns ``id, mark, text``."""
     parse = stored(_parsed(docs), "parse")
     order = ["core", "context", "id", "mark", "place"]
-    shared = stored(_repeated(parse, ["core"], order, _KEY).drop("edge"), "shared")
+    found, tried = _level(_repeated(parse, order, _KEY).withColumn("entry", F.col("place")).withColumn("single", F.lit(True)))
     discard(parse)
-    entries = shared.groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "mark", "place")).alias("at"))
-    entries = stored(entries, "entries")
-    open_cores = entries.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1")
-    tried = entries.join(open_cores.select("core"), "core", "left_semi").select("at.*", "core", (F.col("n") == 1).alias("single"))
-    schema = "core bigint, string bigint, id bigint, mark int, begin bigint, single boolean"
-    strings = stored(_strings(docs, tried), "strings")
-    edges = _repeated(strings, ["core", "string"], ["core", "string", "id", "mark", "begin"], schema)
-    edges = stored(edges, "edges")
-    # At the ends of ranges a row may be alone; equal rows are counted for these only.
-    doubtful = edges.filter("edge").select("core", "string").distinct()
-    sure = strings.join(doubtful, ["core", "string"], "left_semi").groupBy("core", "string").count().filter("count > 1")
-    parted = edges.filter("edge and single").join(sure, ["core", "string"], "left_semi").select("id", "mark", "begin")
-    parted = parted.union(edges.filter("not edge and single").select("id", "mark", "begin"))
-    whole = shared.join(entries.filter("n > 1").select("core", "context"), ["core", "context"], "left_semi")
-    end, far, near = F.shiftright("place", 18), F.shiftright("place", 9).bitwiseAND(511), F.col("place").bitwiseAND(511)
-    whole = whole.select("id", "mark", (end - far).alias("begin"), (end - near + LENGTH).alias("end"))
-    return whole.union(parted.select("id", "mark", "begin", (F.col("begin") + LENGTH).alias("end")))
+    tried = stored(tried, "open")
+    dictionary = stored(_dictionary(docs, tried), "dictionary")
+    for width in BLOCKS:
+        blocks = _divided(dictionary, tried, width)
+        whole, tried = _level(_repeated(blocks, order, _BLOCK))
+        found = found.union(whole)
+        if width > 1:
+            tried = stored(tried, "open")
+    return found
 
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("id"), F.hash("text").alias("mark"), "text", *more)
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each document, and the bytes kept as ``kept``."""
+def without_repeats(docs: DataFrame, kept: bool = True) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each document, and the bytes themselves as ``kept``, if asked for."""
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + kept]
     found = spans(keyed(docs)).groupBy("id", "mark").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     found = found.select("id", "mark", F.col("spans.begin").alias("begins"), F.col("spans.end").alias("ends"))
     joined = keyed(docs, "doc_id").join(found, ["id", "mark"], "left")
@@ -234,24 +251,25 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 out = []
                 for k in range(i, j):
                     text = data[offsets[k - i] : offsets[k - i + 1]]
-                    begins, kept, runs = batch.column(2)[k].values, text, 0
+                    begins, left, runs = batch.column(2)[k].values, text, 0
                     if begins is not None and len(begins):
                         change = np.zeros(len(text) + 1, np.int64)
                         np.add.at(change, begins.to_numpy(), 1)
                         np.add.at(change, batch.column(3)[k].values.to_numpy(), -1)
                         gone = np.cumsum(change[:-1]) > 0
                         runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                        kept = text[~gone]
-                    kept = kept.tobytes()
-                    out.append((len(text), len(text) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept))
+                        left = text[~gone]
+                    left = left.tobytes()
+                    out.append((len(text), len(text) - len(left), runs, hashlib.sha256(left).hexdigest(), left)[: len(names) - 1])
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-                columns = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                columns = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *columns], names)
 
-    return joined.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "begins", "ends").mapInArrow(rows, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * kept
+    return joined.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "begins", "ends").mapInArrow(rows, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The same without the bytes kept; stored, so that all tables on the way can go."""
     with scratch(docs.sparkSession):
-        return stored(without_repeats(docs).drop("kept"), "digest", keep=True)
+        return stored(without_repeats(docs, kept=False), "digest", keep=True)
