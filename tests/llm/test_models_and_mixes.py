@@ -1,0 +1,274 @@
+"""Held-out accuracy of the trained operators, exact search, and the mix of sources."""
+
+import collections
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from workpulse.llm import language, mixing, quality, topk
+from workpulse.operators.ranking import with_position
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- Language --------------------------------------------------------------------------------------------------------
+
+
+def test_language_of_held_out_documents(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    rows = language.identify(docs, language.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(rows) == docs.count()
+    out = [r for r in rows if r.held_out]
+    assert {r.held_out for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 == 1} == {True}
+    assert sum(r.lang == r.lang_pred for r in out) / len(out) >= 0.97
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_learns_from_no_held_out_label_and_no_id(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    wrong = docs.withColumn("lang", F.when(language.held_out(), "xx").otherwise(F.col("lang")))
+    same = [{(r.doc_id, r.lang_pred, r.score) for r in language.identify(d, language.fit(d)).collect()} for d in (docs, wrong)]
+    assert same[0] == same[1]
+
+
+def test_language_of_odd_rows(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit(docs)
+    odd = [(0, None), (1, ""), (2, "12 34 !!"), (3, "the " * 200_000), (None, "of the and"), (4, "ß"), (4, "ß")]
+    frame = spark.createDataFrame([(i, t, None, None, 0, 1, 2.0) for i, t in odd], DOCS + ", score int, held_out double")
+    rows = language.identify(frame, model).collect()
+    assert [r.lang_pred for r in rows[:3]] == ["und"] * 3 and [r.score for r in rows[:3]] == [0.0] * 3
+    assert rows[3].lang_pred == "en" and rows[4].held_out is False and rows[5] == rows[6] and len(rows) == 7
+    kept = language.identified(frame, model)
+    assert kept.columns == frame.columns
+    assert sorted(str(r.doc_id) for r in kept.collect() if r.doc_id != 4) == ["3", "None"]
+
+
+def test_language_without_anything_to_learn(spark):
+    rows = [(k, "some words", None, "s", 1) for k in range(5)]
+    frame = spark.createDataFrame(rows, DOCS)
+    assert language.fit(frame) is None
+    assert {r.lang_pred for r in language.identify(frame, None).collect()} == {"und"}
+    assert language.identify(spark.createDataFrame([], DOCS), None).collect() == []
+
+
+def test_one_language_and_unknown_codes(spark):
+    rows = [(k, "un deux trois quatre", "fr", "s", 1) for k in range(30)]
+    frame = spark.createDataFrame(rows, DOCS)
+    assert {r.lang_pred for r in language.identify(frame, language.fit(frame)).collect()} == {"fr"}
+    rows += [(100 + k, "qwx zzv kkj", "q1", "s", 1) for k in range(30)] + [(200 + k, "ooo uuu iii", "q2", "s", 1) for k in range(30)]
+    frame = spark.createDataFrame(rows, DOCS)
+    got = language.identify(frame, language.fit(frame)).collect()
+    assert all(r.lang_pred == {0: "fr", 1: "q1", 2: "q2"}[r.doc_id // 100] for r in got)
+
+
+def test_a_machine_separates_with_a_margin():
+    rng = np.random.default_rng(1)
+    rows = rng.normal(size=(200, 6)).astype(np.float32)
+    rows[:, 5] = 1
+    signs = np.where(rows[:, 0] + 0.5 * rows[:, 1] > 0.2, 1.0, -1.0)
+    assert ((rows @ language.fit_machine(rows, signs) > 0) == (signs > 0)).mean() > 0.97
+
+
+# ---- Quality ---------------------------------------------------------------------------------------------------------
+
+
+def test_quality_of_held_out_documents(spark, sf_dir):
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    rows = quality.scored(docs, labels)
+    assert rows.count() == docs.count()
+    got = rows.join(labels, "doc_id").filter("held_out").collect()
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in got)
+    assert sum(r.predicted == r.quality for r in got) / len(got) >= 0.95
+    assert all(r.predicted == int(r.score >= 0.7) and 0 <= r.score <= 1 for r in got)
+
+
+def test_quality_learns_from_no_held_out_label(spark, sf_dir):
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    turned = labels.withColumn("quality", F.when(quality.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    one, other = ({(r.doc_id, round(r.score, 9)) for r in quality.scored(docs, x).collect()} for x in (labels, turned))
+    assert one == other
+
+
+def test_quality_of_odd_rows(spark):
+    rng = random.Random(1)
+    texts = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "of", "the"], k=60)) + "." for _ in range(60)]
+    rows = [(k, t if k % 2 else "SPAM!! " * 40, "en", "s", 1, 5) for k, t in enumerate(texts)]
+    rows += [(100, None, "en", "s", 1, 5), (101, "", "en", "s", 1, 5), (None, "x", "en", "s", 1, 5), (102, "a " * 400_000, "en", "s", 1, 5), (1, "again", "en", "s", 1, 5)]
+    frame = spark.createDataFrame(rows, DOCS + ", stats int")
+    marks = [(k, k % 2) for k in range(60)] + [(None, 1), (3, None), (3, 1)]
+    labels = spark.createDataFrame([(*m, 0, "x") for m in marks], "doc_id bigint, quality int, toxic int, text string")
+    got = quality.scored(frame, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    assert all(r.predicted == r.doc_id % 2 for r in got if r.doc_id is not None and r.doc_id < 60 and r.doc_id != 1)
+    empty = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert {r.score for r in quality.scored(frame, empty).collect()} == {0.5}
+    only = spark.createDataFrame([(k, 1, 0) for k in range(60)], "doc_id bigint, quality int, toxic int")
+    assert {r.score for r in quality.scored(frame, only).collect()} == {1.0}
+    assert quality.scored(spark.createDataFrame([], DOCS), labels).collect() == []
+
+
+def test_discriminant_agrees_with_the_densities():
+    rng = np.random.default_rng(2)
+    x = {c: rng.normal(c, 1 + c, size=(400, len(quality.NAMES))) for c in (0, 1)}
+    model = quality.Model({c: (len(v), v.sum(0), v.T @ v) for c, v in x.items()})
+    points = rng.normal(size=(50, len(quality.NAMES)))
+    cov = {c: np.cov(v.T, bias=True) for c, v in x.items()}
+    pooled = (cov[0] + cov[1]) / 2
+    both = np.outer(np.sqrt(np.diag(pooled)), np.sqrt(np.diag(pooled)))
+    density = []
+    for c in (0, 1):
+        own = (1 - quality.POOLED) * cov[c] / both + quality.POOLED * pooled / both
+        own = (1 - quality.ROUND) * own + quality.ROUND * np.trace(own) / len(own) * np.eye(len(own))
+        gap = (points - x[c].mean(0)) / np.sqrt(np.diag(pooled))
+        density.append(-0.5 * (np.einsum("ij,jk,ik->i", gap, np.linalg.inv(own), gap) + np.linalg.slogdet(own)[1]) + math.log(0.5))
+    expected = 1 / (1 + np.exp(-(density[1] - density[0]) / quality.SOFT))
+    assert np.allclose(model.score(points), expected)
+
+
+# ---- Search ----------------------------------------------------------------------------------------------------------
+
+VECTORS = "vec_id bigint, embedding array<double>, label int, score int, rank int"
+
+
+def _best(rows, k, every):
+    good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for q in sorted({i for i, _ in good if i % every == 0}):
+        own = max(v for i, v in good if i == q)
+        scores = sorted((-min(max(sum(a * b for a, b in zip(own, v, strict=False)), -(1 << 63)), (1 << 63) - 1), i) for i, v in good if i != q)
+        out += [(q, n, i, -s) for n, (s, i) in enumerate(scores[:k], 1)]
+    return out
+
+
+def _check_search(spark, rows, k=5, every=50):
+    frame = spark.createDataFrame([(i, v, 1, 2, 3) for i, v in rows], VECTORS).repartition(3)
+    got = sorted(tuple(r)[:4] for r in topk.top_k(frame, k, every).collect())
+    assert got == _best(rows, k, every)
+
+
+def test_search_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 64)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    monkeypatch.setattr(topk, "RUN", 16)
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=8) + (i % 5)).tolist()) for i in range(700)]
+    _check_search(spark, rows, every=20)
+
+
+def test_search_with_ties_and_odd_vectors(spark):
+    rows = [(i, [0.5, -0.25, 1.0]) for i in range(120)] + [(200, None), (201, [None, 1.0, 1.0]), (250, [float("nan"), 0.0, 0.0]), (300, [float("inf"), 1.0, 1.0])]
+    rows += [(None, [9.0, 9.0, 9.0]), (350, []), (400, [1.0]), (401, [1.0, 2.0, 3.0, 4.0]), (402, [0.0, 0.0, 0.0]), (403, [-3.0, 0.1, 0.2]), (403, [-3.0, 0.1, 0.2])]
+    _check_search(spark, rows)
+    _check_search(spark, rows, k=1000)
+
+
+def test_search_with_very_large_numbers(spark):
+    _check_search(spark, [(0, [3e7, 1.0]), (1, [2e7, 5.0]), (2, [-1e12, 2.0]), (3, [1e300, 0.0]), (50, [1e18, -1.5])])
+
+
+def test_search_of_little(spark):
+    _check_search(spark, [])
+    _check_search(spark, [(1, [1.0])])
+    _check_search(spark, [(0, [1.0])])
+    _check_search(spark, [(0, [1.0]), (1, [2.0])])
+
+
+# ---- Mix -------------------------------------------------------------------------------------------------------------
+
+
+def _targets(sizes):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    left, out = 1.5 * sum(sizes.values()), {}
+    free = set(names)
+    while True:
+        total = sum(weight[s] for s in free)
+        full = [s for s in free if total and weight[s] * left / total >= 2 * sizes[s]]
+        if not full:
+            return out | {s: weight[s] * left / total for s in free}
+        for s in full:
+            out[s] = 2.0 * sizes[s]
+            left -= out[s]
+            free.discard(s)
+        if not free:
+            return out
+
+
+def _check_mix(spark, rows, near):
+    frame = spark.createDataFrame([(i, t, "en", s, 0, 1, 2) for i, t, s in rows], DOCS + ", size int, taken int").repartition(4)
+    got = mixing.mix(frame).collect()
+    assert len(got) == len(rows)
+    sizes = collections.Counter()
+    for _, text, source in rows:
+        sizes[source] += len((text or "").split(" ")) if text else 0
+    wanted = _targets(sizes)
+    by_size = collections.defaultdict(list)
+    for r in got:
+        assert r.taken <= 2 * r.size and r.taken == r.copies * r.size and 0 <= r.copies <= 2
+        by_size[r.source_size, round(r.target, 6)].append(r)
+    for source, size in sizes.items():
+        own = by_size[size, round(wanted[source], 6)]
+        assert own
+        if sum(1 for s in sizes if sizes[s] == size) == 1:
+            assert abs(sum(r.taken for r in own) - wanted[source]) <= near
+    again = mixing.mix(frame.repartition(7)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    copies = collections.Counter((r.doc_id, r.size) for r in got for _ in range(r.copies))
+    mixed = mixing.mixed_documents(frame)
+    assert mixed.columns == frame.columns
+    assert collections.Counter((r.doc_id, len((r.text or "").split(" ")) if r.text else 0) for r in mixed.collect()) == copies
+
+
+def test_mix_reaches_its_targets(spark):
+    rng = random.Random(1)
+    rows = [(k, " ".join(["w"] * rng.randint(1, 60)), rng.choice(["a", "b", "c", "c", "c", "d", None, "É"])) for k in range(900)]
+    _check_mix(spark, rows, near=30)
+
+
+def test_mix_of_odd_rows(spark):
+    rows = [(1, None, "a"), (2, "", "a"), (3, "w " * 4999 + "w", "a"), (None, "w w", "b"), (None, "w w", "b"), (4, "w", "b"), (4, "w", "b"), (5, "w w w", None), (6, None, "empty")]
+    _check_mix(spark, rows, near=5000)
+    assert mixing.mix(spark.createDataFrame([], DOCS)).collect() == []
+    assert mixing.mixed_documents(spark.createDataFrame([], DOCS)).collect() == []
+    one = mixing.mix(spark.createDataFrame([(1, None, "en", "s", 0)], DOCS)).collect()
+    assert [(r.size, r.target, r.taken) for r in one] == [(0, 0.0, 0)]
+
+
+def test_mix_follows_the_pareto_order(spark):
+    rows = [(k, "w " * 9 + "w", "only" if k % 4 else "other", k) for k in range(400)]
+    frame = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s, _ in rows], DOCS)
+    got = {r.doc_id: r for r in mixing.mix(frame).collect()}
+    for source in ("only", "other"):
+        own = [k for k, _, s, _ in rows if s == source]
+        ratio = got[own[0]].target / got[own[0]].source_size
+        chance = ratio - math.floor(ratio)
+
+        def rank(k):
+            drawn = int(hashlib.md5(f"{mixing.SEED}:{k}:10".encode()).hexdigest()[:12], 16)  # noqa: S324
+            u = (drawn + 0.5) / float(1 << 48)
+            return (u / (1 - u)) / (chance / (1 - chance)) if chance else 0  # noqa: B023
+
+        more = sorted((k for k in own if got[k].copies > math.floor(ratio)), key=rank)
+        assert more == sorted(own, key=rank)[: len(more)]
+
+
+@pytest.mark.parametrize("width", [2, 8])
+def test_places_of_sources(spark, width):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(width))
+    try:
+        names = spark.createDataFrame([(f"s{k:03d}", 0) for k in range(300)] + [(None, 1)], "source string, last int")
+        got = {r.source: r.place for r in with_position(names, "last", "source", descending=False, name="place").collect()}
+        assert got == {**{f"s{k:03d}": k + 1 for k in range(300)}, None: 301}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
