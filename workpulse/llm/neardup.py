@@ -2,16 +2,18 @@
 
 A document's set is its distinct five-word shingles; documents with equal sets are one class, named by its smallest id, and only classes go on.
 A signature of ``TREES * DEPTH`` minima gives ``TREES`` orders: each tree sorts all classes by its own ``DEPTH`` minima. Neighbours in an order
-that share a prefix of `FIRST` minima at least are candidates. They are confirmed on full sets, best agreement first: each class first tries
-the partners with which it shares most, which joins large groups at little cost.
+that share a prefix of `FIRST` minima at least are candidates. Each class first tries the neighbours with which it shares most, which joins
+large groups at little cost.
 
 The rest is found region by region. A region is a run of classes with a common prefix. Within it only classes outside its
 largest component can have a link that still matters, and they are tried against every class of the region. A region in which more
-than ``OUTSIDE`` classes lie outside is taken a minimum deeper, until its parts are small enough, or until ``DEEPEST`` minima agree; there
-everything is tried. So work stays in proportion to the classes, without a cap on partners. Rounds go on until no new link appears.
+than ``OUTSIDE`` classes lie outside is taken deeper, along ``DEPTHS``, until its parts are small enough; at the last depth everything is tried.
+So work stays in proportion to the classes, without a cap on partners. New links bring components together, so regions that were taken deeper are
+tried again until no new link appears.
 
-Two sets of Jaccard similarity 0.75 share a prefix of three minima in one of 20 trees with probability 1 - (1 - 0.75**3)**20, about
-0.99998, and a component needs only one chain of links.
+A pair is tried by sketch first, `SKETCH` minima of one byte each: less than ``LIKELY`` of them agree for a pair that is to be linked with a chance of
+about 4e-6. What passes is confirmed on full sets. Two sets of Jaccard similarity 0.75 share a prefix of three minima in one of 20 trees with
+probability 1 - (1 - 0.75**3)**20, about 0.99998, and a component needs only one chain of links.
 
 Nulls, ties and odd input: null or empty texts and texts without words have an empty set and are linked with nothing; rows without an id are kept
 and belong to no component; rows that share an id are one document of several texts in links, and each row has the component of its own
@@ -29,14 +31,17 @@ from workpulse.llm.storage import scratch, stored
 from workpulse.llm.text import mixed, parts, shingles, word_values, words
 
 TREES, DEPTH, FIRST = 20, 5, 3
-DEEPEST = 20
+DEPTHS = (3, 5, 8, 13, 20)  # minima that a region's classes share, from shallow to deep
 OUTSIDE = 32
 TRIED = 2  # partners that a class tries at once
 SIMILARITY = 75  # per cent of the union
+SKETCH = 256
+LIKELY = 161  # of the sketch; 4.5 standard deviations below what pairs of the least similarity share
+_EXTRA = SKETCH - TREES * DEPTH
 _WIDE = 4  # bytes of a minimum
 _rng = np.random.Generator(np.random.PCG64(7))
-_XOR = _rng.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
-_TIMES = _rng.integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_XOR = _rng.integers(0, 1 << 32, SKETCH, dtype=np.uint32)
+_TIMES = _rng.integers(0, 1 << 31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 # ---- Sets and signatures of many texts -------------------------------------------------------------------------------
@@ -56,11 +61,11 @@ def sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def signatures(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """``TREES * DEPTH`` minima for each text that has a set."""
+    """``SKETCH`` minima for each text that has a set; the first ``TREES * DEPTH`` are its signature."""
     begins = firsts[:-1][np.diff(firsts) > 0]
     small = (values >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((TREES * DEPTH, len(begins)), np.uint32)
-    for k in range(TREES * DEPTH) if len(begins) else ():
+    out = np.empty((SKETCH, len(begins)), np.uint32)
+    for k in range(SKETCH) if len(begins) else ():
         shuffled = (small ^ _XOR[k]) * _TIMES[k]
         shuffled ^= shuffled >> np.uint32(16)
         np.minimum.reduceat(shuffled, begins, out=out[k])
@@ -68,7 +73,7 @@ def signatures(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, low, high, signature``; low and high name the set."""
+    """``doc_id, n_shingles, low, high, signature, extra``; low and high name the set, extra is the rest of its sketch."""
 
     def rows(batches):
         for batch in batches:
@@ -80,18 +85,21 @@ def _signed(docs: DataFrame) -> DataFrame:
                 for k in range(2):
                     if some.any():
                         names[k, some] = np.add.reduceat(mixed(values + np.uint64(k + 1)), firsts[:-1][some])
-                signature = np.full(j - i, None, object)
-                signature[some] = [row.tobytes() for row in np.ascontiguousarray(signatures(values, firsts)).astype(">u4")]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(count.astype(np.int64)), pa.array(names[0].view(np.int64)), pa.array(names[1].view(np.int64)), pa.array(signature, pa.binary())], ["doc_id", "n_shingles", "low", "high", "signature"])
+                signature, extra = np.full(j - i, None, object), np.full(j - i, None, object)
+                minima = signatures(values, firsts)
+                signature[some] = [row.tobytes() for row in np.ascontiguousarray(minima[:, : TREES * DEPTH]).astype(">u4")]
+                extra[some] = [row.tobytes() for row in minima[:, TREES * DEPTH :].astype(np.uint8)]
+                columns = [batch.column(0).slice(i, j - i), pa.array(count.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in names), pa.array(signature, pa.binary()), pa.array(extra, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "low", "high", "signature", "extra"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(rows, "doc_id bigint, n_shingles bigint, low bigint, high bigint, signature binary")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(rows, "doc_id bigint, n_shingles bigint, low bigint, high bigint, signature binary, extra binary")
 
 
 # ---- Candidates ------------------------------------------------------------------------------------------------------
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """Classes of each tree that share a prefix with a neighbour in its order: ``tree, key, rep, n, next, next_n, common``.
+    """Classes of each tree that share a prefix with a neighbour in its order: ``tree, key, rep, n, next, next_n``.
 
     The order is a sort over all classes, dealt out by ranges of (tree, key, id), so a region of any size spans tasks. Rows at the ends
     of a task's range are always kept: whether their region goes on is seen later, when regions are put together.
@@ -114,23 +122,22 @@ def _members(classes: DataFrame) -> DataFrame:
             keep = np.append(near, False)
             keep[1:] |= near
             keep[0] |= before
-            yield _with_next(batch, common, near, keep, size - 1)
+            yield _with_next(batch, near, keep, size - 1)
             held, before = batch.slice(size - 1), bool(keep[-1])
         if held is not None:
-            yield _with_next(held, np.zeros(0, np.int64), np.zeros(0, bool), np.ones(1, bool), 1)
+            yield _with_next(held, np.zeros(0, bool), np.ones(1, bool), 1)
 
     ordered = forest.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
-    return ordered.mapInArrow(rows, "tree int, key binary, rep bigint, n bigint, next bigint, next_n bigint, common int")
+    return ordered.mapInArrow(rows, "tree int, key binary, rep bigint, n bigint, next bigint, next_n bigint")
 
 
-def _with_next(batch, common, near, keep, upto):
+def _with_next(batch, near, keep, upto):
     """The first ``upto`` rows that are kept, with their next neighbours where these are near."""
     nothing = np.zeros(batch.num_rows, bool)
     nothing[: len(near)] = near
     rep, n = batch.column(2).to_numpy(), batch.column(3).to_numpy()
     following = [pa.array(np.append(x[1:], 0), pa.int64(), mask=~nothing) for x in (rep, n)]
-    shared = pa.array(np.append(common, np.zeros(batch.num_rows - len(common), np.int64)).astype(np.int32))
-    out = pa.RecordBatch.from_arrays([*batch.columns, *following, shared], ["tree", "key", "rep", "n", "next", "next_n", "common"])
+    out = pa.RecordBatch.from_arrays([*batch.columns, *following], ["tree", "key", "rep", "n", "next", "next_n"])
     mask = keep.copy()
     mask[upto:] = False
     return out.filter(pa.array(mask))
@@ -142,9 +149,16 @@ def _similar_size(a: str, b: str):
 
 
 def _neighbours(members: DataFrame) -> DataFrame:
-    """Distinct pairs ``a < b`` of neighbours, with the number of minima they share over all trees."""
+    """Distinct pairs ``a < b`` of neighbours."""
     near = members.filter("next is not null and next <> rep").filter(_similar_size("n", "next_n"))
-    return near.groupBy(F.least("rep", "next").alias("a"), F.greatest("rep", "next").alias("b")).agg(F.sum("common").alias("shared"))
+    return near.select(F.least("rep", "next").alias("a"), F.greatest("rep", "next").alias("b")).distinct()
+
+
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of different components."""
+    of = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"{name}_c"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.filter(F.coalesce("a_c", "a") != F.coalesce("b_c", "b")).select("a", "b")
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -154,6 +168,39 @@ def _best(pairs: DataFrame) -> DataFrame:
     return ends.withColumn("place", place).filter(F.col("place") <= TRIED).select("a", "b").distinct()
 
 
+def _sketches(reps: DataFrame) -> DataFrame:
+    """``rep, n, sketch`` of classes."""
+
+    def rows(batches):
+        for batch in batches:
+            if batch.num_rows:
+                low = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)[:, _WIDE - 1 :: _WIDE]
+                rest = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                whole = np.hstack([low, rest])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([row.tobytes() for row in whole], pa.binary())], ["rep", "n", "sketch"])
+
+    return reps.select("rep", F.col("n_shingles").alias("n"), "signature", "extra").mapInArrow(rows, "rep bigint, n bigint, sketch binary")
+
+
+def _bytes(column) -> np.ndarray:
+    """Rows of a binary column whose values are all ``SKETCH`` long."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs whose sketches agree, with the number of minima that do in ``shared``."""
+
+    def rows(batches):
+        for batch in batches:
+            if batch.num_rows:
+                shared = (_bytes(batch.column(2)) == _bytes(batch.column(3))).sum(1)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(shared)], ["a", "b", "shared"]).filter(pa.array(shared >= LIKELY))
+
+    one = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("x"))
+    other = sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("y"))
+    return pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(rows, "a bigint, b bigint, shared bigint")
+
+
 def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
     """``a, b, linked`` of each pair, from the full sets."""
 
@@ -173,44 +220,54 @@ def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(rows, "a bigint, b bigint, linked boolean")
 
 
-def _across(members: DataFrame, depth: int, last: bool) -> tuple[DataFrame, DataFrame]:
-    """Pairs of a depth's regions that still matter, and the members of the regions that must be taken deeper."""
-    rows = members.withColumn("prefix", F.substring("key", 1, depth * _WIDE))
-    sizes = rows.groupBy("tree", "prefix", "component").agg(F.count(F.lit(1)).alias("n"))
-    regions = sizes.groupBy("tree", "prefix").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("kinds"))
-    regions = stored(regions.filter("kinds > 1").select("tree", "prefix", F.col("main.component").alias("main"), (F.col("all") - F.col("main.n")).alias("outside")), "regions")
-    tried = regions if last else regions.filter(F.col("outside") <= OUTSIDE)
-    inside = stored(rows.join(tried.select("tree", "prefix", "main"), ["tree", "prefix"]), "inside")
-    outer = inside.filter("component <> main").select("tree", "prefix", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("component").alias("c"))
-    pairs = inside.join(outer, ["tree", "prefix"]).filter("component <> c").filter(_similar_size("n", "m"))
-    pairs = pairs.select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b")).filter("a < b").distinct()
-    deeper = rows.join(regions.filter(F.col("outside") > OUTSIDE).select("tree", "prefix"), ["tree", "prefix"], "left_semi").drop("prefix")
-    return pairs, deeper
-
+# ---- Regions ---------------------------------------------------------------------------------------------------------
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members with the component of each; a class without a link is a component of its own."""
-    return members.join(labels.select(F.col("node").alias("rep"), F.col("component").alias("_c")), "rep", "left").withColumn("component", F.coalesce("_c", "rep")).drop("_c")
 
+def _places(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """The regions of each member in each of its trees: ``rep, regions``, from shallow to deep, each by a hash of tree and prefix.
 
-def _regions(members: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs that regions still have to try, from shallow regions to deep ones."""
-    rest, found = stored(_labelled(members.select("tree", "key", "rep", "n"), labels), "members"), None
-    depth = FIRST
-    while True:
-        pairs, deeper = _across(rest, depth, depth >= DEEPEST)
-        found = pairs if found is None else found.union(pairs)
-        if depth >= DEEPEST:
-            break
-        rest = stored(deeper, "members")
-        if rest.isEmpty():
-            break
-        depth += 1
-        if depth == DEPTH + 1:
-            # Past its own minima a tree goes on with those of the trees after it.
-            turned = F.substring(F.concat("signature", "signature"), F.col("tree") * (DEPTH * _WIDE) + 1, F.lit(DEEPEST * _WIDE))
-            rest = stored(rest.drop("key").join(classes.select("rep", "signature").dropDuplicates(["rep"]), "rep").withColumn("key", turned).drop("signature"), "members")
-    return found.distinct()
+    Past its own minima a tree goes on with those of the trees after it.
+    """
+    turned = F.substring(F.concat("signature", "signature"), F.col("tree") * (DEPTH * _WIDE) + 1, F.lit(DEPTHS[-1] * _WIDE))
+    regions = F.array(*[F.xxhash64("tree", F.substring("turned", 1, depth * _WIDE)) for depth in DEPTHS])
+    return members.select("tree", "rep").join(reps.select("rep", "signature"), "rep").withColumn("turned", turned).select("rep", regions.alias("regions"))
+
+
+def _across(places: DataFrame, sketches: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Likely pairs of all regions that still matter, and the places whose shallow regions had too many classes outside."""
+    labelled = places.join(labels.select(F.col("node").alias("rep"), F.col("component").alias("_c")), "rep", "left")
+    rows = labelled.select("rep", F.coalesce("_c", "rep").alias("component"), "regions", F.posexplode("regions").alias("depth", "region"))
+    rows = rows.withColumn("parent", F.get("regions", F.col("depth") - 1)).drop("regions")
+    sizes = rows.groupBy("region", "depth", "component").agg(F.count(F.lit(1)).alias("n"), F.first("parent").alias("parent"))
+    regions = sizes.groupBy("region", "depth").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("kinds"), F.first("parent").alias("parent"))
+    outside = F.col("all") - F.col("main.n")
+    regions = stored(regions.filter("kinds > 1").select("region", "depth", "parent", F.col("main.component").alias("main"), outside.alias("outside")), "regions")
+    # A region is tried at the first depth at which few enough classes lie outside.
+    crowded = regions.filter(F.col("outside") > OUTSIDE).select(F.col("region").alias("_crowded"))
+    small = regions.filter((F.col("outside") <= OUTSIDE) | (F.col("depth") == len(DEPTHS) - 1))
+    small = small.join(crowded, F.col("parent") == F.col("_crowded"), "left").filter("depth = 0 or _crowded is not null")
+    small = small.select("region", "main", "outside")
+    inside = stored(rows.select("rep", "component", "region").join(small, "region").join(sketches, "rep"), "inside")
+    # Those outside go in packs of a bounded size to every row of their region.
+    pack = F.pmod(F.xxhash64("rep"), F.ceil(F.col("outside") / OUTSIDE))
+    packs = inside.filter("component <> main").groupBy("region", pack.alias("pack")).agg(F.collect_list(F.struct("rep", "component", "n", "sketch")).alias("tried"))
+
+    def pairs(batches):
+        for batch in batches:
+            sketch = _bytes(batch.column(3)) if batch.num_rows else None
+            for k in range(batch.num_rows):
+                rep, component, n = (batch.column(c)[k].as_py() for c in range(3))
+                tried = batch.column(4)[k].values
+                other, theirs, size = (tried.field(c).to_numpy() for c in range(3))
+                good = (theirs != component) & (np.minimum(size, n) * 100 >= np.maximum(size, n) * SIMILARITY)
+                if good.any():
+                    good &= (_bytes(tried.field(3)) == sketch[k]).sum(1) >= LIKELY
+                    found = other[good]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(found, rep)), pa.array(np.maximum(found, rep))], ["a", "b"])
+
+    met = inside.select("region", "rep", "component", "n", "sketch").join(packs.select("region", "tried"), "region").drop("region")
+    found = met.mapInArrow(pairs, "a bigint, b bigint").filter("a < b").distinct()
+    return found, places.join(crowded, F.get("regions", F.lit(0)) == F.col("_crowded"), "left_semi")
 
 
 # ---- The operator ----------------------------------------------------------------------------------------------------
@@ -233,8 +290,8 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """``node, component`` after more links."""
     if labels is None:
         return components(links)
-    to = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"{name}_c"))
-    between = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
+    of = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"{name}_c"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
     moved = components(between)
     known = labels.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
     fresh = moved.join(labels.select("node"), "node", "left_anti")
@@ -250,20 +307,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _near_duplicates(docs: DataFrame) -> DataFrame:
     signed = stored(_signed(docs), "signed")
     named = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = stored(named.groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
+    classes = stored(named.groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first(F.struct("signature", "extra")).alias("s")).select("low", "high", "n_shingles", "rep", "s.*"), "classes")
     members = stored(_members(classes), "members")
-    full = stored(_sets_of(docs, members.select("rep").distinct()), "sets")
-    neighbours = stored(_neighbours(members), "neighbours")
+    reps = stored(classes.join(members.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]), "reps")
+    full = stored(_sets_of(docs, reps.select("rep")), "sets")
+    sketches = stored(_sketches(reps), "sketches")
+    places = stored(_places(members, reps), "places")
+    neighbours = stored(_likely(_neighbours(members), sketches), "neighbours")
     tested = stored(_confirmed(_best(neighbours), full), "tested")
     labels = _merged(None, tested.filter("linked"))
+    rest = neighbours.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    more = stored(_confirmed(_between(rest, labels), full), "tested")
+    labels = _merged(labels, more.filter("linked"))
+    tested = tested.union(more)
     while True:
-        pairs = _regions(members, classes, labels).join(tested, ["a", "b"], "left_anti")
-        more = stored(_confirmed(pairs, full), "tested")
+        pairs, crowded = _across(places, sketches, labels)
+        more = stored(_confirmed(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), full), "tested")
         links = more.filter("linked")
         if links.isEmpty():
             break
         labels = _merged(labels, links)
-        tested = stored(tested.union(more), "tested")
+        # Regions that were tried as a whole are done; the others have fewer components now.
+        places = stored(crowded, "places")
+        if places.isEmpty():
+            break
+        tested = tested.union(more)
     ends = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("low", "high", "n_shingles", F.coalesce("component", "rep").alias("component"))
     joined = signed.select("doc_id", "n_shingles", "low", "high").join(ends, ["low", "high", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
