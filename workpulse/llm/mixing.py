@@ -94,7 +94,8 @@ def cuts(sizes: DataFrame, shares: DataFrame) -> DataFrame:
     # Rows that tie in rank and id are peers of the running sum, so they are taken together.
     upto = F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id"))
     peers = F.sum("size").over(Window.partitionBy("source", "rank", "doc_id"))
-    near = F.abs(F.col("upto") - F.col("wanted")) <= F.abs(F.col("upto") - F.col("peers") - F.col("wanted"))
+    short = F.col("upto") - F.col("peers") < F.col("wanted")  # else the words were there already
+    near = short & (F.abs(F.col("upto") - F.col("wanted")) <= F.abs(F.col("upto") - F.col("peers") - F.col("wanted")))
     summed = final.withColumn("upto", upto + F.col("start")).withColumn("peers", peers)
     taken = F.when(near, F.struct(F.col("rank"), F.col("doc_id")))
     return stored(summed.groupBy("source").agg(F.max("bin").alias("stop"), F.max(taken).alias("last")), "cut")

@@ -67,6 +67,42 @@ QUERIES = {
 }
 
 SQL = {
+    "op8_pareto_mix": rf"""
+        WITH sizes AS (
+            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{mixing.WORD}')), 0)::BIGINT AS size FROM documents
+        ), drawn AS (
+            SELECT *, (('0x' || md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || size)[1:12])::BIGINT + 0.5::DOUBLE)
+                / 281474976710656.0::DOUBLE AS u FROM sizes
+        ), weighed AS (
+            SELECT source, sum(size)::BIGINT AS source_size,
+                [3, 1, 2][(row_number() OVER (ORDER BY source IS NULL, source) - 1)::INTEGER % 3 + 1] AS weight FROM sizes GROUP BY source
+        ), ordered AS (
+            SELECT *, coalesce(sum(2 * source_size) OVER below, 0) AS stopped, coalesce(sum(weight) OVER below, 0) AS gone,
+                sum(source_size) OVER () AS total, sum(weight) OVER () AS weights, row_number() OVER along AS place
+            FROM weighed WINDOW along AS (ORDER BY 2.0::DOUBLE * source_size / weight, source),
+                below AS (ORDER BY 2.0::DOUBLE * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), levels AS (
+            SELECT place, weight, source_size, (total * 1.5::DOUBLE - stopped) / (weights - gone)::DOUBLE AS level FROM ordered
+        ), level AS (
+            SELECT coalesce((SELECT level FROM levels WHERE weight * level < 2 * source_size ORDER BY place LIMIT 1),
+                (SELECT max(2.0::DOUBLE * source_size) FROM levels)) AS level
+        ), shares AS (
+            SELECT source, source_size, least(weight * level, 2.0::DOUBLE * source_size) AS target,
+                CASE WHEN source_size > 0 THEN least(weight * level, 2.0::DOUBLE * source_size) / source_size ELSE 0.0::DOUBLE END AS copies
+            FROM weighed, level
+        ), ranked AS (
+            SELECT d.*, source_size, target, floor(copies) AS whole, copies - floor(copies) AS chance,
+                CASE WHEN copies > floor(copies)
+                    THEN (u / (1 - u)) / ((copies - floor(copies)) / (1 - (copies - floor(copies)))) END AS rank
+            FROM drawn d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source
+        ), summed AS (
+            SELECT *, target - whole * source_size AS wanted, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id) AS upto,
+                sum(size) OVER (PARTITION BY source, rank, doc_id) AS peers FROM ranked
+        )
+        SELECT doc_id, size, source_size, target, copies, (copies * size)::BIGINT AS taken FROM (
+            SELECT *, (whole + CASE WHEN rank IS NOT NULL AND upto - peers < wanted AND abs(upto - wanted) <= abs(upto - peers - wanted)
+                THEN 1 ELSE 0 END)::INTEGER AS copies FROM summed)
+    """,
     "op1_warc": """
         WITH rows AS (
             SELECT page_id, strlen(coalesce(html, '')) AS size, sha1(coalesce(html, '')) AS digest FROM pages
