@@ -114,6 +114,28 @@ SQL = {
             CASE WHEN page_id IS NULL OR page_id < kept THEN kept END AS refers_to
         FROM rows LEFT JOIN kept ON rows.digest = kept.digest
     """,
+    "op2_lsh_forest": rf"""
+        WITH RECURSIVE worded AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '{mixing.WORD}') AS w FROM documents
+        ), sets AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5
+                THEN list_transform(range(1, len(w) - 3), lambda i: md5(array_to_string(w[i:i + 4], ' ')))
+                WHEN len(w) > 0 THEN [md5(array_to_string(w, ' '))] ELSE [] END) AS s FROM worded
+        ), shingles AS (
+            SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets WHERE doc_id IS NOT NULL
+        ), links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+        ), reached AS (
+            SELECT doc_id, doc_id AS other FROM sets WHERE doc_id IS NOT NULL
+            UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a
+        ), parts AS (
+            SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+        )
+        SELECT s.doc_id, len(s)::BIGINT AS n_shingles, component_id, coalesce(s.doc_id = component_id, true) AS kept
+        FROM sets s LEFT JOIN parts p ON s.doc_id = p.doc_id
+    """,
     "op5_pivot_topk": """
         WITH good AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
