@@ -265,6 +265,16 @@ def test_leaks_agree_with_plain_tiling(spark, docs):
     assert clean.columns == docs(rows, clash=True).columns
 
 
+def test_leaks_of_words_that_repeat(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontamination, "HELD", 1000)
+    items = [(1, "a " * 60), (2, "a b " * 30), (3, "a a a a a a b a a a a a a")]
+    rows = [(1, "a " * 200), (2, "b a " * 90), (3, "a a a a a a a b"), (4, "x " + "a " * 44), (5, "x " + "a " * 45), (6, "a a a a a a c b a a a a a a")]
+    frame = decontamination.leaks(docs(rows), _items(spark, items))
+    assert {(str(r.doc_id), r.item_id, r.covered_words) for r in frame.collect()} == _leaks(rows, items)
+    long = decontamination.leaks(docs([(9, "a " * 30_000)]), _items(spark, [(1, "a " * 90)])).collect()
+    assert [(r.doc_id, r.covered_words) for r in long] == [(9, 90)]
+
+
 def test_leaks_in_several_passes(spark, docs, monkeypatch):
     rng = random.Random(9)
     items = [(k, _prose(rng, 20)) for k in range(12)]

@@ -26,6 +26,7 @@ from workpulse.llm.text import PUNCTUATION, parts, shingles, word_values, words
 SEED = 5
 COVERAGE = 0.75
 PER_PASS = 2_000_000
+HELD = 2_000_000  # seeds of a slice of documents that are held at once
 _SIEVE = 22  # bits of the table that most of a document's runs fail
 
 
@@ -34,12 +35,12 @@ def _values(data, offsets):
     return word_values(data, starts, ends), firsts
 
 
-def tile(matches: list[tuple[int, int, int]], least: int = SEED) -> list[tuple[int, int, int]]:
-    """Tiles out of maximal matches ``(length, place in the text, place in the item)``; each is as long as any match then left."""
+def tile(matches: list[tuple[int, int, int]], size: int, least: int = SEED) -> list[tuple[int, int, int]]:
+    """Tiles out of maximal matches ``(length, place in the text, place in the item of size words)``; each is as long as any match then left."""
     heap = [(-length, t, p) for length, t, p in matches if length >= least]
     heapq.heapify(heap)
     in_text, in_item, tiles = set(), set(), []
-    while heap:
+    while heap and size - len(in_item) >= least:
         length, t, p = heapq.heappop(heap)
         free = [t + k not in in_text and p + k not in in_item for k in range(-length)]
         if all(free):
@@ -60,7 +61,7 @@ class Seeds:
     """Runs of ``SEED`` words of some items, by value."""
 
     def __init__(self, item_ids: list, texts: pa.Array):
-        self.item_ids, values, owners, places, self.lengths = item_ids, [], [], [], []
+        self.item_ids, values, owners, places, self.lengths, all_words = item_ids, [], [], [], [], []
         for i, j, data, offsets in parts(texts):
             of_words, firsts = _values(data, offsets)
             runs, first = shingles(of_words, firsts, SEED, whole=False)
@@ -69,6 +70,9 @@ class Seeds:
             owners.append(np.repeat(np.arange(i, j), counts))
             places.append(np.arange(len(runs)) - np.repeat(first[:-1], counts))
             self.lengths += np.diff(firsts).tolist()
+            all_words.append(of_words)
+        self.words = np.concatenate([np.zeros(0, np.uint64), *all_words])
+        self.firsts = np.concatenate([[0], np.cumsum(self.lengths, dtype=np.int64)])
         values = np.concatenate([np.zeros(0, np.uint64), *values])
         order = np.argsort(values, kind="stable")
         self.values = values[order]
@@ -86,17 +90,30 @@ class Seeds:
         times = high - low
         if not times.sum():
             return
-        seed = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        at = np.repeat(near, times)
-        text = np.searchsorted(first, at, "right") - 1
-        item, p, t = self.owners[seed], self.places[seed], at - first[text]
-        order = np.lexsort((t, t - p, item, text))
-        text, item, p, t = text[order], item[order], p[order], t[order]
-        # Seeds on one diagonal, each a word after the other, are one match.
-        new = np.ones(len(t), bool)
-        new[1:] = (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(t) != 1) | (np.diff(p) != 1)
-        begins = np.flatnonzero(new)
-        lengths = np.diff(np.append(begins, len(t))) + SEED - 1
+        # Words that repeat give many seeds, so seeds are made in runs and only the ends of matches are kept.
+        begins, ends = [], []
+        inner = np.searchsorted(np.cumsum(times), np.arange(HELD, int(times.sum()), HELD))
+        bounds = np.unique(np.concatenate([[0], inner, [len(times)]])).tolist()
+        for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+            n = times[x:y]
+            seed = np.repeat(low[x:y] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            at = np.repeat(near[x:y], n)
+            text = np.searchsorted(first, at, "right") - 1
+            item, p, t = self.owners[seed], self.places[seed], at - first[text]
+            where, other = firsts[text] + t, self.firsts[item] + p
+            opens = (t == 0) | (p == 0)
+            opens[~opens] = of_words[where[~opens] - 1] != self.words[other[~opens] - 1]
+            closes = (where + SEED >= firsts[text + 1]) | (other + SEED >= self.firsts[item + 1])
+            closes[~closes] = of_words[where[~closes] + SEED] != self.words[other[~closes] + SEED]
+            rows = np.stack([text, item, t - p, t])
+            begins.append(rows[:, opens])
+            ends.append(rows[:, closes])
+        # Along a diagonal every match opens once and then closes once.
+        begins, ends = (np.concatenate(x, 1) for x in (begins, ends))
+        begins, ends = (x[:, np.lexsort(x[::-1])] for x in (begins, ends))
+        text, item, _, t = begins
+        p, lengths = t - begins[2], ends[3] - t + SEED
+        begins = np.arange(len(t))
         pair = np.ones(len(begins), bool)
         pair[1:] = (np.diff(text[begins]) != 0) | (np.diff(item[begins]) != 0)
         bounds = np.append(np.flatnonzero(pair), len(begins))
@@ -105,7 +122,7 @@ class Seeds:
             size = self.lengths[item[own[0]]]
             if lengths[a:b].sum() < COVERAGE * size:  # tiles cover at most all matches
                 continue
-            tiles = tile(list(zip(lengths[a:b].tolist(), t[own].tolist(), p[own].tolist(), strict=True)))
+            tiles = tile(list(zip(lengths[a:b].tolist(), t[own].tolist(), p[own].tolist(), strict=True)), size)
             covered = sum(x[0] for x in tiles)
             if covered >= COVERAGE * size:
                 yield int(text[own[0]]), int(item[own[0]]), covered, len(tiles)
