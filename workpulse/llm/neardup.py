@@ -233,8 +233,8 @@ def _places(members: DataFrame, reps: DataFrame) -> DataFrame:
     return members.select("tree", "rep").join(reps.select("rep", "signature"), "rep").withColumn("turned", turned).select("rep", regions.alias("regions"))
 
 
-def _across(places: DataFrame, sketches: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Likely pairs of all regions that still matter, and the places whose shallow regions had too many classes outside."""
+def _across(places: DataFrame, sketches: DataFrame, labels: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Likely pairs of all regions that still matter and are not done, these regions, and the places whose shallow regions were too crowded."""
     labelled = places.join(labels.select(F.col("node").alias("rep"), F.col("component").alias("_c")), "rep", "left")
     rows = labelled.select("rep", F.coalesce("_c", "rep").alias("component"), "regions", F.posexplode("regions").alias("depth", "region"))
     rows = rows.withColumn("parent", F.get("regions", F.col("depth") - 1)).drop("regions")
@@ -247,6 +247,7 @@ def _across(places: DataFrame, sketches: DataFrame, labels: DataFrame) -> tuple[
     small = regions.filter((F.col("outside") <= OUTSIDE) | (F.col("depth") == len(DEPTHS) - 1))
     small = small.join(crowded, F.col("parent") == F.col("_crowded"), "left").filter("depth = 0 or _crowded is not null")
     small = small.select("region", "main", "outside")
+    small = stored(small if done is None else small.join(done, "region", "left_anti"), "tried")
     inside = stored(rows.select("rep", "component", "region").join(small, "region").join(sketches, "rep"), "inside")
     # Those outside go in packs of a bounded size to every row of their region.
     pack = F.pmod(F.xxhash64("rep"), F.ceil(F.col("outside") / OUTSIDE))
@@ -267,7 +268,7 @@ def _across(places: DataFrame, sketches: DataFrame, labels: DataFrame) -> tuple[
 
     met = inside.select("region", "rep", "component", "n", "sketch").join(packs.select("region", "tried"), "region").drop("region")
     found = met.mapInArrow(pairs, "a bigint, b bigint").filter("a < b").distinct()
-    return found, places.join(crowded, F.get("regions", F.lit(0)) == F.col("_crowded"), "left_semi")
+    return found, small, places.join(crowded, F.get("regions", F.lit(0)) == F.col("_crowded"), "left_semi")
 
 
 # ---- The operator ----------------------------------------------------------------------------------------------------
@@ -320,14 +321,18 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     more = stored(_confirmed(_between(rest, labels), full), "tested")
     labels = _merged(labels, more.filter("linked"))
     tested = tested.union(more)
+    done = None
     while True:
-        pairs, crowded = _across(places, sketches, labels)
+        pairs, tried, crowded = _across(places, sketches, labels, done)
+        if done is not None and tried.isEmpty():
+            break
         more = stored(_confirmed(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), full), "tested")
         links = more.filter("linked")
         if links.isEmpty():
             break
         labels = _merged(labels, links)
-        # Regions that were tried as a whole are done; the others have fewer components now.
+        # Regions that were tried are done for good; crowded ones have fewer components now.
+        done = tried.select("region") if done is None else done.union(tried.select("region"))
         places = stored(crowded, "places")
         if places.isEmpty():
             break
