@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from workpulse.llm.text import PUNCTUATION, parts, shingles, word_values, words
+from workpulse.llm.text import PUNCTUATION, parts, shingles, tidy, word_values, words
 
 SEED = 5
 COVERAGE = 0.75
@@ -156,7 +156,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         ids = batch.column(0).take(pa.array([i + x for x in text]))
                         yield pa.RecordBatch.from_pydict({"doc_id": ids, "item_id": [seeds.item_ids[x] for x in item], "item_words": size, "covered_words": np.array(covered, np.int64), "coverage": np.array(covered) / size, "tiles": np.array(tiles, np.int64)})
 
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(rows, schema))
+        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(tidy(rows), schema))
     return out
 
 
@@ -172,5 +172,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     clean[[i + found[0] for found in seeds.leaks(data, offsets)]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(rows, docs.schema)
+        docs = docs.mapInArrow(tidy(rows), docs.schema)
     return docs

@@ -17,10 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from workpulse.llm.text import parts, word_values, words
+from workpulse.llm.text import parts, tidy, utf8, word_values, words
 
-PER_LANGUAGE = 1000
-SAMPLE = 6000
+PER_LANGUAGE = 600
+SAMPLE = 3000
 LEAST = 20
 MOST_LANGUAGES = 500
 DIM = 4096
@@ -175,14 +175,16 @@ def fit(docs: DataFrame) -> Model | None:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i + k, 1), pa.array([at.astype("<u2").tobytes()]), pa.array([row[at].tobytes()])], ["lang", "bins", "counts"])
 
     # The hash keeps to the bound by chance; the limit does so for tables of few, often repeated ids.
-    got = sample.mapInArrow(rows, "lang string, bins binary, counts binary").limit(2 * each * len(shares)).toArrow()
+    got = sample.mapInArrow(tidy(rows), "lang string, bins binary, counts binary").limit(2 * each * len(shares)).toArrow()
     got = got.sort_by([("lang", "ascending"), ("bins", "ascending"), ("counts", "ascending")])
     if not got.num_rows:
         return None
     dense = np.zeros((got.num_rows, DIM + 1), np.float32)
     dense[:, DIM] = 1
-    for k, (bins, counts) in enumerate(zip(got["bins"].to_pylist(), got["counts"].to_pylist(), strict=True)):
-        dense[k, np.frombuffer(bins, "<u2")] = np.frombuffer(counts, np.float32)
+    (bins, at), (counts, _) = (utf8(got[name].cast(pa.large_binary()).combine_chunks()) for name in ("bins", "counts"))
+    bins, counts, at = bins.view("<u2"), counts.view(np.float32), at // 2
+    for k in range(len(dense)):
+        dense[k, bins[at[k] : at[k + 1]]] = counts[at[k] : at[k + 1]]
     return Model(dense, np.array(got["lang"].to_pylist(), object))
 
 
@@ -207,7 +209,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names, scores], ["doc_id", "held_out", "lang_pred", "score"])
 
     read = docs.select("doc_id", held_out().alias("held_out"), "text", F.col("text").rlike(r"\p{L}"))
-    return read.mapInArrow(rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return read.mapInArrow(tidy(rows), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, model: Model | None, below: float = REJECT_BELOW) -> DataFrame:
@@ -220,4 +222,4 @@ def identified(docs: DataFrame, model: Model | None, below: float = REJECT_BELOW
             good = (np.array(languages.to_pylist(), object) != UNDETERMINED) & (scores.to_numpy() >= below)
             yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], schema=pa.schema(list(batch.schema)[: len(names)])).filter(pa.array(good))
 
-    return docs.select("*", F.col("text").rlike(r"\p{L}")).mapInArrow(rows, docs.schema)
+    return docs.select("*", F.col("text").rlike(r"\p{L}")).mapInArrow(tidy(rows), docs.schema)

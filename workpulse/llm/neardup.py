@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from workpulse.llm.components import components
 from workpulse.llm.storage import scratch, stored
-from workpulse.llm.text import mixed, parts, shingles, word_values, words
+from workpulse.llm.text import mixed, parts, shingles, tidy, word_values, words
 
 TREES, DEPTH, FIRST = 20, 5, 3
 DEPTHS = (3, 5, 8, 13, 20)  # minima that a region's classes share, from shallow to deep
@@ -36,6 +36,7 @@ OUTSIDE = 32
 TRIED = 2  # partners that a class tries at once
 SIMILARITY = 75  # per cent of the union
 SKETCH = 256
+SENT = 1_000_000  # ids of 8 bytes
 LIKELY = 161  # of the sketch; 4.5 standard deviations below what pairs of the least similarity share
 _EXTRA = SKETCH - TREES * DEPTH
 _WIDE = 4  # bytes of a minimum
@@ -92,7 +93,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 columns = [batch.column(0).slice(i, j - i), pa.array(count.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in names), pa.array(signature, pa.binary()), pa.array(extra, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "low", "high", "signature", "extra"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(rows, "doc_id bigint, n_shingles bigint, low bigint, high bigint, signature binary, extra binary")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidy(rows), "doc_id bigint, n_shingles bigint, low bigint, high bigint, signature binary, extra binary")
 
 
 # ---- Candidates ------------------------------------------------------------------------------------------------------
@@ -128,7 +129,7 @@ def _members(classes: DataFrame) -> DataFrame:
             yield _with_next(held, np.zeros(0, bool), np.ones(1, bool), 1)
 
     ordered = forest.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
-    return ordered.mapInArrow(rows, "tree int, key binary, rep bigint, n bigint, next bigint, next_n bigint")
+    return ordered.mapInArrow(tidy(rows), "tree int, key binary, rep bigint, n bigint, next bigint, next_n bigint")
 
 
 def _with_next(batch, near, keep, upto):
@@ -179,7 +180,7 @@ def _sketches(reps: DataFrame) -> DataFrame:
                 whole = np.hstack([low, rest])
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([row.tobytes() for row in whole], pa.binary())], ["rep", "n", "sketch"])
 
-    return reps.select("rep", F.col("n_shingles").alias("n"), "signature", "extra").mapInArrow(rows, "rep bigint, n bigint, sketch binary")
+    return reps.select("rep", F.col("n_shingles").alias("n"), "signature", "extra").mapInArrow(tidy(rows), "rep bigint, n bigint, sketch binary")
 
 
 def _bytes(column) -> np.ndarray:
@@ -198,7 +199,7 @@ def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
     one = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("x"))
     other = sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("y"))
-    return pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(rows, "a bigint, b bigint, shared bigint")
+    return pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(tidy(rows), "a bigint, b bigint, shared bigint")
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -217,7 +218,7 @@ def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
 
     one = full.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
     other = full.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(rows, "a bigint, b bigint, linked boolean")
+    return pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(tidy(rows), "a bigint, b bigint, linked boolean")
 
 
 # ---- Regions ---------------------------------------------------------------------------------------------------------
@@ -267,7 +268,7 @@ def _across(places: DataFrame, sketches: DataFrame, labels: DataFrame, done: Dat
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(found, rep)), pa.array(np.maximum(found, rep))], ["a", "b"])
 
     met = inside.select("region", "rep", "component", "n", "sketch").join(packs.select("region", "tried"), "region").drop("region")
-    found = met.mapInArrow(pairs, "a bigint, b bigint").filter("a < b").distinct()
+    found = met.mapInArrow(tidy(pairs), "a bigint, b bigint").filter("a < b").distinct()
     return found, small, places.join(crowded, F.get("regions", F.lit(0)) == F.col("_crowded"), "left_semi")
 
 
@@ -284,7 +285,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([values[a:b].tobytes() for a, b in zip(firsts[:-1], firsts[1:], strict=True)], pa.binary())], ["rep", "shingles"])
 
     rows_of = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(wanted, "rep", "left_semi")
-    return rows_of.mapInArrow(rows, "rep bigint, shingles binary")
+    return rows_of.mapInArrow(tidy(rows), "rep bigint, shingles binary")
 
 
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -345,14 +346,18 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component, columns as they are; rows that repeat a kept id go too. Rows without an id stay."""
-    kept = near_duplicates(docs).filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_kept")).agg((F.count(F.lit(1)) > 1).alias("_again"))
-    kept = stored(kept, "kept")
-    named = docs.filter("doc_id is not null")
+    """One document of each component, columns as they are; rows that repeat a kept id go too. Rows without an id stay.
 
-    def chosen(ids):
-        return named.join(ids, named["doc_id"] == ids["_kept"], "left_semi")
-
-    out = chosen(kept.filter("not _again")).unionByName(docs.filter("doc_id is null"))
-    again = kept.filter("_again")
-    return out if again.isEmpty() else out.unionByName(chosen(again).dropDuplicates(["doc_id"]))
+    Up to ``SENT`` ids that go are sent to every task, so the texts are not shuffled; more of them are joined by a shuffle.
+    """
+    found = near_duplicates(docs).filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id"))
+    ids = stored(found.agg(F.bool_or("kept").alias("_kept"), (F.count(F.lit(1)) > 1).alias("_again")), "kept")
+    gone = ids.filter("not _kept").select("_id")
+    if gone.count() <= SENT:
+        gone = F.broadcast(gone)
+    out = docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    again = ids.filter("_kept and _again").select("_id")
+    if again.isEmpty():
+        return out
+    once = out.join(again, out["doc_id"] == again["_id"], "left_semi").dropDuplicates(["doc_id"])
+    return out.join(again, out["doc_id"] == again["_id"], "left_anti").unionByName(once)

@@ -40,6 +40,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def tidy(rows):
+    """A function over batches that gives the memory of its batches back when its task ends; workers live on for other tasks."""
+
+    def done(batches):
+        yield from rows(batches)
+        pa.default_memory_pool().release_unused()
+
+    return done
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the offsets of its texts; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from workpulse.llm.storage import file_system, new_folder, stored
-from workpulse.llm.text import parts, word_values, words
+from workpulse.llm.text import parts, tidy, word_values, words
 
 MARK = b"WPS8B001"
 BLOCK = 512
@@ -35,7 +35,7 @@ BITS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 END_ID = 2
 FILE_IDS = 1 << 24  # a task starts another file after so many ids
 MOST_TASKS = 10_000  # that read files back; beyond, a task reads several
-SLICE = 1 << 20
+SLICE = 1 << 19
 _TAIL = np.array([32 < c < 127 and not chr(c).isalnum() and chr(c) != "'" for c in range(256)])
 _LETTER = np.array([c < 128 and chr(c).isalpha() for c in range(256)])
 VOCABULARY = "word_bpe_49k.json"
@@ -212,7 +212,7 @@ class Pieces:
     left as they are. Pieces are known by a 64-bit value of their bytes; at most ``most`` are kept.
     """
 
-    def __init__(self, vocabulary: str, most: int = 1_500_000):
+    def __init__(self, vocabulary: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -307,7 +307,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> tuple[DataF
             done.append((part, number, name, writer.ids))
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64()))], ["part", "number", "file", "ids"])
 
-    return stored(ordered.mapInArrow(files, "part bigint, number bigint, file string, ids bigint"), "manifest"), folder
+    return stored(ordered.mapInArrow(tidy(files), "part bigint, number bigint, file string, ids bigint"), "manifest"), folder
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -327,7 +327,7 @@ def read(manifest: DataFrame) -> DataFrame:
 
     # A given number of partitions, or the adaptive planner would put the few bytes of the manifest, and so all files, into one task.
     files = placed.select("file", "start").repartition(min(MOST_TASKS, max(1, manifest.count())), "file")
-    return files.mapInArrow(rows, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return files.mapInArrow(tidy(rows), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def digest(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
