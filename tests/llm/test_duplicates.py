@@ -135,6 +135,24 @@ def test_crowded_regions_go_deeper(docs, monkeypatch):
     assert deeper
 
 
+def test_links_within_a_family_of_templated_texts(docs):
+    """600 texts that share 0.72 of their shingles, some with a partner at 0.75 to 0.80."""
+    rng = random.Random(12)
+    wide = [f"v{i}" for i in range(3000)]
+    form = " ".join(rng.choices(wide, k=252))
+    texts = [f"{form} {' '.join(rng.choices(wide, k=48))}" for _ in range(600)]
+    near = []
+    for k in range(40):
+        own = texts[k].split()
+        same = 252 + rng.randint(8, 14)
+        near.append(" ".join(own[:same] + rng.choices(wide, k=300 - same)))
+    alike = [len(_set(a) & _set(b)) / len(_set(a) | _set(b)) for a, b in zip(texts, near, strict=False)]
+    assert min(alike) >= 0.75 and max(alike) < 0.8
+    assert 0.70 < len(_set(texts[0]) & _set(texts[1])) / len(_set(texts[0]) | _set(texts[1])) < 0.75
+    rows = list(enumerate(texts + near))
+    _check_components(neardup.near_duplicates(docs(rows)), rows)
+
+
 def test_components_of_chains_and_hubs(spark):
     rng = random.Random(4)
     chain = list(range(300))

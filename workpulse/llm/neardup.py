@@ -8,8 +8,11 @@ large groups at little cost.
 The rest is found region by region. A region is a run of classes with a common prefix. Within it only classes outside its
 largest component can have a link that still matters, and they are tried against every class of the region. A region in which more
 than ``OUTSIDE`` classes lie outside is taken deeper, along ``DEPTHS``, until its parts are small enough; at the last depth everything is tried.
-So work stays in proportion to the classes, without a cap on partners. New links bring components together, so regions that were taken deeper are
-tried again until no new link appears.
+New links bring components together, so regions that were taken deeper are tried again until no new link appears.
+
+What is still crowded then are families of texts that share much, but mostly too little. Their classes are joined on their rarest shingles, without
+regard to regions: two sets that are to be linked have one in common among the first of both in an order of all shingles (`_rarest`), so no such
+pair is left out. There is no cap on partners anywhere.
 
 A pair is tried by sketch first, `SKETCH` minima of one byte each: less than ``LIKELY`` of them agree for a pair that is to be linked with a chance of
 about 4e-6. What passes is confirmed on full sets. Two sets of Jaccard similarity 0.75 share a prefix of three minima in one of 20 trees with
@@ -38,6 +41,8 @@ SIMILARITY = 75  # per cent of the union
 SKETCH = 256
 SENT = 1_000_000  # ids of 8 bytes
 LIKELY = 161  # of the sketch; 4.5 standard deviations below what pairs of the least similarity share
+COMMON = 1000  # a shingle that so many classes hold, or one in so many of all, is a common one
+SPREAD = 1 << 18  # shingles that are spread out at once
 _EXTRA = SKETCH - TREES * DEPTH
 _WIDE = 4  # bytes of a minimum
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -272,6 +277,60 @@ def _across(places: DataFrame, sketches: DataFrame, labels: DataFrame, done: Dat
     return found, small, places.join(crowded, F.get("regions", F.lit(0)) == F.col("_crowded"), "left_semi")
 
 
+# ---- Crowded families ------------------------------------------------------------------------------------------------
+
+
+def _least(n):
+    """Shingles that a set of ``n`` shares at least with a set it is linked with."""
+    return F.ceil(n * SIMILARITY / F.lit(100))
+
+
+def _rarest(crowded: DataFrame, full: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every pair ``a < b`` of different components among the classes of crowded regions that can be linked by its rarest shingles.
+
+    All shingles stand in one order: first those that only one component holds, which no pair shares, then from rare to common. Sets of ``x``
+    and ``y`` shingles that are linked share ``o = 0.75 / 1.75 * (x + y)`` at least, so the first that they share stands at a place up to ``x - o + 1`` in
+    one and up to ``y - o + 1`` in the other.
+    """
+    component = labels.select(F.col("node").alias("rep"), F.col("component").alias("_c"))
+    reps = stored(crowded.select("rep").distinct().join(component, "rep", "left").select("rep", F.coalesce("_c", "rep").alias("component")), "families")
+
+    def rows(batches):
+        for batch in batches:
+            sets_of = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
+            start = 0
+            while start < len(sets_of):
+                end, size = start, 0
+                while end < len(sets_of) and (end == start or size + len(sets_of[end]) <= SPREAD):
+                    size += len(sets_of[end])
+                    end += 1
+                n = np.array([len(x) for x in sets_of[start:end]], np.int64)
+                ids = [pa.array(np.repeat(batch.column(c).to_numpy()[start:end], n)) for c in range(2)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets_of[start:end]))], ["rep", "component", "n", "shingle"])
+                start = end
+
+    own = full.join(reps, "rep").select("rep", "component", "shingles")
+    spread = stored(own.mapInArrow(tidy(rows), "rep bigint, component bigint, n bigint, shingle bigint"), "spread")
+    held = spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("component").alias("_low"), F.max("component").alias("_high"))
+    held = stored(held.filter("_low <> _high").select("shingle", "times"), "held")
+    # So few shingles are common that every task can have them; no task gets all rows of one.
+    common = F.col("times") > max(COMMON, reps.count() // COMMON)
+    several = spread.join(held.filter(~common), "shingle").unionByName(spread.join(F.broadcast(held.filter(common)), "shingle"))
+    whole = Window.partitionBy("rep")
+    place = F.col("n") - F.count(F.lit(1)).over(whole) + F.row_number().over(whole.orderBy("times", "shingle"))
+    first = several.withColumn("place", place).filter(F.col("place") <= F.col("n") - _least(F.col("n")) + 1)
+    first = stored(first.select("shingle", "rep", "component", "n", "place"), "first")
+    # Of each shingle's holders, those outside its largest component are tried against all.
+    sizes = first.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("shingle").agg(F.max(F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("kinds"))
+    main = stored(main.filter("kinds > 1").select("shingle", F.col("main.component").alias("main")), "main")
+    outside = first.join(main, "shingle").filter("component <> main").select("shingle", *[F.col(c).alias(f"_{c}") for c in ("rep", "component", "n", "place")])
+    both = outside.join(first, "shingle").filter("component <> _component").filter(_similar_size("n", "_n"))
+    shared = F.ceil((F.col("n") + F.col("_n")) * SIMILARITY / F.lit(100 + SIMILARITY))
+    both = both.filter((F.col("place") + shared <= F.col("n") + 1) & (F.col("_place") + shared <= F.col("_n") + 1))
+    return both.select(F.least("rep", "_rep").alias("a"), F.greatest("rep", "_rep").alias("b")).distinct()
+
+
 # ---- The operator ----------------------------------------------------------------------------------------------------
 
 
@@ -334,10 +393,14 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
         labels = _merged(labels, links)
         # Regions that were tried are done for good; crowded ones have fewer components now.
         done = tried.select("region") if done is None else done.union(tried.select("region"))
+        tested = tested.union(more)
         places = stored(crowded, "places")
         if places.isEmpty():
             break
-        tested = tested.union(more)
+    crowded = stored(crowded, "crowded")
+    if not crowded.isEmpty():
+        likely = _likely(_rarest(crowded, full, labels).join(tested.select("a", "b"), ["a", "b"], "left_anti"), sketches)
+        labels = _merged(labels, stored(_confirmed(likely, full), "tested").filter("linked"))
     ends = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("low", "high", "n_shingles", F.coalesce("component", "rep").alias("component"))
     joined = signed.select("doc_id", "n_shingles", "low", "high").join(ends, ["low", "high", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
