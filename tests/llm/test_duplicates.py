@@ -153,6 +153,18 @@ def test_links_within_a_family_of_templated_texts(docs):
     _check_components(neardup.near_duplicates(docs(rows)), rows)
 
 
+def test_rows_that_share_an_id_are_decided_by_their_own_text(docs):
+    rng = random.Random(13)
+    a, alone, p, q = (_prose(rng, 60) for _ in range(4))
+    rows = [(1, a), (2, a + " end"), (2, alone), (5, p), (5, q), (5, q.upper()), (7, p + " end"), (8, q + " end"), (9, alone + " end"), (10, ""), (10, None), (10, a)]
+    left = neardup.without_near_duplicates(docs(rows, clash=True))
+    assert left.columns == docs(rows, clash=True).columns
+    kept = [(r.doc_id, r.text or "") for r in left.collect()]
+    assert sorted((d, t) for d, t in kept) == sorted([(1, a), (2, alone), (5, p), (5, min(q, q.upper())), (10, "")])
+    component = {(r.doc_id, r.n_shingles): r.component_id for r in neardup.near_duplicates(docs(rows)).collect()}
+    assert [component[i, 57] for i in (2, 7, 8, 9)] == [1, 5, 5, 2]
+
+
 def test_components_of_chains_and_hubs(spark):
     rng = random.Random(4)
     chain = list(range(300))

@@ -19,7 +19,7 @@ about 4e-6. What passes is confirmed on full sets. Two sets of Jaccard similarit
 probability 1 - (1 - 0.75**3)**20, about 0.99998, and a component needs only one chain of links.
 
 Nulls, ties and odd input: null or empty texts and texts without words have an empty set and are linked with nothing; rows without an id are kept
-and belong to no component; rows that share an id are one document of several texts in links, and each row has the component of its own
+and belong to no component; rows that share an id but hold different sets are of different classes, and each row has the component of its own
 text. An empty table gives no rows. Further columns are not read.
 """
 
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from workpulse.llm.components import components
 from workpulse.llm.storage import scratch, stored
@@ -78,6 +78,16 @@ def signatures(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return out.T
 
 
+def _names(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Two numbers for each text that name its set; 0 for an empty one."""
+    some = np.diff(firsts) > 0
+    names = np.zeros((2, len(some)), np.uint64)
+    for k in range(2):
+        if some.any():
+            names[k, some] = np.add.reduceat(mixed(values + np.uint64(k + 1)), firsts[:-1][some])
+    return names.view(np.int64)
+
+
 def _signed(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, low, high, signature, extra``; low and high name the set, extra is the rest of its sketch."""
 
@@ -87,15 +97,12 @@ def _signed(docs: DataFrame) -> DataFrame:
                 values, firsts = sets(data, offsets)
                 count = np.diff(firsts)
                 some = count > 0
-                names = np.zeros((2, j - i), np.uint64)
-                for k in range(2):
-                    if some.any():
-                        names[k, some] = np.add.reduceat(mixed(values + np.uint64(k + 1)), firsts[:-1][some])
+                names = _names(values, firsts)
                 signature, extra = np.full(j - i, None, object), np.full(j - i, None, object)
                 minima = signatures(values, firsts)
                 signature[some] = [row.tobytes() for row in np.ascontiguousarray(minima[:, : TREES * DEPTH]).astype(">u4")]
                 extra[some] = [row.tobytes() for row in minima[:, TREES * DEPTH :].astype(np.uint8)]
-                columns = [batch.column(0).slice(i, j - i), pa.array(count.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in names), pa.array(signature, pa.binary()), pa.array(extra, pa.binary())]
+                columns = [batch.column(0).slice(i, j - i), pa.array(count.astype(np.int64)), *(pa.array(x) for x in names), pa.array(signature, pa.binary()), pa.array(extra, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "low", "high", "signature", "extra"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidy(rows), "doc_id bigint, n_shingles bigint, low bigint, high bigint, signature binary, extra binary")
@@ -334,17 +341,22 @@ def _rarest(crowded: DataFrame, full: DataFrame, labels: DataFrame) -> DataFrame
 # ---- The operator ----------------------------------------------------------------------------------------------------
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``rep, shingles`` of the wanted documents."""
+def _sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """``rep, shingles`` of classes: the texts of their smallest ids, of which those that hold the class's set count."""
 
     def rows(batches):
         for batch in batches:
-            for i, j, data, offsets in parts(batch.column(1)):
+            for i, j, data, offsets in parts(batch.column(3)):
                 values, firsts = sets(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([values[a:b].tobytes() for a, b in zip(firsts[:-1], firsts[1:], strict=True)], pa.binary())], ["rep", "shingles"])
+                low, high = _names(values, firsts)
+                own = (low == batch.column(1).to_numpy()[i:j]) & (high == batch.column(2).to_numpy()[i:j])
+                out = pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([values[a:b].tobytes() for a, b in zip(firsts[:-1], firsts[1:], strict=True)], pa.binary())], ["rep", "shingles"])
+                yield out.filter(pa.array(own))
 
-    rows_of = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(wanted, "rep", "left_semi")
-    return rows_of.mapInArrow(tidy(rows), "rep bigint, shingles binary")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
+    rows_of = texts.join(reps.select("rep", "id", "low", "high"), "id").select("rep", "low", "high", "text")
+    full = stored(rows_of.mapInArrow(tidy(rows), "rep bigint, shingles binary"), "sets")
+    return full if full.count() == reps.count() else stored(full.dropDuplicates(["rep"]), "sets")
 
 
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -362,16 +374,25 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each document."""
     with scratch(docs.sparkSession):
-        return stored(_near_duplicates(docs), "near-duplicates", keep=True)
+        return stored(_near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept"), "near-duplicates", keep=True)
 
 
 def _near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of each document, the name of its set, and whether it ``stands`` for its component."""
     signed = stored(_signed(docs), "signed")
     named = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = stored(named.groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first(F.struct("signature", "extra")).alias("s")).select("low", "high", "n_shingles", "rep", "s.*"), "classes")
+    classes = stored(named.groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("id"), F.first(F.struct("signature", "extra")).alias("s")).select("low", "high", "n_shingles", "id", F.col("id").alias("rep"), "s.*"), "classes")
+    # Classes are named by their smallest id; of several with the same one, those after the first by a hash of their set.
+    again = classes.groupBy("id").agg(F.min(F.struct("low", "high")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    again = stored(again.select("id", "_first"), "again")
+    shared = not again.isEmpty()
+    if shared:
+        later = F.col("_first") != F.struct("low", "high")
+        named_again = F.when(later, F.xxhash64("low", "high")).otherwise(F.col("id")).alias("rep")
+        classes = stored(classes.drop("rep").join(again, "id", "left").select("low", "high", "n_shingles", "id", named_again, "signature", "extra"), "classes")
     members = stored(_members(classes), "members")
-    reps = stored(classes.join(members.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]), "reps")
-    full = stored(_sets_of(docs, reps.select("rep")), "sets")
+    reps = stored(classes.join(members.select("rep").distinct(), "rep", "left_semi"), "reps")
+    full = _sets_of(docs, reps)
     sketches = stored(_sketches(reps), "sketches")
     places = stored(_places(members, reps), "places")
     neighbours = stored(_likely(_neighbours(members), sketches), "neighbours")
@@ -401,20 +422,45 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     if not crowded.isEmpty():
         likely = _likely(_rarest(crowded, full, labels).join(tested.select("a", "b"), ["a", "b"], "left_anti"), sketches)
         labels = _merged(labels, stored(_confirmed(likely, full), "tested").filter("linked"))
-    ends = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("low", "high", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    ends = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    if shared:
+        ends = stored(ends.select("low", "high", "n_shingles", "id", "component"), "ends")
+        main = ends.groupBy("component").agg(F.min(F.struct("id", "low", "high")).alias("m"))
+        ends = ends.join(main, "component").withColumn("own", F.col("m") == F.struct("id", "low", "high")).withColumn("component", F.col("m.id"))
+    else:
+        ends = ends.withColumn("own", F.col("rep") == F.col("component"))
+    ends = ends.select("low", "high", "n_shingles", "component", "own")
     joined = signed.select("doc_id", "n_shingles", "low", "high").join(ends, ["low", "high", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    out = joined.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = joined.select("doc_id", "n_shingles", component.alias("component_id"), "low", "high", F.coalesce("own", F.lit(True)).alias("own"))
+    out = out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.withColumn("stands", F.col("kept") & F.col("own"))
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """``docs`` with the name of each text's set in ``_set_low`` and ``_set_high``."""
+    text, names = docs.columns.index("text"), ["_set_low", "_set_high"]
+
+    def rows(batches):
+        for batch in batches:
+            for i, j, data, offsets in parts(batch.column(text)):
+                of_sets = [pa.array(x) for x in _names(*sets(data, offsets))]
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *of_sets], [*batch.schema.names, *names])
+
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(name, T.LongType()) for name in names]])
+    return docs.mapInArrow(tidy(rows), schema)
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component, columns as they are; rows that repeat a kept id go too. Rows without an id stay.
+    """One document of each component, columns as they are; rows that repeat a kept id and set go too. Rows without an id stay.
 
+    Rows that share an id are decided one by one, by their sets; the smallest text of an id and set is kept.
     Up to ``SENT`` ids that go are sent to every task, so the texts are not shuffled; more of them are joined by a shuffle.
     """
-    found = near_duplicates(docs).filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id"))
-    ids = stored(found.agg(F.bool_or("kept").alias("_kept"), (F.count(F.lit(1)) > 1).alias("_again")), "kept")
+    with scratch(docs.sparkSession):
+        found = stored(_near_duplicates(docs).select("doc_id", "low", "high", "stands").filter("doc_id is not null"), "near-duplicates", keep=True)
+    ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or("stands").alias("_kept"), (F.count(F.lit(1)) > 1).alias("_again"))
+    ids = stored(ids, "kept")
     gone = ids.filter("not _kept").select("_id")
     if gone.count() <= SENT:
         gone = F.broadcast(gone)
@@ -422,5 +468,9 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     again = ids.filter("_kept and _again").select("_id")
     if again.isEmpty():
         return out
-    once = out.join(again, out["doc_id"] == again["_id"], "left_semi").dropDuplicates(["doc_id"])
-    return out.join(again, out["doc_id"] == again["_id"], "left_anti").unionByName(once)
+    several = _named(out.join(again, out["doc_id"] == again["_id"], "left_semi"))
+    stands = found.filter("stands").select(F.col("doc_id").alias("_id"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    same = (several["doc_id"] == stands["_id"]) & (several["_set_low"] == stands["_low"]) & (several["_set_high"] == stands["_high"])
+    order = Window.partitionBy("doc_id", "_set_low", "_set_high").orderBy("text", F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    once = several.join(stands, same, "left_semi").withColumn("_place", F.row_number().over(order)).filter("_place = 1")
+    return out.join(again, out["doc_id"] == again["_id"], "left_anti").unionByName(once.select(*[F.col(f"`{c}`") for c in docs.columns]))
