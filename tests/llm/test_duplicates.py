@@ -357,6 +357,23 @@ def test_licenses_agree_with_plain_containment(docs):
     assert all(abs(found[k] - share[k]) < 1e-9 for k in found)
 
 
+def test_headers_and_identifiers_of_more_licenses(docs):
+    notices = {
+        "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "SPDX MIT": "// SPDX-License-Identifier: MIT",
+        "SPDX LGPL-2.1-or-later": "# SPDX-License-Identifier: LGPL-2.1-or-later",
+    }
+    rng = random.Random(14)
+    rows = [(k, f"{_prose(rng, 40)}\n{text}\n{_prose(rng, 40)}") for k, text in enumerate(notices.values())]
+    found = {(r.doc_id, r.license): r.contained for r in licenses.scan(docs(rows)).collect()}
+    assert all(found.get((k, name)) == 1.0 for k, name in enumerate(notices))
+    assert not {name for k, name in found if name.startswith("SPDX")} - set(notices)
+
+
 def test_band_settings_keep_their_promise():
     for size in (1, 2, 3, 4, 5, 8, 9, 40, 129):
         assert (1 - licenses.similarity(size)) ** licenses.bands(size) <= licenses.MISS

@@ -29,7 +29,11 @@ MISS = 1e-6
 SMALLEST = 4
 MOST_TEMPLATES = 20_000
 
-# Notices and opening paragraphs of public licenses.
+# Notices, standard headers and opening paragraphs of public licenses, and lines of SPDX identifiers.
+_GNU = "This {what} is free software{a} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation{b} either version {version} of the License, or (at your option) any later version."
+_CC = "This work is licensed under a Creative Commons {kind} 4.0 International License."
+_SPDX = "MIT Apache-2.0 BSD-2-Clause BSD-3-Clause ISC MPL-2.0 EPL-2.0 Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-ND-4.0 CC-BY-NC-4.0"
+_SPDX += " GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later"
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
     "MIT-notice": "Released under the MIT License.",
@@ -46,6 +50,18 @@ TEMPLATES = {
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "GPL-2.0": _GNU.format(what="program", a=";", kind="", b=";", version="2"),
+    "LGPL-2.1": _GNU.format(what="library", a=";", kind="Lesser ", b=";", version="2.1"),
+    "LGPL-3.0": _GNU.format(what="program", a=":", kind="Lesser ", b=",", version="3"),
+    "AGPL-3.0": _GNU.format(what="program", a=":", kind="Affero ", b=",", version="3"),
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "CC-BY-ND-4.0-notice": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-SA-4.0": _CC.format(kind="Attribution-ShareAlike"),
+    "CC-BY-ND-4.0": _CC.format(kind="Attribution-NoDerivatives"),
+    "CC-BY-NC-4.0": _CC.format(kind="Attribution-NonCommercial"),
+    **{f"SPDX {code}": f"SPDX-License-Identifier: {code}" for code in _SPDX.split()},
 }
 
 
