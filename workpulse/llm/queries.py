@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from workpulse.llm import decontamination, language, licenses, mixing, neardup, quality, repeats, tokenids, topk, warc
+from workpulse.llm import decontamination, language, licenses, mixing, naming, neardup, quality, repeats, tokenids, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path(tokenids.VOCABULARY))
 
 
+def op13_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return naming.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_lsh_forest": op2_lsh_forest,
@@ -64,6 +68,7 @@ QUERIES = {
     "op8_pareto_mix": op8_pareto_mix,
     "op9_prefix_free_parsing": op9_prefix_free_parsing,
     "op10_simple8b": op10_simple8b,
+    "op13_block_naming": op13_block_naming,
 }
 
 SQL = {
@@ -149,4 +154,12 @@ SQL = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
+    "op13_block_naming": r"""
+        WITH plain AS (
+            SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[ \t\n\x0b\x0c\r]', '', 'g') AS p FROM documents
+        )
+        SELECT doc_id, first_value(doc_id) OVER along AS keep_id, count(*) OVER (PARTITION BY p) AS group_size,
+            row_number() OVER along = 1 AS kept, sha256(p) AS text_sha256
+        FROM plain WINDOW along AS (PARTITION BY p ORDER BY points DESC, doc_id NULLS LAST)
+    """,
 }
