@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from workpulse.llm import decontamination, language, licenses, mixing, naming, neardup, quality, repeats, tokenids, topk, warc
+from workpulse.llm import decontamination, language, licenses, mixing, naming, neardup, quality, repair, repeats, tokenids, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path(tokenids.VOCABULARY))
 
 
+def op12_deepening_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
 def op13_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -68,9 +72,94 @@ QUERIES = {
     "op8_pareto_mix": op8_pareto_mix,
     "op9_prefix_free_parsing": op9_prefix_free_parsing,
     "op10_simple8b": op10_simple8b,
+    "op12_deepening_repair": op12_deepening_repair,
     "op13_block_naming": op13_block_naming,
 }
 
+
+def _repair_sql() -> str:
+    """Cheapest edits by dynamic programming: by row and state (0 nothing, 1 system, 2 user, 3 assistant) the least `cost, letters`, the cost in nine digits."""
+
+    def longer(best, edit, cost):
+        return f"(lpad(({best}[1:9]::INTEGER + {cost})::VARCHAR, 9, '0') || {best}[10:] || '{edit}')"
+
+    def inserted(b):
+        def once(x):
+            return [x[0], x[1], f"least({x[2]}, {', '.join(longer(x[q], 'I', 2) for q in (0, 1, 3))})", f"least({x[3]}, {longer(x[2], 'I', 2)})"]
+
+        return once(b)
+
+    names = [f"b{q}" for q in range(4)]
+    first, second = [f"{x} AS {n}" for x, n in zip(inserted(names), names, strict=True)], [f"{x} AS {n}" for x, n in zip(inserted(names), names, strict=True)]
+    free, short = "fault <> 'B' AND fault <> 'D'", "CASE WHEN fault = 'T' THEN 1 ELSE 0 END"
+
+    def kept(q, initial):
+        return f"CASE WHEN {free} AND initial = '{initial}' THEN {longer(f'b{q}', 'K', short)} END"
+
+    def given(q):
+        return f"CASE WHEN {free} THEN {longer(f'b{q}', 'R', f'2 + {short}')} END"
+
+    after = [
+        longer("b0", "D", 3),
+        f"least({longer('b1', 'D', 3)}, {kept(0, 's')})",
+        f"least({longer('b2', 'D', 3)}, {', '.join(kept(q, 'u') for q in (0, 1, 3))}, {', '.join(given(q) for q in (0, 1, 3))})",
+        f"least({longer('b3', 'D', 3)}, {kept(2, 'a')}, {given(2)})",
+    ]
+    return rf"""
+        WITH RECURSIVE checks AS (
+            SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+                lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+        ), keyed AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                xor(list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                    lambda x: ascii(x)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS kind
+            FROM conversations, checks
+        ), damaged AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+            FROM keyed WHERE kind <> 0
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, role[1:1] AS initial,
+                rtrim(text, E' 	
+')[-1:] AS final, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen
+            FROM damaged
+        ), rows AS (
+            SELECT *, CASE WHEN final = '' THEN 'B' WHEN seen THEN 'D' WHEN final NOT IN ('.', '!', '?') THEN 'T' ELSE '-' END AS fault,
+                lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS odd
+            FROM placed
+        ), counted AS (
+            SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'B') AS blank,
+                count(*) FILTER (fault = 'D') AS duplicate, count(*) FILTER (fault = 'T') AS truncated, count(*) FILTER (odd) AS illegal
+            FROM rows GROUP BY conv_id
+        ), searched AS (
+            SELECT conv_id, n, 1::BIGINT AS i, '000000000' AS b0, NULL::VARCHAR AS b1, NULL::VARCHAR AS b2, NULL::VARCHAR AS b3 FROM counted
+            UNION ALL
+            SELECT conv_id, n, i + 1, {", ".join(after)}
+            FROM (SELECT conv_id, n, i, initial, fault, {", ".join(second)} FROM (
+                SELECT s.conv_id, s.n, s.i, r.initial, r.fault, {", ".join(first)}
+                FROM searched s JOIN rows r ON s.conv_id IS NOT DISTINCT FROM r.conv_id AND s.i = r.i))
+        ), ended AS (
+            SELECT conv_id, least(b0, b3) AS best FROM (SELECT conv_id, {", ".join(second)} FROM (
+                SELECT conv_id, {", ".join(first)} FROM searched WHERE i = n + 1))
+        ), replayed AS (
+            SELECT conv_id, best[10:] AS audit, 1::BIGINT AS pos, 1::BIGINT AS i, 0 AS state, []::VARCHAR[] AS lines FROM ended
+            UNION ALL
+            SELECT conv_id, audit, pos + 1, i + (edit <> 'I')::INTEGER, next,
+                CASE WHEN edit = 'D' THEN lines ELSE list_append(lines, CASE WHEN edit = 'K' THEN role ELSE ['user', 'assistant'][next - 1] END || ':'
+                    || CASE WHEN edit = 'I' THEN '' ELSE text END) END
+            FROM (SELECT *, CASE WHEN edit = 'D' THEN state WHEN edit = 'K' AND initial = 's' THEN 1 WHEN state = 2 THEN 3 ELSE 2 END AS next FROM (
+                SELECT p.*, p.audit[p.pos:p.pos] AS edit, r.role, r.text, r.initial
+                FROM replayed p LEFT JOIN rows r ON p.conv_id IS NOT DISTINCT FROM r.conv_id AND p.i = r.i WHERE p.pos <= length(p.audit)))
+        )
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+            coalesce(illegal, 0) AS illegal, coalesce(best[1:9]::BIGINT, 0) AS cost, coalesce(best[10:], '') AS audit,
+            sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o
+        LEFT JOIN counted c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+        LEFT JOIN ended e ON o.conv_id IS NOT DISTINCT FROM e.conv_id
+        LEFT JOIN replayed p ON o.conv_id IS NOT DISTINCT FROM p.conv_id AND p.pos = length(p.audit) + 1
+    """
+
 SQL = {
     "op8_pareto_mix": rf"""
         WITH sizes AS (
@@ -162,4 +251,5 @@ SQL = {
             row_number() OVER along = 1 AS kept, sha256(p) AS text_sha256
         FROM plain WINDOW along AS (PARTITION BY p ORDER BY points DESC, doc_id NULLS LAST)
     """,
+    "op12_deepening_repair": _repair_sql(),
 }
