@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from workpulse.llm import decontamination, language, licenses, mixing, naming, neardup, quality, repair, repeats, tokenids, topk, warc
+from workpulse.llm import alignment, decontamination, language, licenses, mixing, naming, neardup, quality, repair, repeats, tokenids, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,11 @@ def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path(tokenids.VOCABULARY))
 
 
+def op11_identity_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(name) for name in (alignment.BYTE_VOCABULARY, alignment.PIECE_MODEL)]
+    return alignment.digest(_table(spark, sf_dir, "documents"), *paths)
+
+
 def op12_deepening_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digest(repair.damaged(_table(spark, sf_dir, "conversations")))
 
@@ -72,6 +77,7 @@ QUERIES = {
     "op8_pareto_mix": op8_pareto_mix,
     "op9_prefix_free_parsing": op9_prefix_free_parsing,
     "op10_simple8b": op10_simple8b,
+    "op11_identity_map": op11_identity_map,
     "op12_deepening_repair": op12_deepening_repair,
     "op13_block_naming": op13_block_naming,
 }
@@ -121,7 +127,8 @@ def _repair_sql() -> str:
         ), placed AS (
             SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, role[1:1] AS initial,
                 rtrim(text, E' 	
-')[-1:] AS final, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen
+
+')[-1:] AS final, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen
             FROM damaged
         ), rows AS (
             SELECT *, CASE WHEN final = '' THEN 'B' WHEN seen THEN 'D' WHEN final NOT IN ('.', '!', '?') THEN 'T' ELSE '-' END AS fault,
