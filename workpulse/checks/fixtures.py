@@ -281,6 +281,34 @@ def mixed_pages(spark, sf_dir) -> DataFrame:
     return landed.select(page.alias("page"))
 
 
+# Each case is landed first, every second one again, every sixth one a third time, in the state that the case's id and the landing
+# give. The days of landing are not in that order, and many tie. One case in 101 has no instance id.
+LANDED_STATES = ("OPEN", "FINALIZED", "CANCELLED", "Open")
+LANDED_AGAIN = (1, 2, 6)
+FIRST_LANDING = "2001-01-01"
+
+
+def landed_pages(spark, sf_dir) -> DataFrame:
+    """Pages of a case each with the time and file of their landing; a case is landed up to three times."""
+    landed = landed_cases(spark, sf_dir)
+    k, number = F.col("processInstanceId").cast("bigint"), F.col("_landing")
+    numbers = F.array_compact(F.array(*[F.when(k % every == 0, i) for i, every in enumerate(LANDED_AGAIN)]))
+    again = landed.select("*", F.explode(numbers).alias("_landing"))
+    status = pick(LANDED_STATES, (k + number) % len(LANDED_STATES))
+    days = F.floor((k * 7 + number * 11) % 29 / 10).cast("int")
+    changed = again.withColumns(
+        {
+            "_at": F.lit(FIRST_LANDING).cast("timestamp") + F.make_dt_interval(days),
+            "status": status,
+            "endDate": F.when(status == "FINALIZED", F.col("startDate")),
+            "processInstanceId": F.when(k % 101 != 0, F.col("processInstanceId")),
+        }
+    )
+    text = F.to_json(F.struct(*landed.columns), {"ignoreNullFields": "false"})
+    page = F.concat(F.lit('{"requests":['), text, F.lit("]}")).alias("page")
+    return changed.select(page, F.col("_at").alias(records.LANDED_AT), F.concat(F.lit("part-"), number).alias(records.LANDED_FILE))
+
+
 def requests_from_pages(spark, sf_dir) -> DataFrame:
     rows = records.sound_records(records.unwrap(pages(landed_cases(spark, sf_dir))), schemas.REQUEST)
     asked = records.asked(rows, L.CASE_PROCESS, L.REQUESTED_STATUS)

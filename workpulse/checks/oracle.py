@@ -347,6 +347,17 @@ def _chosen(choices):
     return " AND ".join(kept)
 
 
+_LANDED = f"""{_FLAT}, again AS (
+  SELECT *, unnest([{", ".join(f"CASE WHEN k % {every} = 0 THEN {i} END" for i, every in enumerate(X.LANDED_AGAIN))}]) AS landing FROM flat
+), landed AS (
+  SELECT k, CASE WHEN k % 101 <> 0 THEN "processInstanceId" END AS "processInstanceId", k % 5 <> 4 AS ours, landing,
+    {_pick(X.LANDED_STATES, f"(k + landing) % {len(X.LANDED_STATES)}")} AS status, "startDate", unidade, solicitante,
+    DATE '{X.FIRST_LANDING}' + CAST(((k * 7 + landing * 11) % 29) // 10 AS INTEGER) AS day
+  FROM again WHERE landing IS NOT NULL
+), ordered AS (
+  SELECT *, "processInstanceId" IS NULL OR row_number() OVER (PARTITION BY k ORDER BY day DESC, landing DESC) = 1 AS last FROM landed
+)"""
+
 SQL = {
     "src_requests": f"""WITH {_FLAT} SELECT {_FLAT_OUT} FROM flat WHERE k % 5 <> 4
       AND upper(status) IN ('OPEN', 'FINALIZED')""",
@@ -356,6 +367,11 @@ SQL = {
       SELECT unnest(CASE kind WHEN 0 THEN ['sound'] WHEN 1 THEN ['sound', 'stray element'] WHEN 2 THEN ['broken page']
         WHEN 5 THEN ['no process id'] WHEN 6 THEN ['no status'] ELSE ['no list'] END) AS outcome FROM kinds)
       SELECT outcome, count(*) AS total FROM ends GROUP BY outcome""",
+    "landed_again": f"""WITH {_LANDED} SELECT "processInstanceId", status, "startDate", CASE status WHEN 'FINALIZED' THEN "startDate" END AS "endDate",
+      unidade, solicitante, strftime(day, '%Y-%m-%d') AS "landedAt", 'part-' || landing AS "landedFile"
+      FROM ordered WHERE last AND ours AND upper(status) IN ('OPEN', 'FINALIZED')""",
+    "landing_outcomes": f"""WITH {_LANDED} SELECT CASE WHEN last THEN 'sound' ELSE 'superseded' END AS outcome, count(*) AS total
+      FROM ordered GROUP BY ALL""",
     "flatten_requests": f'WITH {_FLAT} SELECT {_FLAT_OUT}, {_FLAT_IDS} AS "processId" FROM flat',
     "activities_clean": f"{_ACTIVITIES} SELECT * REPLACE (round(lead_time, 6) AS lead_time) FROM a",
     "src_wide": f"WITH {_WIDE} SELECT * FROM wide",

@@ -91,6 +91,19 @@ def _bad_records(spark, sf_dir):
     return records.outcomes(records.unwrap(X.mixed_pages(spark, sf_dir)), schemas.REQUEST)
 
 
+def _landed_again(spark, sf_dir):
+    """Cases that were landed up to three times, each as it was landed last and if its state is then asked for."""
+    rows = records.sound_records(records.unwrap(X.landed_pages(spark, sf_dir)), schemas.REQUEST)
+    last = records.last_landings(records.asked(rows, L.CASE_PROCESS))
+    flat = records.with_times(records.flatten(records.asked(last, statuses=L.REQUESTED_STATUS), schemas.CASE_FIELDS))
+    landed = F.date_format(records.LANDED_AT, "yyyy-MM-dd").alias(records.LANDED_AT)
+    return flat.select(ID, "status", "startDate", "endDate", "unidade", "solicitante", landed, records.LANDED_FILE)
+
+
+def _landing_outcomes(spark, sf_dir):
+    return records.outcomes(records.unwrap(X.landed_pages(spark, sf_dir)), schemas.REQUEST, records.CASE_KEYS)
+
+
 def _src_requests(spark, sf_dir):
     return X.requests_from_pages(spark, sf_dir).drop("processId")
 
@@ -178,6 +191,8 @@ QUERIES = {
     "src_requests": _src_requests,
     "src_payments": _src_payments,
     "bad_records": _bad_records,
+    "landed_again": _landed_again,
+    "landing_outcomes": _landing_outcomes,
     "flatten_requests": _flatten_requests,
     "activities_clean": _of_activities(lambda rows: rows),
     "src_wide": X.chain_wide,

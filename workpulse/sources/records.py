@@ -14,37 +14,58 @@ _BROKEN = "_broken"
 # the others would be records lost, so reading them raises an error unless the caller says that they may be skipped.
 SOUND, STRAY = "sound", "stray element"
 BROKEN_PAGE, NO_LIST, NO_PROCESS, NO_STATUS = "broken page", "no list", "no process id", "no status"
+SUPERSEDED = "superseded"  # sound, but the same case was landed again later
 
+# Where a record was landed: when, in which file, and a mark of its text for records that tie in both.
+LANDED_AT, LANDED_FILE, LANDED_MARK = "landedAt", "landedFile", "landedMark"
+PLACE = (LANDED_AT, LANDED_FILE, LANDED_MARK)
+# What makes two landed records the same case, and two landed activities the same activity.
+CASE_KEYS = ("processId", "processInstanceId")
+ACTIVITY_KEYS = (*CASE_KEYS, "state", "startDate")
 
-def read_pages(spark: SparkSession, path, whole_files=False) -> DataFrame:
+
+def read_pages(spark: SparkSession, path, whole_files=False, placed=False) -> DataFrame:
     """One row per landed page in ``page``: a line that is not blank, or with ``whole_files`` a whole file.
 
-    A page of many lines that is read by lines is not lost: each of its lines is a broken page.
+    A page of many lines that is read by lines is not lost: each of its lines is a broken page. With ``placed`` a page tells when
+    it was landed, which is its file's time, and its file.
     """
     pages = spark.read.text(path, wholetext=whole_files).withColumnRenamed("value", "page")
+    if placed:
+        named = {LANDED_AT: "_metadata.file_modification_time", LANDED_FILE: "_metadata.file_path"}
+        pages = pages.select("page", *[F.col(source).alias(name) for name, source in named.items()])
     return pages.where(F.trim("page") != "")
 
 
-def read_records(spark: SparkSession, path, list_name="requests", lines=False, whole_files=False) -> DataFrame:
+def read_records(spark: SparkSession, path, list_name="requests", lines=False, whole_files=False, placed=False) -> DataFrame:
     """Record texts of all pages below ``path``; with ``lines`` each line is a record by itself."""
-    pages = read_pages(spark, path, whole_files)
+    pages = read_pages(spark, path, whole_files, placed)
     if lines:
-        return pages.select(F.col("page").alias("record"), F.lit(None).cast("string").alias("page_fault"))
+        records = pages.withColumnRenamed("page", "record").withColumn("page_fault", F.lit(None).cast("string"))
+        return records.select("record", "page_fault", *_placed(pages))
     return unwrap(pages, list_name)
 
 
+def _placed(frame: DataFrame) -> list[str]:
+    """The columns of ``frame`` that say where a record was landed."""
+    return [name for name in PLACE if name in frame.columns]
+
+
 def unwrap(pages: DataFrame, list_name="requests") -> DataFrame:
     """Elements of the list under ``list_name``, else under ``items``, else of the page itself.
 
     Elements stay JSON text, so one that is not a record cannot spoil the others of its page. A page that does not parse or
-    that holds no list gives one row: its own text, with what is wrong in ``page_fault``, which is null otherwise.
+    that holds no list gives one row: its own text, with what is wrong in ``page_fault``, which is null otherwise. Where the pages
+    tell when and in which file they were landed, so do their records.
     """
+    placed = _placed(pages)
     names = list(dict.fromkeys((list_name, "items")))
     envelope = StructType([StructField(name, ArrayType(StringType())) for name in names] + [StructField(_BROKEN, StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
     listed = F.ltrim("page").startswith("[")
     opened = pages.select(
         "page",
+        *placed,
         listed.alias("listed"),
         F.when(listed, F.from_json("page", ArrayType(StringType()))).alias("bare"),
         F.when(~listed, F.from_json("page", envelope, options)).alias("envelope"),
@@ -54,10 +75,10 @@ def unwrap(pages: DataFrame, list_name="requests") -> DataFrame:
     broken = F.when(doubtful, F.try_parse_json("page").isNull()).otherwise(F.lit(False))
     found = F.coalesce(*[F.col(f"envelope.{name}") for name in names], F.col("bare"))
     judged = opened.select(
-        "page", found.alias("found"), F.when(broken, BROKEN_PAGE).when(found.isNull(), NO_LIST).alias("page_fault")
+        "page", *placed, found.alias("found"), F.when(broken, BROKEN_PAGE).when(found.isNull(), NO_LIST).alias("page_fault")
     )
     texts = F.when(F.col("page_fault").isNull(), F.col("found")).otherwise(F.array("page"))
-    return judged.select(F.explode(texts).alias("record"), "page_fault")
+    return judged.select(F.explode(texts).alias("record"), "page_fault", *placed)
 
 
 def parse(records: DataFrame, schema: StructType) -> DataFrame:
@@ -72,7 +93,7 @@ def _parsed(records: DataFrame, schema: StructType) -> DataFrame:
     """Columns of each text, with ``element`` telling whether it is a record at all."""
     with_broken = StructType(schema.fields + [StructField(_BROKEN, StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
-    parsed = records.select("record", "page_fault", F.inline(F.array(F.from_json("record", with_broken, options))))
+    parsed = records.select("record", "page_fault", *_placed(records), F.inline(F.array(F.from_json("record", with_broken, options))))
     element = F.coalesce(F.ltrim("record").startswith("{") & F.col(_BROKEN).isNull(), F.lit(False))
     return parsed.withColumn("element", element).drop(_BROKEN)
 
@@ -89,7 +110,10 @@ def _outcome(schema: StructType) -> Column:
 
 
 def sound_records(records: DataFrame, schema: StructType, on_lost="raise") -> DataFrame:
-    """Columns of the sound records. Pages and records that would be lost raise an error, or are left out with ``on_lost="skip"``."""
+    """Columns of the sound records. Pages and records that would be lost raise an error, or are left out with ``on_lost="skip"``.
+
+    Records that tell when and in which file they were landed keep that, and a mark of their text for those that tie in both.
+    """
     if on_lost not in ("raise", "skip"):
         raise ValueError("on_lost is 'raise' or 'skip'")
     whole = F.col("page_fault").isNull()
@@ -101,7 +125,24 @@ def sound_records(records: DataFrame, schema: StructType, on_lost="raise") -> Da
         kept = F.when(kept, True).when(F.col("page_fault").isNull() & ~F.col("element"), False).otherwise(told)
         # Later filters must not come first and take the lost rows away: none is moved over a test of what is not deterministic.
         kept = kept & (F.monotonically_increasing_id() >= 0)
-    return _parsed(records, schema).where(kept).select(*schema.names)
+    sound = _parsed(records, schema).where(kept)
+    placed = _placed(records)
+    mark = [F.md5(F.col("record").cast("binary")).alias(LANDED_MARK)] if placed and LANDED_MARK not in placed else []
+    return sound.select(*schema.names, *placed, *mark)
+
+
+def last_landings(rows: DataFrame, keys=CASE_KEYS) -> DataFrame:
+    """Of each case the record that was landed last, as the service gives each case once whenever it is asked.
+
+    Of records landed at the same time that of the greatest file name counts; within a file an ended one before an open one, then the
+    greatest end and mark. A record without an instance id cannot be told from others and stays. Each task sends one record
+    a case to the shuffle, so a case that is landed very often is no hot key.
+    """
+    order = F.struct(LANDED_AT, LANDED_FILE, "endDate", LANDED_MARK)
+    apart = F.when(F.col("processInstanceId").isNull(), F.monotonically_increasing_id())
+    keyed = rows.withColumns({f"_key_{i}": F.col(name) for i, name in enumerate(keys)} | {"_apart": apart})
+    last = keyed.groupBy(*[f"_key_{i}" for i in range(len(keys))], "_apart").agg(F.max_by(F.struct(*rows.columns), order).alias("last"))
+    return last.select("last.*")
 
 
 def skipped_records(records: DataFrame, schema: StructType) -> DataFrame:
@@ -114,9 +155,22 @@ def broken_pages(pages: DataFrame, list_name="requests") -> DataFrame:
     return unwrap(pages, list_name).where("page_fault is not null").select(F.col("record").alias("page"), "page_fault")
 
 
-def outcomes(records: DataFrame, schema: StructType) -> DataFrame:
-    """How many pages and elements came to each end; together they are all that was landed."""
-    return parse(records, schema).groupBy("outcome").agg(F.count(F.lit(1)).alias("total"))
+def outcomes(records: DataFrame, schema: StructType, keys=()) -> DataFrame:
+    """How many pages and elements came to each end; together they are all that was landed.
+
+    With ``keys`` a sound record counts as such once for each case, and as superseded whenever the case was landed again.
+    """
+    told = parse(records, schema)
+    if not keys:
+        return told.groupBy("outcome").agg(F.count(F.lit(1)).alias("total"))
+    known = (F.col("outcome") == SOUND) & F.col("processInstanceId").isNotNull()
+    marked = told.select("outcome", known.alias("known"), *[F.when(known, F.col(name)).alias(f"key_{i}") for i, name in enumerate(keys)])
+    cases = marked.groupBy(*marked.columns).agg(F.count(F.lit(1)).alias("n"))
+    ends = F.array(
+        F.struct(F.col("outcome"), F.when(F.col("known"), F.lit(1)).otherwise(F.col("n")).alias("total")),
+        F.struct(F.lit(SUPERSEDED).alias("outcome"), F.when(F.col("known"), F.col("n") - 1).otherwise(F.lit(0)).alias("total")),
+    )
+    return cases.select(F.inline(ends)).where("total > 0").groupBy("outcome").agg(F.sum("total").alias("total"))
 
 
 def asked(rows: DataFrame, process=None, statuses=None) -> DataFrame:
@@ -166,19 +220,33 @@ def with_times(rows: DataFrame) -> DataFrame:
     return computed_once(rows, times) if times else rows
 
 
-def read_cases(spark, path, process=L.CASE_PROCESS, statuses=L.REQUESTED_STATUS, on_lost="raise", **layout) -> DataFrame:
-    """Flat cases of every landed page; see ``sound_records`` for ``on_lost``."""
-    rows = sound_records(read_records(spark, path, "requests", **layout), schemas.REQUEST, on_lost)
-    return with_times(flatten(asked(rows, process, statuses), schemas.CASE_FIELDS))
+def _asked_records(spark, path, list_name, schema, keys, process, statuses, on_lost, landings, layout) -> DataFrame:
+    """Sound records as asked for. Whether a state is asked for is told of the last landing: a case that ended otherwise is gone."""
+    if landings not in ("last", "all"):
+        raise ValueError("landings is 'last' or 'all'")
+    last = landings == "last"
+    rows = asked(sound_records(read_records(spark, path, list_name, placed=last, **layout), schema, on_lost), process)
+    return asked(last_landings(rows, keys).drop(*PLACE) if last else rows, statuses=statuses)
 
 
-def read_payments(spark, path, process=L.PAYMENT_PROCESS, statuses=L.REQUESTED_STATUS, on_lost="raise", **layout) -> DataFrame:
-    """Flat payment requests of every landed page; see ``sound_records`` for ``on_lost``."""
-    rows = sound_records(read_records(spark, path, "requests", **layout), schemas.PAYMENT, on_lost)
-    return with_times(flatten(asked(rows, process, statuses), schemas.PAYMENT_FIELDS))
+def read_cases(spark, path, process=L.CASE_PROCESS, statuses=L.REQUESTED_STATUS, on_lost="raise", landings="last", **layout) -> DataFrame:
+    """Flat cases of every landed page; see ``sound_records`` for ``on_lost``.
+
+    A case that was landed again counts once, as it was landed last; ``landings="all"`` gives every record.
+    """
+    rows = _asked_records(spark, path, "requests", schemas.REQUEST, CASE_KEYS, process, statuses, on_lost, landings, layout)
+    return with_times(flatten(rows, schemas.CASE_FIELDS))
 
 
-def read_activities(spark, path, process=L.CASE_PROCESS, on_lost="raise", **layout) -> DataFrame:
-    """Activities of every landed page, their state still nested; see ``sound_records`` for ``on_lost``."""
-    rows = sound_records(read_records(spark, path, "activities", **layout), schemas.ACTIVITY, on_lost)
-    return with_times(asked(rows, process))
+def read_payments(spark, path, process=L.PAYMENT_PROCESS, statuses=L.REQUESTED_STATUS, on_lost="raise", landings="last", **layout) -> DataFrame:
+    """Flat payment requests of every landed page, each as it was landed last; see ``sound_records`` for ``on_lost``."""
+    rows = _asked_records(spark, path, "requests", schemas.PAYMENT, CASE_KEYS, process, statuses, on_lost, landings, layout)
+    return with_times(flatten(rows, schemas.PAYMENT_FIELDS))
+
+
+def read_activities(spark, path, process=L.CASE_PROCESS, on_lost="raise", landings="last", **layout) -> DataFrame:
+    """Activities of every landed page, their state still nested, each as it was landed last; see ``sound_records`` for ``on_lost``.
+
+    An activity is told by its case, state and start.
+    """
+    return with_times(_asked_records(spark, path, "activities", schemas.ACTIVITY, ACTIVITY_KEYS, process, None, on_lost, landings, layout))
