@@ -1,6 +1,7 @@
 """SQL twins of the queries, written for DuckDB over the raw test tables."""
 
 from workpulse import labels as L
+from workpulse import schemas
 from workpulse.checks import fixtures as X
 from workpulse.operators.filters import Offer
 from workpulse.plans import cases, payments
@@ -358,6 +359,24 @@ _LANDED = f"""{_FLAT}, again AS (
   SELECT *, "processInstanceId" IS NULL OR row_number() OVER (PARTITION BY k ORDER BY day DESC, landing DESC) = 1 AS last FROM landed
 )"""
 
+_OTHERS = list(X.UNDECLARED)
+_EVERY = X.UNDECLARED
+_UNDECLARED = " UNION ALL ".join(
+    [
+        f"""SELECT {_text(name)} AS field, count(*) AS records, count(*) FILTER (k % 3 <> 0) AS valued,
+      {"count(*)" if name == _OTHERS[-1] else "0::BIGINT"} AS repeated FROM flat WHERE k % {every} = 0"""
+        for name, every in _EVERY.items()
+    ]
+    + ["SELECT NULL, count(*), count(*), 0::BIGINT FROM flat WHERE k % 13 = 0"]
+)
+# Declared fields of the stand-in forms are given in every case, but for the code; those that may be null have a value in part of the cases.
+_DECLARED = " UNION ALL ".join(
+    f"""SELECT {_text(name)} AS field, count(*) AS records, count("{name}") AS valued,
+      {"count(*) FILTER (k % 6 = 0)" if name == "solicitante" else "0::BIGINT"} AS repeated FROM given"""
+    + (f" WHERE ck % {_N} <> {X.CODE_OMITTED}" if name == "tbIrregularidade___1" else "")
+    for name in schemas.CASE_FIELDS
+)
+
 SQL = {
     "src_requests": f"""WITH {_FLAT} SELECT {_FLAT_OUT} FROM flat WHERE k % 5 <> 4
       AND upper(status) IN ('OPEN', 'FINALIZED')""",
@@ -372,6 +391,14 @@ SQL = {
       FROM ordered WHERE last AND ours AND upper(status) IN ('OPEN', 'FINALIZED')""",
     "landing_outcomes": f"""WITH {_LANDED} SELECT CASE WHEN last THEN 'sound' ELSE 'superseded' END AS outcome, count(*) AS total
       FROM ordered GROUP BY ALL""",
+    "undeclared_fields": f"WITH {_FLAT} {_UNDECLARED}",
+    "field_census": f"""WITH {_FLAT}, given AS (SELECT * REPLACE (CASE WHEN ck % {_N} <> {X.CODE_NULL} THEN "tbIrregularidade___1" END AS "tbIrregularidade___1")
+      FROM flat) SELECT field, false AS declared, records, valued, repeated FROM ({_UNDECLARED})
+      UNION ALL SELECT field, true, records, valued, repeated FROM ({_DECLARED})""",
+    "other_fields": f"""WITH {_FLAT} SELECT "processInstanceId", solicitante,
+      {", ".join(f"CASE WHEN k % {_EVERY[name]} = 0 AND k % 3 <> 0 THEN 'valor ' || k END AS " + chr(34) + name + chr(34) for name in ("novoCampo", "prazo extra"))},
+      concat_ws('; ', {", ".join(f"CASE WHEN k % {_EVERY[name]} = 0 THEN {_text(name + '=')} || CASE WHEN k % 3 <> 0 THEN 'valor ' || k ELSE '(null)' END END"
+        for name in _OTHERS[1:3])}) AS rest FROM flat""",
     "flatten_requests": f'WITH {_FLAT} SELECT {_FLAT_OUT}, {_FLAT_IDS} AS "processId" FROM flat',
     "activities_clean": f"{_ACTIVITIES} SELECT * REPLACE (round(lead_time, 6) AS lead_time) FROM a",
     "src_wide": f"WITH {_WIDE} SELECT * FROM wide",

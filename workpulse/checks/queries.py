@@ -104,6 +104,28 @@ def _landing_outcomes(spark, sf_dir):
     return records.outcomes(records.unwrap(X.landed_pages(spark, sf_dir)), schemas.REQUEST, records.CASE_KEYS)
 
 
+def _records_with_other_fields(spark, sf_dir):
+    landed = X.cases_with_other_fields(spark, sf_dir)
+    return records.sound_records(records.unwrap(X.pages(landed)), schemas.REQUEST)
+
+
+def _undeclared_fields(spark, sf_dir):
+    return records.undeclared_fields(_records_with_other_fields(spark, sf_dir), schemas.CASE_FIELDS)
+
+
+def _field_census(spark, sf_dir):
+    return records.field_census(_records_with_other_fields(spark, sf_dir), schemas.CASE_FIELDS)
+
+
+def _other_fields(spark, sf_dir):
+    """Cases with two undeclared fields as columns and the rest of them as a text of sorted entries."""
+    flat = records.flatten(_records_with_other_fields(spark, sf_dir), schemas.CASE_FIELDS, rest=True)
+    wide = records.widened(flat, ["novoCampo", "prazo extra"])
+    entries = F.array_sort(F.map_entries(records.REST))
+    rest = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("(null)")))), "; ")
+    return wide.select(ID, "solicitante", "novoCampo", "prazo extra", rest.alias("rest"))
+
+
 def _src_requests(spark, sf_dir):
     return X.requests_from_pages(spark, sf_dir).drop("processId")
 
@@ -193,6 +215,9 @@ QUERIES = {
     "bad_records": _bad_records,
     "landed_again": _landed_again,
     "landing_outcomes": _landing_outcomes,
+    "undeclared_fields": _undeclared_fields,
+    "field_census": _field_census,
+    "other_fields": _other_fields,
     "flatten_requests": _flatten_requests,
     "activities_clean": _of_activities(lambda rows: rows),
     "src_wide": X.chain_wide,

@@ -1,7 +1,7 @@
 """Landed JSON of the process service: pages of records, their form fields and nested state."""
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 from workpulse import labels as L
 from workpulse import schemas
@@ -109,10 +109,14 @@ def _outcome(schema: StructType) -> Column:
     return outcome.otherwise(SOUND)
 
 
-def sound_records(records: DataFrame, schema: StructType, on_lost="raise") -> DataFrame:
+COLUMNS_REST = "otherColumns"
+
+
+def sound_records(records: DataFrame, schema: StructType, on_lost="raise", rest=False) -> DataFrame:
     """Columns of the sound records. Pages and records that would be lost raise an error, or are left out with ``on_lost="skip"``.
 
-    Records that tell when and in which file they were landed keep that, and a mark of their text for those that tie in both.
+    Records that tell when and in which file they were landed keep that, and a mark of their text for those that tie in both. With ``rest``
+    the record's own columns that ``schema`` lacks are kept in the map ``otherColumns``, nested ones as JSON text.
     """
     if on_lost not in ("raise", "skip"):
         raise ValueError("on_lost is 'raise' or 'skip'")
@@ -128,7 +132,16 @@ def sound_records(records: DataFrame, schema: StructType, on_lost="raise") -> Da
     sound = _parsed(records, schema).where(kept)
     placed = _placed(records)
     mark = [F.md5(F.col("record").cast("binary")).alias(LANDED_MARK)] if placed and LANDED_MARK not in placed else []
-    return sound.select(*schema.names, *placed, *mark)
+    given = F.from_json("record", MapType(StringType(), StringType()))
+    others = [F.map_filter(given, lambda name, _: ~name.isin(schema.names)).alias(COLUMNS_REST)] if rest else []
+    return sound.select(*schema.names, *others, *placed, *mark)
+
+
+def undeclared_columns(records: DataFrame, schema: StructType) -> DataFrame:
+    """Names of the records' own columns that ``schema`` lacks, with how many records hold each."""
+    names = F.array_distinct(F.json_object_keys("record"))
+    whole = records.where("page_fault is null").select(F.explode(names).alias("field"))
+    return whole.where(~F.col("field").isin(schema.names)).groupBy("field").agg(F.count(F.lit(1)).alias("records"))
 
 
 def last_landings(rows: DataFrame, keys=CASE_KEYS) -> DataFrame:
@@ -182,22 +195,93 @@ def asked(rows: DataFrame, process=None, statuses=None) -> DataFrame:
     return rows
 
 
-def flatten(rows: DataFrame, fields, null_is_blank=schemas.NULL_IS_BLANK) -> DataFrame:
+REST = "otherFields"
+
+
+def flatten(rows: DataFrame, fields, null_is_blank=schemas.NULL_IS_BLANK, rest=False) -> DataFrame:
     """Form fields as columns. The last value of a repeated field wins, and a form field wins over a
     record column of the same name even when its value is null.
 
     Names and values are turned round once, so the first position found is the last in the form; position
-    and element access compile into the stage, unlike a filter with a lambda.
+    and element access compile into the stage, unlike a filter with a lambda. With ``rest`` the fields that are not among ``fields``
+    are kept in the map ``otherFields``, by the same rule; a field without a name cannot be a key and is left to ``field_census``.
     """
     turned = rows.withColumns(
         {"_names": F.reverse("formFields.field"), "_values": F.reverse("formFields.value")}
     ).withColumns({f"_at_{i}": _position(name) for i, name in enumerate(fields)})
     kept = [name for name in rows.columns if name not in fields and name != "formFields"]
+    others = [_rest(fields).alias(REST)] if rest else []
     columns = [
         _form_value(F.col(f"_at_{i}"), name, name in rows.columns, name in null_is_blank).alias(name)
         for i, name in enumerate(fields)
     ]
-    return turned.select(*kept, *columns)
+    return turned.select(*kept, *columns, *others)
+
+
+def _rest(fields) -> Column:
+    """Undeclared names, each with the first value in the turned form; an empty map where there is none."""
+    names = F.array_except(F.array_compact(F.coalesce("_names", F.array().cast("array<string>"))), F.array(*[F.lit(name) for name in fields]))
+    values = F.transform(names, lambda name: F.get("_values", F.array_position("_names", name).cast("int") - 1))
+    return F.map_from_arrays(names, values)
+
+
+def field_census(rows: DataFrame, fields) -> DataFrame:
+    """Every name that a form field of ``rows`` has: in how many records it is given, repeated, and has a value in the end, and whether it is declared.
+
+    A record counts once for each of its names. Names are few and records many, so tasks count before anything is shuffled.
+    """
+    turned = rows.select(F.reverse("formFields.field").alias("names"), F.reverse("formFields.value").alias("values"))
+    # A null name is looked for under a text that holds a control sign, so it has a place of its own.
+    none = F.lit("\x00")
+    named = turned.select(F.transform("names", lambda name: F.coalesce(name, none)).alias("names"), "values")
+    each = named.select("names", "values", F.explode(F.array_distinct("names")).alias("name"))
+    counted = each.select(
+        F.nullif(F.col("name"), none).alias("field"),
+        F.get("values", F.array_position("names", F.col("name")).cast("int") - 1).isNotNull().alias("valued"),
+        (F.size(F.filter("names", lambda name: name == F.col("name"))) > 1).alias("repeated"),
+    )
+    declared = F.coalesce(F.col("field").isin(list(fields)), F.lit(False)).alias("declared")
+    return counted.groupBy("field").agg(
+        F.count(F.lit(1)).alias("records"), F.count_if("valued").alias("valued"), F.count_if("repeated").alias("repeated")
+    ).select("field", declared, "records", "valued", "repeated")
+
+
+def undeclared_fields(rows: DataFrame, fields) -> DataFrame:
+    """Fields that ``flatten`` gives no column, with how many records would miss them."""
+    return field_census(rows, fields).where(~F.col("declared")).drop("declared")
+
+
+def widened(flat: DataFrame, names) -> DataFrame:
+    """Undeclared fields of the map ``otherFields`` as columns; what is left stays in the map.
+
+    As with declared fields, a form field wins over a record column of its name even when its value is null.
+    """
+    rest, names = F.col(REST), list(names)
+    columns = {}
+    for name in names:
+        value = F.try_element_at(rest, F.lit(name))
+        columns[name] = F.when(F.map_contains_key(rest, name), value).otherwise(F.col(f"`{name}`")) if name in flat.columns else value
+    left = F.map_from_arrays(*[_left(rest, names, part) for part in (F.map_keys, F.map_values)])
+    kept = [F.col(f"`{name}`") for name in flat.columns if name not in columns and name != REST]
+    return flat.select(*kept, *[column.alias(name) for name, column in columns.items()], left.alias(REST))
+
+
+def _left(rest, names, part) -> Column:
+    """Keys or values of the entries of ``rest`` whose names are not among ``names``."""
+    return part(F.map_filter(rest, lambda name, _: ~name.isin(names))) if names else part(rest)
+
+
+def form_of(flat: DataFrame, fields) -> DataFrame:
+    """The form again as the list ``formFields``: declared fields that have a value, then the others by name.
+
+    A declared field that was given as null cannot be told from one not given, and one that a record column holds becomes a form field.
+    """
+    declared = F.filter(
+        F.array(*[F.struct(F.lit(name).alias("field"), F.col(f"`{name}`").cast("string").alias("value")) for name in fields]), lambda item: item["value"].isNotNull()
+    )
+    entries = F.transform(F.array_sort(F.map_keys(REST)), lambda name: F.struct(name.alias("field"), F.try_element_at(F.col(REST), name).alias("value")))
+    kept = [F.col(f"`{name}`") for name in flat.columns if name not in fields and name != REST]
+    return flat.select(*kept, F.concat(declared, entries).alias("formFields"))
 
 
 def _position(name) -> Column:
