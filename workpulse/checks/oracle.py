@@ -391,6 +391,10 @@ SQL = {
       FROM ordered WHERE last AND ours AND upper(status) IN ('OPEN', 'FINALIZED')""",
     "landing_outcomes": f"""WITH {_LANDED} SELECT CASE WHEN last THEN 'sound' ELSE 'superseded' END AS outcome, count(*) AS total
       FROM ordered GROUP BY ALL""",
+    "loaded_in_steps": f"""WITH {_LANDED}, steps AS (
+        SELECT *, "processInstanceId" IS NULL OR row_number() OVER (PARTITION BY k ORDER BY landing DESC) = 1 AS newest FROM landed)
+      SELECT "processInstanceId", status, "startDate", CASE status WHEN 'FINALIZED' THEN "startDate" END AS "endDate", unidade, solicitante, landing
+      FROM steps WHERE newest AND ours AND upper(status) IN ('OPEN', 'FINALIZED')""",
     "undeclared_fields": f"WITH {_FLAT} {_UNDECLARED}",
     "field_census": f"""WITH {_FLAT}, given AS (SELECT * REPLACE (CASE WHEN ck % {_N} <> {X.CODE_NULL} THEN "tbIrregularidade___1" END AS "tbIrregularidade___1")
       FROM flat) SELECT field, false AS declared, records, valued, repeated FROM ({_UNDECLARED})

@@ -8,9 +8,10 @@ from pyspark.sql.types import DoubleType
 from workpulse import labels as L
 from workpulse import schemas
 from workpulse.checks import fixtures as X
+from workpulse.files import scratch_folder
 from workpulse.operators.filters import Validity, bounds, first_case, offered_values
 from workpulse.plans import cases, payments, trends, value_chain, versions
-from workpulse.sources import records
+from workpulse.sources import loads, records
 
 PLACES = 6
 MONEY = ("total_loss", "loss")
@@ -104,6 +105,18 @@ def _landing_outcomes(spark, sf_dir):
     return records.outcomes(records.unwrap(X.landed_pages(spark, sf_dir)), schemas.REQUEST, records.CASE_KEYS)
 
 
+def _loaded_in_steps(spark, sf_dir):
+    """Three loads of one table: each landing's pages are written as files, and a load reads those that are new."""
+    folder = scratch_folder(spark, "landed")
+    for number in range(len(X.LANDED_AGAIN)):
+        landed = X.landed_pages(spark, sf_dir).where(F.col(records.LANDED_FILE) == f"part-{number}")
+        landed.select("page").write.text(f"{folder}/pages/landing-{number}")
+        version = loads.load(spark, f"{folder}/pages", f"{folder}/table", buckets=16)
+    rows = loads.loaded(version, L.CASE_PROCESS, L.REQUESTED_STATUS)
+    number = F.regexp_extract(records.LANDED_FILE, "landing-([0-9]+)", 1).cast("int").alias("landing")
+    return rows.select(ID, "status", "startDate", "endDate", "unidade", "solicitante", number)
+
+
 def _records_with_other_fields(spark, sf_dir):
     landed = X.cases_with_other_fields(spark, sf_dir)
     return records.sound_records(records.unwrap(X.pages(landed)), schemas.REQUEST)
@@ -215,6 +228,7 @@ QUERIES = {
     "bad_records": _bad_records,
     "landed_again": _landed_again,
     "landing_outcomes": _landing_outcomes,
+    "loaded_in_steps": _loaded_in_steps,
     "undeclared_fields": _undeclared_fields,
     "field_census": _field_census,
     "other_fields": _other_fields,
