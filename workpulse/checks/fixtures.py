@@ -27,6 +27,8 @@ CHOSEN_CASES = {
 CHOSEN_UNITS = ["NATION_2", "Não informada", None]
 CHOSEN_PAYMENTS = {"slaStatus": ["No Prazo"], "departamentoSolicitante": ["Financeiro", "Encomendas"]}
 CHOSEN_CHAIN = {"Unidade": ["ASIA"], "Temporada": ["Baixa"], "Tipo de Procedimento": ["Apoio", "Gerencial"]}
+# Cases looked up by their ids; the last is no case.
+LOOKED_UP = ("1", "7", "1000", "14999", "none")
 CHAIN_UNITS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 
 # Every irregularity rule, then blank, explicit null, a field not given, and a code without a rule.

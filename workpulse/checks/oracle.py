@@ -539,3 +539,10 @@ SQL = {
       FROM f WHERE irregularidade IS NOT NULL GROUP BY 1""",
     "rank_cities": _rank_count(_CASES, '"cidadeFato"'),
 }
+
+# Other ways to the same rows.
+_IDS = f""""processInstanceId" IN ({_list(X.LOOKED_UP)})"""
+SQL["outcomes_observed"] = SQL["bad_records"]
+SQL["report_kept"] = SQL["kpi_general_by_unit"]
+SQL["cases_looked_up"] = f"{SQL['case_cards']} WHERE {_IDS}"
+SQL["timeline_looked_up"] = f"{SQL['case_timeline']} AND {_IDS}"

@@ -2,15 +2,16 @@
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 from pyspark.sql.types import DoubleType
 
 from workpulse import labels as L
-from workpulse import schemas
+from workpulse import schemas, sinks
 from workpulse.checks import fixtures as X
 from workpulse.files import scratch_folder
-from workpulse.operators.filters import Validity, bounds, first_case, offered_values
+from workpulse.operators.filters import Validity, bounds, cases_of, first_case, offered_values
 from workpulse.plans import cases, payments, trends, value_chain, versions
+from workpulse.snapshots import Snapshots
 from workpulse.sources import loads, records
 
 PLACES = 6
@@ -117,6 +118,40 @@ def _loaded_in_steps(spark, sf_dir):
     return rows.select(ID, "status", "startDate", "endDate", "unidade", "solicitante", number)
 
 
+def _outcomes_observed(spark, sf_dir):
+    """The counts of ``bad_records``, told by the one pass that reads the records."""
+    seen = Observation("landed pages")
+    rows = records.sound_records(records.unwrap(X.mixed_pages(spark, sf_dir)), schemas.REQUEST, "skip", observed=seen)
+    rows.write.format("noop").mode("overwrite").save()
+    return records.outcomes_of(spark, seen)
+
+
+def _clustered(spark, rows):
+    """``rows`` written in the order of their cases, and read back."""
+    path = scratch_folder(spark, "clustered")
+    sinks.write_clustered(rows, path, ID)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _cases_looked_up(spark, sf_dir):
+    return cases.card(cases_of(_clustered(spark, _filtered_cases(spark, sf_dir)), X.LOOKED_UP))
+
+
+def _timeline_looked_up(spark, sf_dir):
+    """Activities of some cases, from cases and activities that both lie in the order of their ids."""
+    ours = cases_of(_clustered(spark, _filtered_cases(spark, sf_dir)), X.LOOKED_UP)
+    activities = cases_of(_clustered(spark, X.clean_activities(spark, sf_dir)), X.LOOKED_UP)
+    return cases.timeline(ours, activities)
+
+
+def _report_kept(spark, sf_dir):
+    """KPIs per unit, kept for ten minutes: the second report finds them and reads no source."""
+    tables = Snapshots(spark, scratch_folder(spark, "reports"))
+    for _ in range(2):
+        version = tables.kept(600, lambda draft: draft.write("kpis", flagship(spark, sf_dir)))
+    return version.table("kpis")
+
+
 def _records_with_other_fields(spark, sf_dir):
     landed = X.cases_with_other_fields(spark, sf_dir)
     return records.sound_records(records.unwrap(X.pages(landed)), schemas.REQUEST)
@@ -229,6 +264,7 @@ QUERIES = {
     "landed_again": _landed_again,
     "landing_outcomes": _landing_outcomes,
     "loaded_in_steps": _loaded_in_steps,
+    "outcomes_observed": _outcomes_observed,
     "undeclared_fields": _undeclared_fields,
     "field_census": _field_census,
     "other_fields": _other_fields,
@@ -252,6 +288,8 @@ QUERIES = {
     "window_filter": _window_filter,
     "window_bounds": _window_bounds,
     "case_one": _case_one,
+    "cases_looked_up": _cases_looked_up,
+    "timeline_looked_up": _timeline_looked_up,
     "kpi_chosen": _of_cases(cases.kpis, X.CHOSEN_CASES),
     "kpi_units": _general_of_units,
     "payments_chosen": _of_payments(payments.by_unit, X.CHOSEN_PAYMENTS),
@@ -259,6 +297,7 @@ QUERIES = {
     # cases
     "kpi_general": _kpi_general,
     "kpi_general_by_unit": flagship,
+    "report_kept": _report_kept,
     "kpi_filtered": _of_cases(cases.kpis),
     "cases_by_unit": _of_cases(cases.by_unit),
     "irregularity_by_unit": _of_cases(cases.irregularities_by_unit),

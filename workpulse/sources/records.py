@@ -102,6 +102,11 @@ def _required(schema: StructType):
     return [(name, missing) for name, missing in (("processId", NO_PROCESS), ("status", NO_STATUS)) if name in schema.names]
 
 
+def _ends(schema: StructType) -> list[str]:
+    """Outcomes that a page or element can come to."""
+    return [SOUND, STRAY, BROKEN_PAGE, NO_LIST, *[missing for _, missing in _required(schema)]]
+
+
 def _outcome(schema: StructType) -> Column:
     outcome = F.when(F.col("page_fault").isNotNull(), F.col("page_fault")).when(~F.col("element"), STRAY)
     for name, missing in _required(schema):
@@ -112,11 +117,21 @@ def _outcome(schema: StructType) -> Column:
 COLUMNS_REST = "otherColumns"
 
 
-def sound_records(records: DataFrame, schema: StructType, on_lost="raise", rest=False) -> DataFrame:
+def outcomes_of(spark: SparkSession, observed) -> DataFrame:
+    """What an ``Observation`` of ``sound_records`` has seen, in the form of ``outcomes``. Waits for the first action on the observed frame."""
+    seen = [(name, total) for name, total in observed.get.items() if total]
+    return spark.createDataFrame(seen, "outcome string, total bigint")
+
+
+def sound_records(records: DataFrame, schema: StructType, on_lost="raise", rest=False, observed=None) -> DataFrame:
     """Columns of the sound records. Pages and records that would be lost raise an error, or are left out with ``on_lost="skip"``.
 
     Records that tell when and in which file they were landed keep that, and a mark of their text for those that tie in both. With ``rest``
     the record's own columns that ``schema`` lacks are kept in the map ``otherColumns``, nested ones as JSON text.
+
+    ``observed`` is an ``Observation`` that the first action on the frame fills with the number of pages and elements that came to each
+    outcome, told in the pass that reads them; see ``outcomes_of``. A task that fails and runs again counts once.
+    A stage that is worked out again, since a lost executor held its shuffle files, may count again: ``outcomes`` is exact then too.
     """
     if on_lost not in ("raise", "skip"):
         raise ValueError("on_lost is 'raise' or 'skip'")
@@ -129,7 +144,11 @@ def sound_records(records: DataFrame, schema: StructType, on_lost="raise", rest=
         kept = F.when(kept, True).when(F.col("page_fault").isNull() & ~F.col("element"), False).otherwise(told)
         # Later filters must not come first and take the lost rows away: none is moved over a test of what is not deterministic.
         kept = kept & (F.monotonically_increasing_id() >= 0)
-    sound = _parsed(records, schema).where(kept)
+    told = _parsed(records, schema)
+    if observed is not None:
+        outcome = _outcome(schema)
+        told = told.observe(observed, *[F.count_if(outcome == name).alias(name) for name in _ends(schema)])
+    sound = told.where(kept)
     placed = _placed(records)
     mark = [F.md5(F.col("record").cast("binary")).alias(LANDED_MARK)] if placed and LANDED_MARK not in placed else []
     given = F.from_json("record", MapType(StringType(), StringType()))
@@ -304,33 +323,33 @@ def with_times(rows: DataFrame) -> DataFrame:
     return computed_once(rows, times) if times else rows
 
 
-def _asked_records(spark, path, list_name, schema, keys, process, statuses, on_lost, landings, layout) -> DataFrame:
+def _asked_records(spark, path, list_name, schema, keys, process, statuses, on_lost, landings, observed, layout) -> DataFrame:
     """Sound records as asked for. Whether a state is asked for is told of the last landing: a case that ended otherwise is gone."""
     if landings not in ("last", "all"):
         raise ValueError("landings is 'last' or 'all'")
     last = landings == "last"
-    rows = asked(sound_records(read_records(spark, path, list_name, placed=last, **layout), schema, on_lost), process)
+    rows = asked(sound_records(read_records(spark, path, list_name, placed=last, **layout), schema, on_lost, observed=observed), process)
     return asked(last_landings(rows, keys).drop(*PLACE) if last else rows, statuses=statuses)
 
 
-def read_cases(spark, path, process=L.CASE_PROCESS, statuses=L.REQUESTED_STATUS, on_lost="raise", landings="last", **layout) -> DataFrame:
-    """Flat cases of every landed page; see ``sound_records`` for ``on_lost``.
+def read_cases(spark, path, process=L.CASE_PROCESS, statuses=L.REQUESTED_STATUS, on_lost="raise", landings="last", observed=None, **layout) -> DataFrame:
+    """Flat cases of every landed page; see ``sound_records`` for ``on_lost`` and ``observed``.
 
     A case that was landed again counts once, as it was landed last; ``landings="all"`` gives every record.
     """
-    rows = _asked_records(spark, path, "requests", schemas.REQUEST, CASE_KEYS, process, statuses, on_lost, landings, layout)
+    rows = _asked_records(spark, path, "requests", schemas.REQUEST, CASE_KEYS, process, statuses, on_lost, landings, observed, layout)
     return with_times(flatten(rows, schemas.CASE_FIELDS))
 
 
-def read_payments(spark, path, process=L.PAYMENT_PROCESS, statuses=L.REQUESTED_STATUS, on_lost="raise", landings="last", **layout) -> DataFrame:
+def read_payments(spark, path, process=L.PAYMENT_PROCESS, statuses=L.REQUESTED_STATUS, on_lost="raise", landings="last", observed=None, **layout) -> DataFrame:
     """Flat payment requests of every landed page, each as it was landed last; see ``sound_records`` for ``on_lost``."""
-    rows = _asked_records(spark, path, "requests", schemas.PAYMENT, CASE_KEYS, process, statuses, on_lost, landings, layout)
+    rows = _asked_records(spark, path, "requests", schemas.PAYMENT, CASE_KEYS, process, statuses, on_lost, landings, observed, layout)
     return with_times(flatten(rows, schemas.PAYMENT_FIELDS))
 
 
-def read_activities(spark, path, process=L.CASE_PROCESS, on_lost="raise", landings="last", **layout) -> DataFrame:
+def read_activities(spark, path, process=L.CASE_PROCESS, on_lost="raise", landings="last", observed=None, **layout) -> DataFrame:
     """Activities of every landed page, their state still nested, each as it was landed last; see ``sound_records`` for ``on_lost``.
 
     An activity is told by its case, state and start.
     """
-    return with_times(_asked_records(spark, path, "activities", schemas.ACTIVITY, ACTIVITY_KEYS, process, None, on_lost, landings, layout))
+    return with_times(_asked_records(spark, path, "activities", schemas.ACTIVITY, ACTIVITY_KEYS, process, None, on_lost, landings, observed, layout))
