@@ -6,10 +6,12 @@ a side only when its size is below the configured bound, and customers grow with
 
 import datetime as dt
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from workpulse import labels as L
 from workpulse import schemas
+from workpulse.checks import workbooks
 from workpulse.plans import cases, payments, value_chain, versions
 from workpulse.sources import records, sheets
 
@@ -392,7 +394,7 @@ def chain_filtered(spark, sf_dir) -> DataFrame:
     return value_chain.filtered(chain_long(spark, sf_dir))
 
 
-def stacked_versions(spark, sf_dir) -> DataFrame:
+def version_sheets(spark, sf_dir) -> dict[str, DataFrame]:
     """Three sheets of parts; the later two lack the column of notes that the first has."""
     part, name = F.col("p_partkey"), F.col("p_name")
     kind, brand = F.col("p_type"), F.col("p_brand")
@@ -412,7 +414,30 @@ def stacked_versions(spark, sf_dir) -> DataFrame:
             F.concat(F.lit("nota "), (part % 10).cast("string")).alias("Nota"),
         )
         built[version] = rows if version == "Anterior" else rows.drop("Nota")
-    return sheets.stack_versions(built)
+    return built
+
+
+def stacked_versions(spark, sf_dir) -> DataFrame:
+    return sheets.stack_versions(version_sheets(spark, sf_dir))
+
+
+def version_workbooks(spark, sf_dir, folder, parts=8) -> None:
+    """The three sheets dealt to some workbooks, each written by one task: stand-ins of the landed file."""
+    columns = {version: frame.columns for version, frame in version_sheets(spark, sf_dir).items()}
+    stacked = stacked_versions(spark, sf_dir).withColumn("_book", F.pmod(F.hash("Processo", "Procedimento"), F.lit(parts)))
+    dealt = stacked.repartition(parts, "_book").sortWithinPartitions("_book", "Versao")
+
+    def written(batches):
+        books = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                sheet = books.setdefault(row["_book"], {version: [] for version in columns})[row["Versao"]]
+                sheet.append([row[name] for name in columns[row["Versao"]]])
+        for book, rows in books.items():
+            workbooks.write(f"{folder}/{book:04d}.xlsx", {L.VERSION_SHEETS[version]: [names, *rows[version]] for version, names in columns.items()})
+        yield pa.RecordBatch.from_arrays([pa.array(list(books), pa.int32())], ["book"])
+
+    dealt.mapInArrow(written, "book int").write.format("noop").mode("overwrite").save()
 
 
 def chosen_versions(spark, sf_dir) -> DataFrame:

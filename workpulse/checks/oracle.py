@@ -546,3 +546,4 @@ SQL["outcomes_observed"] = SQL["bad_records"]
 SQL["report_kept"] = SQL["kpi_general_by_unit"]
 SQL["cases_looked_up"] = f"{SQL['case_cards']} WHERE {_IDS}"
 SQL["timeline_looked_up"] = f"{SQL['case_timeline']} AND {_IDS}"
+SQL["versions_from_workbooks"] = SQL["versions_stacked"]

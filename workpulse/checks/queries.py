@@ -12,7 +12,7 @@ from workpulse.files import scratch_folder
 from workpulse.operators.filters import Validity, bounds, cases_of, first_case, offered_values
 from workpulse.plans import cases, payments, trends, value_chain, versions
 from workpulse.snapshots import Snapshots
-from workpulse.sources import loads, records
+from workpulse.sources import loads, records, sheets
 
 PLACES = 6
 MONEY = ("total_loss", "loss")
@@ -152,6 +152,13 @@ def _report_kept(spark, sf_dir):
     return version.table("kpis")
 
 
+def _versions_from_workbooks(spark, sf_dir):
+    """The stacked versions, read out of the sheets of workbooks."""
+    folder = scratch_folder(spark, "workbooks")
+    X.version_workbooks(spark, sf_dir, folder)
+    return sheets.read_workbook_versions(spark, folder)
+
+
 def _records_with_other_fields(spark, sf_dir):
     landed = X.cases_with_other_fields(spark, sf_dir)
     return records.sound_records(records.unwrap(X.pages(landed)), schemas.REQUEST)
@@ -272,6 +279,7 @@ QUERIES = {
     "activities_clean": _of_activities(lambda rows: rows),
     "src_wide": X.chain_wide,
     "versions_stacked": X.stacked_versions,
+    "versions_from_workbooks": _versions_from_workbooks,
     # cleaning
     "lead_time": _lead_time,
     "loss_clean": _case_label("prejFinanc"),

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 
 _own: list[str] = []
@@ -84,3 +85,10 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
         named = _own[0]
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def file_system(path: str):
+    """File system and path within it, for a task that reads or writes a file of its own."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)

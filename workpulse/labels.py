@@ -125,6 +125,12 @@ STAFF_LONG = ("Métrica", "Valor")
 
 # Versions from the earliest on, their components and the words of the comparison.
 VERSIONS = ("Anterior", "Nova", "Arquitetura")
+# Names of the sheets in the workbook of versions.
+VERSION_SHEETS = {
+    "Anterior": "Cadeia de Valor_Anterior",
+    "Nova": "Cadeia de Valor_Nova",
+    "Arquitetura": "Cadeia de Valor_Arquitetura",
+}
 COMPONENTS = ("Processo", "Procedimento", "Atividade", "Tarefa")
 COMPONENT_COUNTS = ("Qtd_Processos", "Qtd_Procedimentos", "Qtd_Atividades", "Qtd_Tarefas")
 REQUIRED_COMPONENTS = ("Processo", "Procedimento", "Atividade")
