@@ -547,3 +547,6 @@ SQL["report_kept"] = SQL["kpi_general_by_unit"]
 SQL["cases_looked_up"] = f"{SQL['case_cards']} WHERE {_IDS}"
 SQL["timeline_looked_up"] = f"{SQL['case_timeline']} AND {_IDS}"
 SQL["versions_from_workbooks"] = SQL["versions_stacked"]
+SQL["kpi_from_states"] = SQL["kpi_general_by_unit"]
+SQL["vc_kpis_bitmaps"] = SQL["vc_kpis"]
+SQL["vc_kpis_chosen_bitmaps"] = f"{SQL['vc_kpis']} WHERE {_chosen(X.CHOSEN_CHAIN)}"

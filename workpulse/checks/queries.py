@@ -10,7 +10,7 @@ from workpulse import schemas, sinks
 from workpulse.checks import fixtures as X
 from workpulse.files import scratch_folder
 from workpulse.operators.filters import Validity, bounds, cases_of, first_case, offered_values
-from workpulse.plans import cases, payments, trends, value_chain, versions
+from workpulse.plans import cases, distinct, payments, states, trends, value_chain, versions
 from workpulse.snapshots import Snapshots
 from workpulse.sources import loads, records, sheets
 
@@ -159,6 +159,29 @@ def _versions_from_workbooks(spark, sf_dir):
     return sheets.read_workbook_versions(spark, folder)
 
 
+def _kpi_from_states(spark, sf_dir):
+    """General KPIs per unit from sums: every second case was open when the sums were made, every seventh was not there yet."""
+    now, k = X.clean_cases(spark, sf_dir), F.col(ID).cast("bigint")
+    flat = X.flat_cases(spark, sf_dir).where((k % 2 == 0) & (k % 7 != 0))
+    earlier = flat.withColumns({"endDate": F.lit(None).cast("timestamp_ntz"), "status": F.lit("OPEN")})
+    before = cases.clean_cases(earlier, X.AS_OF)
+    first = now.where((k % 2 != 0) & (k % 7 != 0)).unionByName(before)
+    after = now.where((k % 2 == 0) | (k % 7 == 0))
+    kept = states.changed(states.states(first), before, after)
+    still = states.changed_open(states.still_open(first), before, after)
+    return rounded(states.kpis(kept, still, EVERYTHING, by=["unidade"]))
+
+
+def _chain_bitmaps(spark, sf_dir, chosen=None):
+    """KPIs of the value chain from bitmaps and sums of two loads of its rows."""
+    rows = X.chain_filtered(spark, sf_dir)
+    loads_ = [rows.where(F.pmod(F.hash("Atividade"), F.lit(2)) == i) for i in range(2)]
+    first = distinct.numbered(loads_[0])
+    numbers = distinct.numbered(loads_[1], first)
+    bits = distinct.joined_bitmaps(distinct.bitmaps(loads_[0], first), distinct.bitmaps(loads_[1], numbers))
+    return rounded(distinct.kpis(bits, distinct.joined_hours(*map(distinct.hours, loads_)), chosen))
+
+
 def _records_with_other_fields(spark, sf_dir):
     landed = X.cases_with_other_fields(spark, sf_dir)
     return records.sound_records(records.unwrap(X.pages(landed)), schemas.REQUEST)
@@ -306,6 +329,7 @@ QUERIES = {
     "kpi_general": _kpi_general,
     "kpi_general_by_unit": flagship,
     "report_kept": _report_kept,
+    "kpi_from_states": _kpi_from_states,
     "kpi_filtered": _of_cases(cases.kpis),
     "cases_by_unit": _of_cases(cases.by_unit),
     "irregularity_by_unit": _of_cases(cases.irregularities_by_unit),
@@ -336,6 +360,8 @@ QUERIES = {
     "vc_long": lambda spark, sf_dir: rounded(X.chain_long(spark, sf_dir)),
     "vc_filtered": _of_chain(lambda rows: rows),
     "vc_kpis": _of_chain(value_chain.kpis),
+    "vc_kpis_bitmaps": _chain_bitmaps,
+    "vc_kpis_chosen_bitmaps": lambda spark, sf_dir: _chain_bitmaps(spark, sf_dir, X.CHOSEN_CHAIN),
     "season_ratio": _of_chain(value_chain.season_ratio),
     "hours_by_unit": _of_chain(value_chain.hours_by_unit),
     "hours_by_type": _of_chain(value_chain.hours_by_type),
