@@ -42,6 +42,7 @@ SKETCH = 256
 SENT = 1_000_000  # ids of 8 bytes
 LIKELY = 161  # of the sketch; 4.5 standard deviations below what pairs of the least similarity share
 COMMON = 1000  # a shingle that so many classes hold, or one in so many of all, is a common one
+BEFORE = 64  # shingles before a shared one that are looked at; a pair that shares only earlier ones besides is made again, and counts once
 SPREAD = 1 << 18  # shingles that are spread out at once
 _EXTRA = SKETCH - TREES * DEPTH
 _WIDE = 4  # bytes of a minimum
@@ -320,9 +321,11 @@ def _rarest(crowded: DataFrame, full: DataFrame, labels: DataFrame) -> DataFrame
     spread = stored(own.mapInArrow(tidy(rows), "rep bigint, component bigint, n bigint, shingle bigint"), "spread")
     held = spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("component").alias("_low"), F.max("component").alias("_high"))
     held = stored(held.filter("_low <> _high").select("shingle", "times"), "held")
-    # So few shingles are common that every task can have them; no task gets all rows of one.
+    # Mostly so few shingles are common that every task can have them; then no task gets all rows of one.
     common = F.col("times") > max(COMMON, reps.count() // COMMON)
-    several = spread.join(held.filter(~common), "shingle").unionByName(spread.join(F.broadcast(held.filter(common)), "shingle"))
+    often = held.filter(common)
+    often = F.broadcast(often) if often.count() <= SENT else often
+    several = spread.join(held.filter(~common), "shingle").unionByName(spread.join(often, "shingle"))
     whole = Window.partitionBy("rep")
     place = F.col("n") - F.count(F.lit(1)).over(whole) + F.row_number().over(whole.orderBy("times", "shingle"))
     first = several.withColumn("place", place).filter(F.col("place") <= F.col("n") - _least(F.col("n")) + 1)
@@ -331,8 +334,11 @@ def _rarest(crowded: DataFrame, full: DataFrame, labels: DataFrame) -> DataFrame
     sizes = first.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("shingle").agg(F.max(F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("kinds"))
     main = stored(main.filter("kinds > 1").select("shingle", F.col("main.component").alias("main")), "main")
-    outside = first.join(main, "shingle").filter("component <> main").select("shingle", *[F.col(c).alias(f"_{c}") for c in ("rep", "component", "n", "place")])
-    both = outside.join(first, "shingle").filter("component <> _component").filter(_similar_size("n", "_n"))
+    # A pair is made where it first shares a shingle: not where some shingle before it, of those that several components hold, is in both.
+    before = Window.partitionBy("rep").orderBy("place").rowsBetween(-BEFORE, -1)
+    ours = stored(first.join(main, "shingle").withColumn("before", F.collect_list("shingle").over(before)), "shared")
+    outside = ours.filter("component <> main").select("shingle", *[F.col(c).alias(f"_{c}") for c in ("rep", "component", "n", "place", "before")])
+    both = outside.join(ours.drop("main"), "shingle").filter("component <> _component").filter(_similar_size("n", "_n")).filter(~F.arrays_overlap("before", "_before"))
     shared = F.ceil((F.col("n") + F.col("_n")) * SIMILARITY / F.lit(100 + SIMILARITY))
     both = both.filter((F.col("place") + shared <= F.col("n") + 1) & (F.col("_place") + shared <= F.col("_n") + 1))
     return both.select(F.least("rep", "_rep").alias("a"), F.greatest("rep", "_rep").alias("b")).distinct()
