@@ -16,10 +16,10 @@ once, the entry's starts are divided into blocks, each with a core and a context
 blocks of `BLOCKS` starts, then, where it is still open, single ones. The dictionary keeps the bytes of such entries, each once. So exact copies, however many, cost
 one entry, and only the edges of matches are worked out byte by byte.
 
-Strings count as equal if two 64-bit values agree, those of core and context.
+Strings count as equal if the values of core and context agree, two polynomials modulo 2**61 - 1 with bases of their own.
 
 Nulls, ties and odd input: a null text is empty; rows that repeat a document are two places, so their long texts go in both; null ids are allowed, rows
-are told apart by id and a hash of the text; texts shorter than ``LENGTH`` stay whole. An empty table gives no rows. Further columns are not read.
+are told apart by id and a 64-bit hash of the text; texts shorter than ``LENGTH`` stay whole. An empty table gives no rows. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -44,23 +44,86 @@ _BASE = 0xA0761D6478BD642F | 1
 _BACK = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.Generator(np.random.PCG64(99)).integers(0, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _NO_ID = -(1 << 63)
-_KEY = "core bigint, context bigint, id bigint, mark int, place bigint"
+_KEY = "core bigint, context bigint, id bigint, mark bigint, place bigint"
 _BLOCK = f"{_KEY}, entry bigint, single boolean"
 
 
+_P = (1 << 61) - 1  # a prime: modulo a power of two, polynomials of regular strings can be equal whatever the base
+_LOW29, _LOW32 = U64((1 << 29) - 1), U64((1 << 32) - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the prime."""
+    x = (x & U64(_P)) + (x >> U64(61))
+    return np.where(x >= U64(_P), x - U64(_P), x)
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """A number as large as ``x * 2**32`` modulo the prime, below 2**62; ``x`` is below 2**62."""
+    return (x >> U64(29)) + ((x & _LOW29) << U64(32))
+
+
+def product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``x * y`` modulo the prime, of numbers below it."""
+    low_x, high_x, low_y, high_y = x & _LOW32, x >> U64(32), y & _LOW32, y >> U64(32)
+    crossed = low_x * high_y + high_x * low_y
+    return _reduced(_reduced(low_x * low_y) + _shifted(crossed) + ((high_x * high_y) << U64(3)))
+
+
+class _Lane:
+    """One polynomial over bytes modulo the prime: codes of the bytes, and powers of its base and of the inverse, grown by doubling."""
+
+    def __init__(self, seed: int):
+        random = np.random.Generator(np.random.PCG64(seed))
+        self.codes = random.integers(1, 1 << 29, 256, dtype=np.uint64)
+        base = int(random.integers(1 << 59, 1 << 60))
+        self.bases = {"up": base, "down": pow(base, -1, _P)}
+        self.held = {name: np.ones(1, U64) for name in self.bases}
+
+    def powers(self, name: str, count: int) -> np.ndarray:
+        have = self.held[name]
+        while len(have) < count:
+            have = np.concatenate([have, product(have, U64(pow(self.bases[name], len(have), _P)))])
+        self.held[name] = have
+        return have[:count]
+
+
+_LANES = (_Lane(1), _Lane(2))
+CORE, CONTEXT = range(2)
+
+
 class Values:
-    """Values of any strings of some bytes, from running sums."""
+    """Values of any strings of some bytes, from running sums of two polynomials with codes and bases of their own.
+
+    Two different strings of ``n`` bytes agree in one with a chance of about ``n / 2**61``.
+    """
 
     def __init__(self, data: np.ndarray):
-        self.sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=self.sums[1:])
-        self.back = powers(_BACK, len(data) + 1)
+        self.data, self.sums = data, [None, None]
+
+    def _sums(self, lane: int) -> np.ndarray:
+        if self.sums[lane] is None:
+            codes, power = _LANES[lane].codes[self.data], _LANES[lane].powers("up", len(self.data))
+            term = _reduced((power & _LOW32) * codes + _shifted((power >> U64(32)) * codes))
+            sums = np.zeros(len(self.data) + 1, U64)
+            low, high = np.cumsum(term & _LOW32, dtype=U64), np.cumsum(term >> U64(32), dtype=U64)
+            sums[1:] = _reduced(_reduced(low) + _shifted(high))
+            self.sums[lane] = sums
+        return self.sums[lane]
+
+    def raw(self, begin, end, lane):
+        sums, back = self._sums(lane), _LANES[lane].powers("down", len(self.data) + 1)
+        return product(_reduced(sums[end] + U64(_P) - sums[begin]), back[begin])
+
+    def of(self, begin, end, salt, lane):
+        return mixed(self.raw(begin, end, lane) ^ mixed(np.atleast_1d(salt).astype(U64) + U64(0x51ED27)))
 
-    def raw(self, begin, end):
-        return (self.sums[end] - self.sums[begin]) * self.back[begin]
 
-    def of(self, begin, end, salt):
-        return mixed(self.raw(begin, end) ^ mixed(np.atleast_1d(salt).astype(U64) + U64(0x51ED27)))
+def _rolled(data: np.ndarray) -> np.ndarray:
+    """A value of each run of ``WINDOW`` bytes. It only chooses where phrases end, so runs that share one do no harm."""
+    sums = np.zeros(len(data) + 1, U64)
+    np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=sums[1:])
+    return (sums[WINDOW:] - sums[:-WINDOW]) * powers(_BACK, len(data) + 1)[: len(data) + 1 - WINDOW]
 
 
 def triggers(data: np.ndarray, offsets: np.ndarray) -> tuple[Values, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,7 +137,7 @@ def triggers(data: np.ndarray, offsets: np.ndarray) -> tuple[Values, np.ndarray,
         return values, nothing, nothing, nothing, nothing
     np.add.at(starts_ok, offsets[:-1][long], 1)
     np.add.at(starts_ok, offsets[1:][long] - LENGTH + 1, -1)
-    rolled = (values.sums[WINDOW:] - values.sums[:-WINDOW]) * values.back[: n + 1 - WINDOW]
+    rolled = _rolled(data)
     rolled ^= rolled >> U64(29)
     rolled *= U64(0xBF58476D1CE4E5B9)
     fine = np.flatnonzero(rolled < U64((1 << 64) // FINER)) + WINDOW  # ends
@@ -117,8 +180,8 @@ def _parsed(docs: DataFrame) -> DataFrame:
                     continue
                 own = kinds == 2
                 begin = np.where(own, lows, ends - WINDOW)
-                core = values.of(begin, np.where(own, lows + LENGTH, ends + _AFTER), kinds)
-                context = values.of(lows, highs + LENGTH, ((ends - lows) << 10) + (ends - highs))
+                core = values.of(begin, np.where(own, lows + LENGTH, ends + _AFTER), kinds, CORE)
+                context = values.of(lows, highs + LENGTH, ((ends - lows) << 10) + (ends - highs), CONTEXT)
                 owner = np.searchsorted(offsets, lows, "right") - 1
                 place = ((ends - offsets[owner]) << 18) + ((ends - lows) << 9) + (ends - highs)
                 which = pa.array(i + owner)
@@ -184,7 +247,7 @@ def _dictionary(docs: DataFrame, entries: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(same), batch.column(1).take(same), pa.array(entry), pa.array(own, pa.binary())], ["id", "mark", "entry", "bytes"])
 
     lists = entries.groupBy("id", "mark").agg(F.collect_set("entry").alias("list"))
-    return docs.join(lists, ["id", "mark"]).select("id", "mark", "text", "list").mapInArrow(rows, "id bigint, mark int, entry bigint, bytes binary")
+    return docs.join(lists, ["id", "mark"]).select("id", "mark", "text", "list").mapInArrow(rows, "id bigint, mark bigint, entry bigint, bytes binary")
 
 
 def _divided(dictionary: DataFrame, entries: DataFrame, width: int) -> DataFrame:
@@ -206,9 +269,9 @@ def _divided(dictionary: DataFrame, entries: DataFrame, width: int) -> DataFrame
                 low, high = np.maximum(near[which], block * width), np.minimum(far[which], block * width + width - 1)
                 # The trigger's place within the bytes, which begin at the first start of the whole entry.
                 at = offsets[:-1][which] + ((entry >> 9) & 511)[which]
-                inner = values.of(at - block * width, at - block * width - width + 1 + LENGTH, block * 1024 + width)
+                inner = values.of(at - block * width, at - block * width - width + 1 + LENGTH, block * 1024 + width, CORE)
                 inner = mixed(inner ^ core.view(np.uint64)[which])
-                outer = values.of(at - high, at - low + LENGTH, high * 1024 + low)
+                outer = values.of(at - high, at - low + LENGTH, high * 1024 + low, CONTEXT)
                 take = pa.array(i + which)
                 parted = pa.array((end[which] << 18) + (high << 9) + low)
                 yield pa.RecordBatch.from_arrays([pa.array(inner.view(np.int64)), pa.array(outer.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), parted, batch.column(3).take(take), batch.column(5).take(take)], ["core", "context", "id", "mark", "place", "entry", "single"])
@@ -235,13 +298,13 @@ def spans(docs: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("id"), F.hash("text").alias("mark"), "text", *more)
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("mark"), "text", *more)
 
 
 def without_repeats(docs: DataFrame, kept: bool = True) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each document, and the bytes themselves as ``kept``, if asked for."""
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + kept]
-    found = spans(keyed(docs)).groupBy("id", "mark").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    found = spans(keyed(docs)).groupBy("id", "mark").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     found = found.select("id", "mark", F.col("spans.begin").alias("begins"), F.col("spans.end").alias("ends"))
     joined = keyed(docs, "doc_id").join(found, ["id", "mark"], "left")
 

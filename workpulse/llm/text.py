@@ -1,8 +1,10 @@
 """Words and shingles of many texts at once, as numpy arrays over their UTF-8 bytes.
 
-Words are runs of bytes other than space and 0x09-0x0D, with A-Z lower-cased. A word's value is a 64-bit polynomial
-over its bytes, so equal words have equal values wherever they stand; a shingle's value mixes those of its words.
-Two different words or shingles share a value with a chance of about 2**-64 a pair.
+Words are runs of bytes other than space and 0x09-0x0D, with A-Z lower-cased. A word's value is made of its bytes alone, so equal words
+have equal values wherever they stand; a shingle's value mixes those of its words. Up to `PIECE` bytes are a polynomial modulo 2**64,
+which is then mixed. Longer polynomials modulo a power of two would be equal for some regular words whatever their base, such as a
+Thue-Morse word of 1024 bytes and its complement; so a longer word is cut into pieces, each mixed together with its place, and these are added up.
+Two different words or shingles then share a value with a chance of about 2**-64 a pair, regular words of one piece with 2**-51.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+PIECE = 16  # bytes of a word that one polynomial takes
 SLICE = 1 << 19  # bytes of text worked on at once; a longer text is a slice of its own
 PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])  # white space and all other signs of ASCII
 _rng = np.random.Generator(np.random.PCG64(20240501))
@@ -106,7 +109,19 @@ def word_values(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     """One 64-bit value for each word; with ``fold``, A-Z count as a-z."""
     sums = np.zeros(len(data) + 1, U64)
     np.cumsum((_FOLDED if fold else _BYTE)[data] * powers(_BASE, len(data)), out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * powers(_BACK, len(data) + 1)[starts] + (ends - starts).astype(U64))
+    back, sizes = powers(_BACK, len(data) + 1), ends - starts
+    out = mixed((sums[ends] - sums[starts]) * back[starts] + sizes.astype(U64))
+    long = np.flatnonzero(sizes > PIECE)
+    if len(long):
+        counts = -(-sizes[long] // PIECE)
+        firsts = np.cumsum(counts) - counts
+        place = np.arange(int(counts.sum())) - np.repeat(firsts, counts)
+        begin = np.repeat(starts[long], counts) + place * PIECE
+        end = np.minimum(begin + PIECE, np.repeat(ends[long], counts))
+        pieces = (sums[end] - sums[begin]) * back[begin]
+        together = np.add.reduceat(mixed(pieces + mixed(place.astype(U64) + U64(1))), firsts)
+        out[long] = mixed(together + sizes[long].astype(U64))
+    return out
 
 
 def shingles(values: np.ndarray, firsts: np.ndarray, size: int = 5, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:

@@ -209,7 +209,8 @@ class Pieces:
     of a text are those of its words in order. For the same reason a word that ends in an ASCII letter and then ASCII
     punctuation other than an apostrophe is taken apart between the two. A-Z are lowered before, as the tokenizer would do
     after composing characters, unless a byte that may compose follows. Texts with the opening of a special token are
-    left as they are. Pieces are known by a 64-bit value of their bytes; at most ``most`` are kept.
+    left as they are. Pieces are found by a 64-bit value of their bytes and then compared byte by byte, in the slice and with what is known; a
+    slice in which two pieces share a value is encoded without this memory. At most ``most`` pieces are kept.
     """
 
     def __init__(self, vocabulary: str, most: int = 500_000):
@@ -223,9 +224,20 @@ class Pieces:
         self.known, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.bytes, self.held = np.zeros(1 << 16, np.uint8), 0  # of all known pieces
+        self.begins, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, values: np.ndarray, pieces: list[str]) -> None:
+    def _learn(self, values: np.ndarray, pieces: list[bytes]) -> None:
         """Encode new pieces; ``values`` are sorted."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        whole = int(sizes.sum())
+        if self.held + whole > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes[: self.held], np.zeros(max(len(self.bytes), 2 * whole), np.uint8)])
+        self.bytes[self.held : self.held + whole] = np.frombuffer(b"".join(pieces), np.uint8)
+        self.begins = np.concatenate([self.begins, self.held + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.held += whole
+        pieces = [piece.decode() for piece in pieces]
         coded = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         lengths = np.fromiter(map(len, coded), np.int64, len(coded))
         total = int(lengths.sum())
@@ -260,8 +272,10 @@ class Pieces:
         fresh = np.flatnonzero(~np.isin(distinct, self.known, assume_unique=True))
         if len(fresh):
             view, at = data.tobytes(), first[fresh]
-            self._learn(distinct[fresh], [view[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            self._learn(distinct[fresh], [view[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
         slots = self.slots[np.searchsorted(self.known, distinct)][which]
+        if not self._same(data, starts, ends, slots):
+            return self._plain(data, offsets, end_id)
         lengths = self.lengths[slots]
         before = np.concatenate([[0], np.cumsum(lengths)])
         counts = before[firsts[1:]] - before[firsts[:-1]] + 1
@@ -272,6 +286,22 @@ class Pieces:
         out[inner] = self.flat[np.repeat(self.starts[slots] - before[:-1], lengths) + np.arange(int(before[-1]))]
         return counts, out
 
+    def _same(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, slots: np.ndarray) -> bool:
+        """Whether every piece has the bytes of the known piece in its slot."""
+        sizes = ends - starts
+        if (sizes != self.sizes[slots]).any():
+            return False
+        before = np.cumsum(sizes) - sizes
+        along = np.arange(int(sizes.sum()))
+        return bool((data[np.repeat(starts - before, sizes) + along] == self.bytes[np.repeat(self.begins[slots] - before, sizes) + along]).all())
+
+    def _plain(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same of whole texts, each encoded by itself."""
+        view = data.tobytes()
+        texts = [view[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        coded = [[*x.ids, end_id] for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(map(len, coded), np.int64, len(coded)), np.fromiter(chain.from_iterable(coded), np.uint32)
+
 
 @lru_cache(maxsize=1)
 def _pieces(vocabulary: str) -> Pieces:
