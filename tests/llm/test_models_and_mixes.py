@@ -50,7 +50,61 @@ def test_language_of_odd_rows(spark, sf_dir):
     assert rows[3].lang_pred == "en" and rows[4].held_out is False and rows[5] == rows[6] and len(rows) == 7
     kept = language.identified(frame, model)
     assert kept.columns == frame.columns
-    assert sorted(str(r.doc_id) for r in kept.collect() if r.doc_id != 4) == ["3", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "4", "4", "None"]
+
+
+def test_short_and_clean_documents_stay_and_others_go(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit(docs)
+    short = docs.filter("lang is not null").withColumn("text", F.substring_index("text", " ", 2)).filter(F.col("text").rlike(r"\p{L}"))
+    assert language.identified(short, model).count() == short.count()
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    assert language.identified(known, model).count() >= 0.99 * known.count()
+    rng = random.Random(2)
+    foreign = ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(200)) for _ in range(60)]
+    frame = spark.createDataFrame([(i, text, None, "s", 1) for i, text in enumerate(foreign)], DOCS)
+    assert language.identified(frame, model).count() <= 0.4 * len(foreign)
+
+
+def test_nothing_learned_rejects_nothing_but_texts_without_letters(spark):
+    frame = spark.createDataFrame([(1, "some words", None, "s", 1), (2, "12 34", None, "s", 1), (3, None, None, "s", 1), (4, "x " * 400, None, "s", 1)], DOCS)
+    assert sorted(r.doc_id for r in language.identified(frame, language.fit(frame)).collect()) == [1, 4]
+
+
+def test_languages_of_rows_without_or_with_one_id_are_learned(spark):
+    rng = random.Random(4)
+    words = {"en": "the of and to in was that he it his her with as had for".split(), "de": "der die und in den von zu das mit sich des auf ist im dem".split(), "fr": "le de un et il que ne dans ce qui pas en elle sur se".split()}
+    ids = {"en": lambda k: k, "de": lambda k: None, "fr": lambda k: 7}
+    rows = [(ids[lang](k), " ".join(rng.choices(own, k=30)), lang, "s", 1) for lang, own in words.items() for k in range(1500)]
+    frame = spark.createDataFrame(rows, DOCS).repartition(5)
+    models = [language.fit(frame), language.fit(frame.repartition(3))]
+    assert models[0].languages == ["de", "en", "fr"] and (models[0].weights == models[1].weights).all()
+    got = language.identify(frame, models[0]).join(spark.createDataFrame([(lang, lang) for lang in words], "lang_pred string, l string"), "lang_pred").groupBy("lang_pred").count().collect()
+    assert all(abs(r["count"] - 1500) < 30 for r in got) and len(got) == 3
+
+
+def test_votes_are_those_of_plain_python(spark, sf_dir):
+    """Family by the largest margin, then a vote over its pairs; ties by the sum of chances."""
+    docs = _table(spark, sf_dir, "documents").filter("text is not null").limit(80)
+    model = language.fit(_table(spark, sf_dir, "documents"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, model).collect()}
+    for r in docs.collect():
+        if got[r.doc_id][0] == "und":
+            continue
+        data = np.frombuffer(r.text.encode(), np.uint8)
+        row = np.append(language.features(data, np.array([0, len(data)]))[0], 1).astype(np.float64)
+        margins = [float(row @ model.weights[:, k]) for k in range(model.weights.shape[1])]
+        chance = [1 / (1 + np.exp(-4 * m)) for m in margins]
+        heads = len(model.families)
+        family = max(range(heads), key=lambda k: margins[k])
+        votes, least = {i: 0.0 for i in model.members[family]}, {i: 1.0 for i in model.members[family]}
+        for at, (k, a, b) in enumerate(model.pairs, heads):
+            if k == family:
+                p = chance[at]
+                votes[a], votes[b] = votes[a] + (p >= 0.5) + p / 1000, votes[b] + (p < 0.5) + (1 - p) / 1000
+                least[a], least[b] = min(least[a], p), min(least[b], 1 - p)
+        best = max(votes, key=lambda i: votes[i])
+        assert got[r.doc_id][0] == model.languages[best] and got[r.doc_id][1] == pytest.approx(least[best] * chance[family], rel=1e-3)
 
 
 def test_language_without_anything_to_learn(spark):
@@ -117,6 +171,44 @@ def test_quality_of_odd_rows(spark):
     assert quality.scored(spark.createDataFrame([], DOCS), labels).collect() == []
 
 
+@pytest.mark.parametrize("texts", [("same words here", "same words here"), ("", ""), (None, " "), ("one text of a class", "ANOTHER 99!! text")])
+def test_quality_of_classes_of_one_text_each(spark, texts):
+    rows = [(k, texts[k % 4 == 0], "en", "s", 1) for k in range(80)]
+    frame = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(k, int(k % 4 == 0), 0) for k in range(80)], "doc_id bigint, quality int, toxic int")
+    got = quality.scored(frame, labels).collect()
+    learned = [r for r in got if not r.held_out]
+    if len({text or "" for text in texts}) == 1:
+        assert {round(r.score, 9) for r in got} == {round(sum(r.doc_id % 4 == 0 for r in learned) / len(learned), 9)}
+    elif texts[0] is not None:
+        assert all(r.predicted == int(r.doc_id % 4 == 0) for r in got)
+    else:
+        assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_statistics_are_those_of_plain_python():
+    texts = ["", "One two  two\ttwo.\nThree!", "é ü ñ", "AAA bbb AAA bbb AAA bbb|", "x" * 50, "a b c d e f g a b c d e f g\n\n1 2 3"]
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0, *[len(t.encode()) for t in texts]])
+    got = quality.statistics(np.frombuffer(data, np.uint8), offsets)
+    for row, text in zip(got, texts, strict=True):
+        raw, own = text.encode(), [w.encode() for w in __import__("re").findall(r"[^\x20\x09-\x0D]+", text)]
+        low = [bytes(c | 32 if 65 <= c <= 90 else c for c in w) for w in own]
+        sizes, size = np.array([len(w) for w in own], float), len(raw)
+        runs = [tuple(low[i : i + 5]) for i in range(len(low) - 4)] or ([tuple(low)] if low else [])
+        named = dict(zip(quality.NAMES, row.tolist(), strict=True))
+        want = {
+            "bytes": np.log1p(size), "words": np.log1p(len(own)), "word_length": np.log1p(sizes.mean() if own else 0), "word_spread": np.log1p(sizes.std() if own else 0),
+            "distinct_words": len(set(low)) / max(1, len(own)), "distinct_shingles": len(set(runs)) / max(1, len(runs)),
+            "repeats": np.sqrt(sum(a == b for a, b in zip(low, low[1:])) / max(1, len(own))), "top_word": np.sqrt(max((low.count(w) for w in low), default=0) / max(1, len(own))),
+            "upper": np.sqrt(sum(65 <= c <= 90 for c in raw) / max(1, size)), "digit": np.sqrt(sum(48 <= c <= 57 for c in raw) / max(1, size)),
+            "high": np.sqrt(sum(c > 127 for c in raw) / max(1, size)), "bar": np.sqrt(raw.count(b"|") / max(1, size)),
+            "capital_words": np.sqrt(sum(65 <= w[0] <= 90 for w in own) / max(1, len(own))),
+        }
+        for name, value in want.items():
+            assert named[name] == pytest.approx(value, abs=1e-9), (text, name)
+
+
 def test_discriminant_agrees_with_the_densities():
     rng = np.random.default_rng(2)
     x = {c: rng.normal(c, 1 + c, size=(400, len(quality.NAMES))) for c in (0, 1)}

@@ -46,9 +46,16 @@ def test_pipeline_agrees_with_its_stages(spark, sf_dir):
     small = sf_dir.replace("sf0.01", "sf0.001")
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = {r.doc_id: r for r in docs.collect()}
-    # Language: what is kept is what the model determines.
-    told = {r.doc_id: r for r in language.identify(docs, language.fit(docs)).collect()}
-    kept = [(i, r.text) for i, r in rows.items() if told[i].lang_pred != "und" and told[i].score >= language.REJECT_BELOW]
+    # Language: texts without a letter go, and longer ones that no family's machine claims.
+    model = language.fit(docs)
+
+    def claimed(text):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        lettered = any(c.isalpha() for c in text or "")
+        return lettered and (len(data) < 200 or model.predict(language.features(data, np.array([0, len(data)])))[2][0] >= 0.15)
+
+    kept = [(i, r.text) for i, r in rows.items() if claimed(r.text)]
+    assert len(kept) >= 0.97 * len(rows)
     # Near-duplicates: the smallest id of each component.
     first = {d for d, _, c in _components(kept) if d == c}
     kept = [(i, t) for i, t in kept if str(i) in first]

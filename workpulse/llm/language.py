@@ -3,7 +3,8 @@
 Features are counts of hashed byte trigrams and of hashed words over the whole text, A-Z lowered; their square roots are
 scaled to length one. Families are told apart by one-versus-rest machines, related languages by one machine a pair and a
 vote. Machines minimise the squared hinge loss by Newton steps on a bounded sample of labelled documents:
-about ``PER_LANGUAGE`` of each language and ``SAMPLE`` in all at most (but ``LEAST`` of a language), chosen by a hash of the id. Everything else covers all documents.
+``PER_LANGUAGE`` of each language and ``SAMPLE`` in all at most (but ``LEAST`` of a language), those of the smallest hashes of id and text. The driver fits at most
+``MOST_LANGUAGES`` languages, the most frequent ones; further ones, beyond what language codes name, are never predicted. Everything else covers all documents.
 
 A text that is null or has no letter is ``und`` with score 0; so is every text if nothing can be learned. A language outside
 the family table is a family of its own. Repeated rows are scored alike; a null id is not held out. An empty table gives no rows.
@@ -15,7 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from workpulse.llm.text import parts, tidy, utf8, word_values, words
 
@@ -28,7 +29,8 @@ TEXTS = 256  # whose features are held at once
 STEPS = 12
 COST = 8.0
 UNDETERMINED = "und"
-REJECT_BELOW = 0.3  # the pipeline drops documents that no language fits better than this
+NEAREST = 0.15  # the pipeline drops documents that no family claims with this margin,
+ENOUGH = 200  # if they have so many bytes that a margin tells something
 
 # Language families by ISO 639-1 code.
 FAMILIES = {
@@ -131,8 +133,8 @@ class Model:
                 self.pairs.append((k, a, b))
         self.weights = np.array(fits, np.float32).reshape(len(fits), DIM + 1).T
 
-    def predict(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the language and score of each row."""
+    def predict(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the language, score, and margin of the nearest family of each row; the margin is 1 if there is but one family."""
         margins = rows @ self.weights[:-1] + self.weights[-1]
         chance = 1 / (1 + np.exp(-4 * np.clip(margins, -20, 20)))
         n, heads = len(rows), len(self.families) if len(self.families) > 1 else 0
@@ -149,7 +151,7 @@ class Model:
             least[here, b] = np.minimum(least[here, b], 1 - p)
         best = votes.argmax(1)
         score = least[np.arange(n), best] * (chance[np.arange(n), family] if heads else 1.0)
-        return best, score
+        return best, score, margins[:, :heads].max(1) if heads else np.ones(n, np.float32)
 
 
 def fit(docs: DataFrame) -> Model | None:
@@ -162,9 +164,12 @@ def fit(docs: DataFrame) -> Model | None:
         return None
     each = max(LEAST, min(PER_LANGUAGE, SAMPLE // len(counts)))
     shares = {lang: min(1.0, each / count) for lang, count in counts.items()}
-    place = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
-    sample = known.filter(place < share[F.col("lang")]).select("lang", "text")
+    # Twice the share is looked at, so that the smallest hashes of each language are among them; rows that repeat id and text have one hash.
+    place = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id", "text"), F.lit(1 << 30))
+    share = F.create_map(*[F.lit(x) for lang, x in shares.items() for x in (lang, min(1.0, 2 * x))])
+    near = known.withColumn("place", place).filter(F.col("place") < share[F.col("lang")] * float(1 << 30))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
+    sample = near.withColumn("order", order).filter(F.col("order") <= each).select("lang", "text")
 
     def rows(batches):
         for batch in batches:
@@ -174,8 +179,7 @@ def fit(docs: DataFrame) -> Model | None:
                     at = np.flatnonzero(row)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i + k, 1), pa.array([at.astype("<u2").tobytes()]), pa.array([row[at].tobytes()])], ["lang", "bins", "counts"])
 
-    # The hash keeps to the bound by chance; the limit does so for tables of few, often repeated ids.
-    got = sample.mapInArrow(tidy(rows), "lang string, bins binary, counts binary").limit(2 * each * len(shares)).toArrow()
+    got = sample.mapInArrow(tidy(rows), "lang string, bins binary, counts binary").toArrow()
     got = got.sort_by([("lang", "ascending"), ("bins", "ascending"), ("counts", "ascending")])
     if not got.num_rows:
         return None
@@ -188,16 +192,17 @@ def fit(docs: DataFrame) -> Model | None:
     return Model(dense, np.array(got["lang"].to_pylist(), object))
 
 
-def _predicted(model: Model | None, texts, lettered) -> tuple[pa.Array, pa.Array]:
-    names, scores = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
+def _predicted(model: Model | None, texts, lettered) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Language, score and family margin of each text; texts too short to tell have the margin 1."""
+    names, scores, near = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts)), np.ones(len(texts))
     if model is not None:
         languages = np.array(model.languages, object)
         for i, j, data, offsets in parts(texts, texts=TEXTS):
-            best, score = model.predict(features(data, offsets))
-            names[i:j], scores[i:j] = languages[best], score
+            best, score, margin = model.predict(features(data, offsets))
+            names[i:j], scores[i:j], near[i:j] = languages[best], score, np.where(np.diff(offsets) < ENOUGH, 1, margin)
         none = ~lettered.fill_null(False).to_numpy(zero_copy_only=False)
         names[none], scores[none] = UNDETERMINED, 0.0
-    return pa.array(names, pa.string()), pa.array(scores, pa.float64())
+    return pa.array(names, pa.string()), pa.array(scores, pa.float64()), near
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -205,21 +210,27 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            names, scores = _predicted(model, batch.column(2), batch.column(3))
+            names, scores, _ = _predicted(model, batch.column(2), batch.column(3))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names, scores], ["doc_id", "held_out", "lang_pred", "score"])
 
     read = docs.select("doc_id", held_out().alias("held_out"), "text", F.col("text").rlike(r"\p{L}"))
     return read.mapInArrow(tidy(rows), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
-def identified(docs: DataFrame, model: Model | None, below: float = REJECT_BELOW) -> DataFrame:
-    """The documents whose language is determined with a score of ``below`` at least, columns as they are."""
+def identified(docs: DataFrame, model: Model | None, nearest: float = NEAREST) -> DataFrame:
+    """The documents of some language, columns as they are: those with a letter that a family claims with a margin of ``nearest`` at least.
+
+    A typical document has a margin of 1; near 0 its family's machine cannot tell it from the others, as with texts of no learned language.
+    Texts of fewer than ``ENOUGH`` bytes stay, since they tell too little to be rejected by. Where nothing could be learned, or but one family, there
+    is nothing to reject by, and every document with a letter stays.
+    """
     names, text = docs.columns, docs.columns.index("text")
 
     def rows(batches):
         for batch in batches:
-            languages, scores = _predicted(model, batch.column(text), batch.column(len(names)))
-            good = (np.array(languages.to_pylist(), object) != UNDETERMINED) & (scores.to_numpy() >= below)
+            lettered = batch.column(len(names))
+            _, _, near = _predicted(model, batch.column(text), lettered)
+            good = lettered.fill_null(False).to_numpy(zero_copy_only=False) & (near >= nearest)
             yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], schema=pa.schema(list(batch.schema)[: len(names)])).filter(pa.array(good))
 
     return docs.select("*", F.col("text").rlike(r"\p{L}")).mapInArrow(tidy(rows), docs.schema)

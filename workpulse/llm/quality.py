@@ -21,6 +21,7 @@ from workpulse.llm.text import parts, shingles, word_values, words
 
 POOLED = 0.2  # share of the pooled covariance in each class's
 ROUND = 0.05  # share of the mean variance in each class's
+LEAST_VARIANCE = 0.01  # that the mean variance counts as, if it is smaller: classes of one text each have none
 THRESHOLD = 0.7
 SOFT = 4.0  # the difference of log densities is divided by this before the logistic
 
@@ -94,6 +95,15 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(rows, f"doc_id {kind}, held_out boolean, stats array<double>")
 
 
+def _factor(covariance: np.ndarray, round_: float) -> np.ndarray:
+    """Cholesky factor of a covariance with ``round_`` added to its variances; more, where rounding has left it without one."""
+    while True:
+        try:
+            return np.linalg.cholesky(covariance + round_ * np.eye(len(covariance)))
+        except np.linalg.LinAlgError:
+            round_ *= 10
+
+
 class Model:
     """Means, Cholesky factors and log densities' constants of the two classes."""
 
@@ -109,11 +119,13 @@ class Model:
         pooled = (scatter[0] + scatter[1]) / total
         self.scale = np.sqrt(np.maximum(np.diag(pooled), 1e-8))
         both = np.outer(self.scale, self.scale)
+        # Without any difference between or within the classes the share of the classes is all there is to tell.
+        if np.abs(mean[1] - mean[0]).max() <= 1e-9 * (1 + np.abs(mean[0]).max()) and np.trace(pooled) <= 1e-9 * (1 + mean[0] @ mean[0]):
+            return
         self.classes = []
         for c in (0, 1):
             own = (1 - POOLED) * scatter[c] / counts[c] / both + POOLED * pooled / both
-            own = (1 - ROUND) * own + ROUND * np.trace(own) / len(own) * np.eye(len(own))
-            factor = np.linalg.cholesky(own)
+            factor = _factor((1 - ROUND) * own, ROUND * max(np.trace(own) / len(own), LEAST_VARIANCE))
             self.classes.append((mean[c], np.linalg.inv(factor), np.log(counts[c] / total) - np.log(np.diag(factor)).sum()))
 
     def score(self, stats: np.ndarray) -> np.ndarray:
