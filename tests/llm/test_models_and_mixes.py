@@ -268,6 +268,40 @@ def test_search_with_very_large_numbers(spark):
     _check_search(spark, [(0, [3e7, 1.0]), (1, [2e7, 5.0]), (2, [-1e12, 2.0]), (3, [1e300, 0.0]), (50, [1e18, -1.5])])
 
 
+def test_search_with_large_and_small_components_in_one_vector(spark):
+    _check_search(spark, [(0, [float(2**51), -0.3]), (1, [0.0, -0.3]), (2, [1.0, -0.001]), (50, [-0.3, float(2**52)]), (3, [-0.7, -0.7])])
+
+
+def test_most_rows_are_eliminated(spark, sf_dir):
+    """Share of the rows that are evaluated, over the vectors of a larger table."""
+    frame = _table(spark, sf_dir.replace("sf0.01", "sf0.1"), "embeddings")
+    rows = topk._whole(frame).orderBy("vec_id").collect()
+    v, ids = np.array([r.v for r in rows]), np.array([r.vec_id for r in rows])
+    pivots = topk.Pivots(v)
+    whole = topk.Block(ids, v, pivots.table(v), pivots)
+    asked = ids % 50 == 0
+    best = {}
+    evaluated = whole.search(topk.Block(ids[asked], v[asked], pivots.table(v[asked]), pivots), best, 5, True)
+    assert evaluated <= 0.35 * len(ids) * asked.sum()
+    products = v[asked] @ v.T
+    for row, q in zip(products, ids[asked], strict=True):
+        others = ids != q
+        assert best[q][0].tolist() == np.sort(row[others])[::-1][:5].astype(int).tolist()
+
+
+def test_bounds_are_bounds():
+    rng = np.random.default_rng(8)
+    for scale in (1, 1e6, 1e120):
+        v = np.floor(256 * scale * rng.normal(size=(300, 12)) * rng.random((300, 1)) ** 3)
+        v[:5] = 0
+        v[5:10] = v[10:15]
+        for most in (1, 6, 12):
+            pivots = topk.Pivots(v[:100], most)
+            block = topk.Block(np.arange(300), v, pivots.table(v), pivots)
+            for q in range(0, 300, 37):
+                assert (block.highest(block.squares[q], block.far[q], block.inside[q], block.left[q]) >= v @ v[q]).all()
+
+
 def test_search_of_little(spark):
     _check_search(spark, [])
     _check_search(spark, [(1, [1.0])])

@@ -1,10 +1,11 @@
 """Exact top-k inner products by pivot-table elimination.
 
-Vectors become whole numbers, floor(256 x). With one more component that brings all of them to the same norm M, a larger inner product is a
-smaller distance: d(q, x)^2 = M^2 + |q|^2 - 2 q.x. The index keeps each vector's distances to `PIVOTS` pivots, which are a bounded sample of
-the rows. For a query and a block of rows the largest |d(q, p) - d(x, p)| over the pivots bounds d(q, x) from below, and so q.x from
-above. Rows are evaluated in the order of that bound, a run at a time, until no bound left reaches the query's k-th score. The products themselves
-are exact whole numbers; bounds get a slack far above the rounding of doubles.
+Vectors become whole numbers, floor(256 x). The index keeps each vector's length and its distances to `PIVOTS` pivots, rows of a bounded sample picked one
+after the other, each the farthest from the span of those before. A distance d bounds an inner product: 2 q.x = |q|^2 + |x|^2 - d(q, x)^2.
+The table gives two lower bounds of d(q, x), and the larger counts: the largest |d(q, p) - d(x, p)| over the pivots, and the distance of the
+projections of both onto the pivots' span, which their distances to the pivots determine, together with the difference of what is left of
+either length. Rows are evaluated in the order of that bound, a run at a time, until no bound left reaches the query's k-th score. The products
+themselves are exact whole numbers; bounds get a slack far above the rounding of doubles.
 
 Queries and rows are packed into blocks, and each pair of blocks meets once by an equi-join on block numbers. A task keeps the best k of
 each query between the blocks it sees. No block goes through the driver.
@@ -12,7 +13,7 @@ each query between the blocks it sees. No block goes through the driver.
 Nulls, ties and odd input: vectors that are null or hold a null or non-finite component, and rows without an id, take no part;
 vectors of different length are compared as if the shorter ended in zeros; ties go to the smaller id; rows that repeat an id are candidates each, and
 a query is one row per id (the largest vector in array order) that skips every row of its own id. Scores outside 64 bits are cut to them.
-Further columns are not read. An empty table gives no rows.
+Where squares leave the range of doubles nothing is eliminated. Further columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,21 +27,21 @@ from workpulse.llm.storage import stored
 K = 5
 EVERY = 50  # queries are the rows whose id is divisible by it
 SCALE = 256.0
-PIVOTS = 24
+PIVOTS = 48
+SAMPLE = 2000  # rows that pivots are picked from
 ROWS, QUERIES = 4096, 1024  # of a block
-RUN = 512  # rows evaluated at once in the order of their bounds
+RUN = 128  # rows evaluated at once in the order of their bounds
 EXACT = 1 << 53  # whole numbers up to it are exact doubles
 
 
 def _whole(vectors: DataFrame) -> DataFrame:
     """``vec_id, v``: the whole numbers of the vectors that take part, as doubles."""
-    x = F.transform("embedding", lambda c: F.floor(F.lit(SCALE) * c.cast("double")).cast("double"))
+    # floor() of a double is a bigint and would cut very large components; they are whole numbers as they are.
+    scaled = lambda c: F.lit(SCALE) * c.cast("double")
+    whole = lambda c: F.when(F.abs(c.cast("double")) < F.lit(float(1 << 50)), F.floor(scaled(c)).cast("double")).otherwise(scaled(c))
     finite = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(F.lit(SCALE) * c.cast("double")) < F.lit(float("inf"))))
     good = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(F.coalesce(finite, F.lit(False)))
-    # floor() of a double is a bigint and would cut very large components; they are whole numbers as they are.
-    large = F.transform("embedding", lambda c: F.lit(SCALE) * c.cast("double"))
-    safe = F.forall("embedding", lambda c: F.abs(c.cast("double")) < F.lit(float(1 << 50)))
-    return good.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.when(safe, x).otherwise(large).alias("v"))
+    return good.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform("embedding", whole).alias("v"))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -83,6 +84,74 @@ def _better(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np
     return scores[order], ids[order]
 
 
+class Pivots:
+    """Rows of ``sample``, each the farthest from the span of those before; those that add nearly nothing are left out."""
+
+    def __init__(self, sample: np.ndarray, most: int = PIVOTS):
+        rest, picked = sample.copy(), []
+        squares = (rest * rest).sum(1)
+        least = 1e-4 * squares.max(initial=0)
+        for _ in range(min(most, *sample.shape)):
+            at = int(squares.argmax())
+            if squares[at] <= least or not squares[at] > 0:
+                break
+            picked.append(at)
+            along = rest[at] / np.sqrt(squares[at])
+            rest -= np.outer(rest @ along, along)
+            squares = (rest * rest).sum(1)
+        self.rows = sample[picked]
+        self.squares = (self.rows * self.rows).sum(1)
+        # The inverse of the pivots' triangular factor turns products with the pivots into coordinates of the projection.
+        self.turn = np.linalg.inv(np.linalg.cholesky(self.rows @ self.rows.T)).T if picked else np.zeros((0, 0))
+
+    def table(self, v: np.ndarray) -> np.ndarray:
+        """Squared length of each row, then its distances to the pivots."""
+        squares = (v * v).sum(1)
+        return np.column_stack([squares, np.sqrt(np.maximum(squares[:, None] + self.squares - 2 * v @ self.rows.T, 0))])
+
+
+class Block:
+    """Some rows with their part of the pivot table."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, table: np.ndarray, pivots: Pivots):
+        self.ids, self.v, self.squares, self.far = ids, v, table[:, 0], table[:, 1:]
+        self.inside = (self.squares[:, None] + pivots.squares - self.far**2) / 2 @ pivots.turn  # coordinates of the projection onto the span
+        self.left = np.sqrt(np.maximum(self.squares - (self.inside * self.inside).sum(1), 0))
+
+    def highest(self, square: float, far: np.ndarray, inside: np.ndarray, left: float) -> np.ndarray:
+        """The largest product that each row can have with a query of which this is known."""
+        around = ((self.inside - inside) ** 2).sum(1) + (self.left - left) ** 2
+        if len(far):
+            around = np.maximum(around, np.abs(self.far - far).max(1) ** 2)
+        out = (square + self.squares - around) / 2 + 1e-6 * (square + self.squares + 1)
+        return np.where(np.isfinite(out), out, np.inf)
+
+    def search(self, queries: "Block", best: dict, k: int, exact: bool) -> int:
+        """Bring the ``best`` scores of each query up to date; give the number of rows that were evaluated."""
+        evaluated = 0
+        for i, q in enumerate(queries.ids.tolist()):
+            scores, owners = best.get(q, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+            vector = queries.v[i]
+            highest = self.highest(queries.squares[i], queries.far[i], queries.inside[i], queries.left[i])
+            order = np.argsort(-highest, kind="stable")
+            for at in range(0, len(order), RUN):
+                run = order[at : at + RUN]
+                if len(scores) == k:
+                    run = run[highest[run] >= scores[-1]]
+                    if not len(run):
+                        break
+                evaluated += len(run)
+                run = run[self.ids[run] != q]
+                products = _products(vector, self.v[run], exact)
+                if len(scores) == k:
+                    good = products >= scores[-1]
+                    products, run = products[good], run[good]
+                if len(run):
+                    scores, owners = _better(np.concatenate([scores, products]), np.concatenate([owners, self.ids[run]]), k)
+            best[q] = (scores, owners)
+        return evaluated
+
+
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k best rows for each query."""
     rows = stored(_whole(vectors), "vectors")
@@ -94,28 +163,13 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     count, width, largest, asked = facts[0], max(1, facts[1]), facts[2], facts[3]
     # By Cauchy-Schwarz the largest squared norm bounds every product and every partial sum of squares of it.
     exact = largest * 4 < EXACT and np.isfinite(largest)
-    top = largest if np.isfinite(largest) else np.finfo(float).max
-    pivots = _matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(PIVOTS).select("v").toArrow()["v"].combine_chunks(), width)
-
-    def raised(v):
-        return np.sqrt(np.maximum(top - (v * v).sum(1), 0))
-
-    pivot_lift = raised(pivots)
-
-    def table(v):
-        """Distances of rows, brought to the same norm, to the pivots."""
-        lift = raised(v)
-        square = ((v * v).sum(1) + lift**2)[:, None] + ((pivots * pivots).sum(1) + pivot_lift**2)[None, :] - 2 * (v @ pivots.T + np.outer(lift, pivot_lift))
-        return np.sqrt(np.maximum(square, 0))
-
-    def query_table(v):
-        """The same for queries, whose added component is zero."""
-        square = (v * v).sum(1)[:, None] + ((pivots * pivots).sum(1) + pivot_lift**2)[None, :] - 2 * v @ pivots.T
-        return np.sqrt(np.maximum(square, 0))
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
+    pivots = Pivots(_matrix(sample, width) if np.isfinite(largest * 4) else np.zeros((0, width)))
+    table = pivots.table
 
     row_blocks, query_blocks = -(-count // ROWS), -(-asked // QUERIES)
     queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max("v").alias("v"))
-    asked_blocks = stored(_packed(queries, QUERIES, query_blocks, width, query_table), "queries")
+    asked_blocks = stored(_packed(queries, QUERIES, query_blocks, width, table), "queries")
     held_blocks = stored(_packed(rows, ROWS, row_blocks, width, table), "rows")
     held = held_blocks.select("n", "ids", "v", "extra", (F.col("part") % row_blocks).alias("slot")).repartition(row_blocks, "slot")
     asked_side = asked_blocks.select(F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v"), F.col("extra").alias("q_extra"))
@@ -126,29 +180,9 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                ids, v = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["v"]).reshape(row["n"], width)
-                far = np.frombuffer(row["extra"]).reshape(row["n"], len(pivots))
-                q_ids, q_v = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["q_v"]).reshape(row["q_n"], width)
-                q_far = np.frombuffer(row["q_extra"]).reshape(row["q_n"], len(pivots))
-                for q, vector, distances in zip(q_ids.tolist(), q_v, q_far, strict=True):
-                    scores, owners = best.get(q, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-                    bound = np.abs(far - distances).max(1)
-                    # The highest product that a row at least this far away can have, with slack for rounding.
-                    highest = (top + vector @ vector - bound * bound) / 2
-                    highest += 1e-6 * (abs(top) + 1)
-                    order = np.argsort(-highest, kind="stable")
-                    for at in range(0, len(order), RUN):
-                        run = order[at : at + RUN]
-                        if len(scores) == k and highest[run[0]] < scores[-1]:
-                            break
-                        run = run[ids[run] != q]
-                        products = _products(vector, v[run], exact)
-                        if len(scores) == k:
-                            good = products >= scores[-1]
-                            products, run = products[good], run[good]
-                        if len(run):
-                            scores, owners = _better(np.concatenate([scores, products]), np.concatenate([owners, ids[run]]), k)
-                    best[q] = (scores, owners)
+                block = Block(np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["v"]).reshape(row["n"], width), np.frombuffer(row["extra"]).reshape(row["n"], -1), pivots)
+                asked_ = Block(np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["q_v"]).reshape(row["q_n"], width), np.frombuffer(row["q_extra"]).reshape(row["q_n"], -1), pivots)
+                block.search(asked_, best, k, exact)
         for q, (scores, owners) in best.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(scores), q)), pa.array(owners), pa.array(scores)], ["query_id", "vec_id", "score"])
 
