@@ -135,8 +135,10 @@ def test_crowded_regions_go_deeper(docs, monkeypatch):
     assert deeper
 
 
-def test_links_within_a_family_of_templated_texts(docs):
-    """600 texts that share 0.72 of their shingles, some with a partner at 0.75 to 0.80."""
+@pytest.mark.parametrize("sent", [neardup.SENT, 0])
+def test_links_within_a_family_of_templated_texts(docs, monkeypatch, sent):
+    """600 texts that share 0.72 of their shingles, some with a partner at 0.75 to 0.80; with what is shared sent to the tasks, and joined."""
+    monkeypatch.setattr(neardup, "SENT", sent)
     rng = random.Random(12)
     wide = [f"v{i}" for i in range(3000)]
     form = " ".join(rng.choices(wide, k=252))

@@ -39,7 +39,7 @@ OUTSIDE = 32
 TRIED = 2  # partners that a class tries at once
 SIMILARITY = 75  # per cent of the union
 SKETCH = 256
-SENT = 1_000_000  # ids of 8 bytes
+SENT = 1_000_000  # ids or shingles that may go to every task, of 8 or 16 bytes
 LIKELY = 161  # of the sketch; 4.5 standard deviations below what pairs of the least similarity share
 COMMON = 1000  # a shingle that so many classes hold, or one in so many of all, is a common one
 BEFORE = 64  # shingles before a shared one that are looked at; a pair that shares only earlier ones besides is made again, and counts once
@@ -293,6 +293,46 @@ def _least(n):
     return F.ceil(n * SIMILARITY / F.lit(100))
 
 
+def _first_told(own: DataFrame, held: DataFrame) -> DataFrame:
+    """``shingle, rep, component, n, place`` of each class's shingles that may be the first it shares, by ``held``, which every task gets: `SENT` rows at most."""
+    table = held.toArrow()
+    known = table["shingle"].to_numpy()
+    order = np.argsort(known)
+    known, times = known[order], table["times"].to_numpy()[order]
+
+    def rows(batches):
+        for batch in batches:
+            out = []
+            for k, held_ in enumerate(batch.column(2)):
+                own_ = np.frombuffer(held_.as_buffer(), np.int64)
+                at = np.minimum(np.searchsorted(known, own_), max(0, len(known) - 1))
+                at = at[known[at] == own_] if len(known) else at[:0]
+                at = at[np.lexsort((known[at], times[at]))]
+                n = len(own_)
+                place = n - len(at) + 1 + np.arange(len(at))
+                at, place = (x[place <= n - -(-n * SIMILARITY // 100) + 1] for x in (at, place))
+                out.append((known[at], np.full(len(at), k), np.full(len(at), n), place))
+            if out:
+                shingle, which, n, place = (np.concatenate(x) for x in zip(*out, strict=True))
+                which = pa.array(which)
+                yield pa.RecordBatch.from_arrays([pa.array(shingle), batch.column(0).take(which), batch.column(1).take(which), pa.array(n), pa.array(place)], ["shingle", "rep", "component", "n", "place"])
+
+    return own.mapInArrow(tidy(rows), "shingle bigint, rep bigint, component bigint, n bigint, place bigint")
+
+
+def _first_joined(spread: DataFrame, held: DataFrame, reps: DataFrame) -> DataFrame:
+    """The same, whatever the number of shingles that are held."""
+    # Mostly so few shingles are common that every task can have them; then no task gets all rows of one.
+    common = F.col("times") > max(COMMON, reps.count() // COMMON)
+    often = held.filter(common)
+    often = F.broadcast(often) if often.count() <= SENT else often
+    several = spread.join(held.filter(~common), "shingle").unionByName(spread.join(often, "shingle"))
+    whole = Window.partitionBy("rep")
+    place = F.col("n") - F.count(F.lit(1)).over(whole) + F.row_number().over(whole.orderBy("times", "shingle"))
+    first = several.withColumn("place", place).filter(F.col("place") <= F.col("n") - _least(F.col("n")) + 1)
+    return first.select("shingle", "rep", "component", "n", "place")
+
+
 def _rarest(crowded: DataFrame, full: DataFrame, labels: DataFrame) -> DataFrame:
     """Every pair ``a < b`` of different components among the classes of crowded regions that can be linked by its rarest shingles.
 
@@ -321,15 +361,7 @@ def _rarest(crowded: DataFrame, full: DataFrame, labels: DataFrame) -> DataFrame
     spread = stored(own.mapInArrow(tidy(rows), "rep bigint, component bigint, n bigint, shingle bigint"), "spread")
     held = spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("component").alias("_low"), F.max("component").alias("_high"))
     held = stored(held.filter("_low <> _high").select("shingle", "times"), "held")
-    # Mostly so few shingles are common that every task can have them; then no task gets all rows of one.
-    common = F.col("times") > max(COMMON, reps.count() // COMMON)
-    often = held.filter(common)
-    often = F.broadcast(often) if often.count() <= SENT else often
-    several = spread.join(held.filter(~common), "shingle").unionByName(spread.join(often, "shingle"))
-    whole = Window.partitionBy("rep")
-    place = F.col("n") - F.count(F.lit(1)).over(whole) + F.row_number().over(whole.orderBy("times", "shingle"))
-    first = several.withColumn("place", place).filter(F.col("place") <= F.col("n") - _least(F.col("n")) + 1)
-    first = stored(first.select("shingle", "rep", "component", "n", "place"), "first")
+    first = stored(_first_told(own, held) if held.count() <= SENT else _first_joined(spread, held, reps), "first")
     # Of each shingle's holders, those outside its largest component are tried against all.
     sizes = first.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("shingle").agg(F.max(F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("kinds"))
