@@ -7,7 +7,8 @@ either text is marked twice. An item leaks into a document if the tiles cover at
 whatever order the document has them.
 
 The documents are not shuffled: every task holds the seeds of a part of the benchmark of at most about ``PER_PASS`` words. A larger
-benchmark takes several passes over the documents, one for each part, so that what tasks hold stays bounded.
+benchmark takes several passes over the documents, one after the other, each stored before the next part is read: driver and tasks hold one part
+at a time, whatever the benchmark's size.
 
 Null and empty texts, and items of fewer than ``SEED`` words, match nothing. Ties between matches go to the earlier place in the document,
 then in the item. Repeated documents and items are reported each. An empty table gives no rows. Further columns pass unchanged.
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from workpulse.llm.storage import stored
 from workpulse.llm.text import PUNCTUATION, parts, shingles, tidy, word_values, words
 
 SEED = 5
@@ -129,14 +131,13 @@ class Seeds:
 
 
 def passes(benchmark: DataFrame):
-    """The seeds of the benchmark in parts of at most about ``PER_PASS`` words."""
+    """``seeds, last`` of the benchmark's parts, of at most about ``PER_PASS`` words each, and whether it is the last part."""
     items = benchmark.filter("text is not null").select("item_id", "text")
     total = items.agg(F.sum(F.length("text") / 2)).first()[0] or 0
     count = int(total // PER_PASS) + 1
     for k in range(count):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).toArrow()
-        if part.num_rows:
-            yield Seeds(part["item_id"].to_pylist(), part["text"].combine_chunks())
+        yield Seeds(part["item_id"].to_pylist(), part["text"].combine_chunks()), k == count - 1
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -144,7 +145,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kind, item_kind = (frame.schema[name].dataType.simpleString() for frame, name in ((docs, "doc_id"), (benchmark, "item_id")))
     schema = f"doc_id {kind}, item_id {item_kind}, item_words bigint, covered_words bigint, coverage double, tiles bigint"
     out = docs.sparkSession.createDataFrame([], schema)
-    for seeds in passes(benchmark):
+    for seeds, last in passes(benchmark):
 
         def rows(batches, seeds=seeds):
             for batch in batches:
@@ -156,14 +157,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         ids = batch.column(0).take(pa.array([i + x for x in text]))
                         yield pa.RecordBatch.from_pydict({"doc_id": ids, "item_id": [seeds.item_ids[x] for x in item], "item_words": size, "covered_words": np.array(covered, np.int64), "coverage": np.array(covered) / size, "tiles": np.array(tiles, np.int64)})
 
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(tidy(rows), schema))
+        found = docs.select("doc_id", "text").mapInArrow(tidy(rows), schema)
+        out = out.unionByName(found if last else stored(found, "leaks"))
     return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents into which no item leaks, columns as they are."""
     text = docs.columns.index("text")
-    for seeds in passes(benchmark):
+    for seeds, last in passes(benchmark):
 
         def rows(batches, seeds=seeds):
             for batch in batches:
@@ -173,4 +175,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(tidy(rows), docs.schema)
+        docs = docs if last else stored(docs, "clean")
     return docs
