@@ -370,22 +370,59 @@ def test_mix_of_odd_rows(spark):
     assert [(r.size, r.target, r.taken) for r in one] == [(0, 0.0, 0)]
 
 
+def _expected_copies(sizes, target):
+    """Copies in proportion to the fourth root of the size, none above 2, whose words meet the target: by halving."""
+    low, high = 0.0, 1e9
+
+    def words(rate):
+        return sum(size * min(2.0, rate * size**0.25) for size in sizes)
+
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if words(middle) < target else (low, middle)
+    return {size: min(2.0, high * max(size, 1) ** 0.25) for size in set(sizes)}
+
+
 def test_mix_follows_the_pareto_order(spark):
-    rows = [(k, "w " * 9 + "w", "only" if k % 4 else "other", k) for k in range(400)]
+    rng = random.Random(6)
+    rows = [(k, f"{k} " + "w " * rng.choice([4, 9, 40, 200, 900]) + "w", "only" if k % 4 else "other", k) for k in range(400)]
     frame = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s, _ in rows], DOCS)
     got = {r.doc_id: r for r in mixing.mix(frame).collect()}
+    texts = {k: t for k, t, _, _ in rows}
     for source in ("only", "other"):
         own = [k for k, _, s, _ in rows if s == source]
-        ratio = got[own[0]].target / got[own[0]].source_size
-        chance = ratio - math.floor(ratio)
+        copies = _expected_copies([got[k].size for k in own], got[own[0]].target)
 
         def rank(k):
-            drawn = int(hashlib.md5(f"{mixing.SEED}:{k}:10".encode()).hexdigest()[:12], 16)  # noqa: S324
+            drawn = int(hashlib.md5(f"{mixing.SEED}:{k}:{hashlib.md5(texts[k].encode()).hexdigest()}".encode()).hexdigest()[:12], 16)  # noqa: S324
             u = (drawn + 0.5) / float(1 << 48)
-            return (u / (1 - u)) / (chance / (1 - chance)) if chance else 0  # noqa: B023
-
-        more = sorted((k for k in own if got[k].copies > math.floor(ratio)), key=rank)
-        assert more == sorted(own, key=rank)[: len(more)]
+            chance = copies[got[k].size] % 1  # noqa: B023
+            return (u / (1 - u)) / (chance / (1 - chance))
+
+        sampled = [k for k in own if 1e-4 < copies[got[k].size] % 1 < 1 - 1e-4]
+        more = sorted((k for k in sampled if got[k].copies > math.floor(copies[got[k].size])), key=rank)
+        assert more == sorted(sampled, key=rank)[: len(more)]
+        assert all(got[k].copies in (math.floor(copies[got[k].size]), math.ceil(copies[got[k].size])) for k in own)
+
+
+def test_documents_of_one_source_have_chances_of_their_own(spark):
+    """Sources of one weight and size, each with the same sizes of documents: how often a size is taken meets what is expected."""
+    lengths = [1] * 12 + [16] * 8 + [81] * 6 + [256] * 4
+    rows = [(s * 100 + k, f"{s}.{k} " + "w " * (n - 1), "en", f"s{s:04d}", 0) for s in range(600) for k, n in enumerate(lengths)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS).repartition(8)).collect()
+    for place in range(3):
+        own = [r for r in got if (r.doc_id // 100) % 3 == place]
+        expected = _expected_copies(lengths, own[0].target)
+        for size in set(lengths):
+            copies = [r.copies for r in own if r.size == size]
+            assert abs(sum(copies) / len(copies) - expected[size]) < 0.08, (place, size)
+    assert len({round(_expected_copies(lengths, own[0].target)[size], 3) for size in set(lengths)}) >= 3
+
+
+def test_rows_without_an_id_do_not_tie(spark):
+    rows = [(None, f"{k} " + "w " * 6, "en", "a", 0) for k in range(1000)] + [(k, "w " * 50, "en", "b", 0) for k in range(40)]
+    got = [r for r in mixing.mix(spark.createDataFrame(rows, DOCS)).collect() if r.doc_id is None]
+    assert abs(sum(r.taken for r in got) - got[0].target) <= 7
 
 
 @pytest.mark.parametrize("width", [2, 8])

@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's target over its size is the number of copies each of its documents is expected to give. The whole
-part is certain and is allocated at once. The rest is an inclusion chance ``p``: documents are ranked by
+A document is expected to give copies in proportion to the fourth root of its words, so longer texts of a source come in somewhat more often; the factor
+of a source, its rate, is the one at which the words expected meet its target, and no document is expected more than ``LIMIT`` times. The whole
+part of a document's copies is certain and is allocated at once. The rest is its inclusion chance ``p``: documents are ranked by
 ``(u / (1 - u)) / (p / (1 - p))``, their random odds over their inclusion odds, and the lowest ranks are taken until
 the source has its words. The sample's size is fixed in words, not in documents, because targets are in words.
 
@@ -9,7 +10,7 @@ No source is gathered in one task. The rank at which a source stops is found by
 `FINE` bins within one bin) and an exact order over the few documents of the last bin.
 
 Nulls, ties and odd input: a null text has size 0; null is a source of its own, the last one; documents of size 0 are
-taken as the others are but give no words; rows that agree in id and size tie and are taken together; a null id
+taken as those of one word are but give no words; rows that agree in id and text tie and are taken together; a null id
 counts as an empty one; an empty table gives no rows. Columns of the input may have any names.
 """
 
@@ -24,17 +25,18 @@ WEIGHTS = (3, 1, 2)  # of the sources in code-point order, repeating
 SHARE = 1.5  # of all words, shared out by the weights
 LIMIT = 2  # a target is at most so many times its source's size
 SEED = "mix"
+PULL = 1 << 16  # parts of one of a fourth root
 FINE = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sized(docs: DataFrame, *more: str) -> DataFrame:
-    """Source, id and number of words of each document, with a random number in (0, 1) that its id and size fix."""
+    """Source, id and number of words of each document, with a random number in (0, 1) that its id and text fix."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    rows = docs.select("source", "doc_id", size.alias("size"), *more)
-    key = F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))
+    text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    key = F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)
     drawn = F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("bigint")
-    return rows.withColumn("u", (drawn + 0.5) / F.lit(float(1 << 48)))
+    return docs.select("source", "doc_id", size.alias("size"), ((drawn + 0.5) / F.lit(float(1 << 48))).alias("u"), *more)
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -59,15 +61,50 @@ def targets(sizes: DataFrame) -> DataFrame:
             break
         level = higher
     target = F.least(F.col("weight") * F.lit(level), limit.cast("double"))
-    copies = F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(F.lit(0.0))
-    return weighed.select("source", "source_size", target.alias("target"), F.floor(copies).alias("whole"), (copies - F.floor(copies)).alias("chance"))
+    return weighed.select("source", "source_size", target.alias("target"))
+
+
+def _pull(size):
+    """Whole number in proportion to the fourth root of a document's words."""
+    return F.floor(F.sqrt(F.sqrt(F.greatest(size, F.lit(1)).cast("double"))) * F.lit(float(PULL))).cast("bigint")
+
+
+def _expected(size):
+    """Copies that a document is expected to give. A source without a rate is taken ``LIMIT`` times as a whole."""
+    some = F.when(F.col("rate").isNull(), F.lit(float(LIMIT))).otherwise(F.least(F.lit(float(LIMIT)), F.col("rate") * _pull(size)))
+    return F.when(F.col("source_size") > 0, some).otherwise(F.lit(0.0))
+
+
+def shares_of(sizes: DataFrame) -> DataFrame:
+    """``source, source_size, target, rate, certain`` of each source; certain are the words of whole copies.
+
+    The rate is found over the distinct sizes of a source, largest first: those before the first size that the rate leaves below the limit are at the limit.
+    """
+    wanted = targets(sizes)
+    of_size = sizes.filter("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    both = of_size.join(wanted.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    words, pulled = F.col("n") * F.col("size"), (F.col("n") * F.col("size")).cast("decimal(19,0)") * _pull(F.col("size")).cast("decimal(12,0)")
+    whole = Window.partitionBy("source")
+    larger = whole.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    nothing = F.lit(0)
+    stopped = F.coalesce(F.sum(words).over(larger), nothing) * LIMIT
+    free = F.sum(pulled).over(whole) - F.coalesce(F.sum(pulled).over(larger), nothing)
+    tried = both.withColumn("try", (F.col("target") - stopped.cast("double")) / free.cast("double"))
+    fits = F.col("try") * _pull(F.col("size")) < LIMIT
+    rated = tried.withColumn("rate", F.max_by(F.when(fits, F.col("try")), F.when(fits, F.col("size"))).over(whole))
+    certain = F.sum(words * F.floor(_expected(F.col("size"))).cast("bigint"))
+    rates = rated.groupBy("source").agg(F.max("rate").alias("rate"), certain.alias("certain"))
+    found = wanted.join(rates.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left")
+    return found.select("source", "source_size", "target", "rate", F.coalesce("certain", nothing).alias("certain"))
 
 
 def _ranked(sizes: DataFrame, shares: DataFrame) -> DataFrame:
-    """Each document with its source's shares, its Pareto rank and the bins of that rank."""
+    """Each document with its source's shares, its whole copies, its Pareto rank and the bins of that rank."""
     both = sizes.join(shares.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("chance") / (1 - F.col("chance")))
-    ranked = both.withColumn("rank", F.when(F.col("chance") > 0, odds))
+    expected = both.withColumn("expected", _expected(F.col("size"))).withColumn("whole", F.floor("expected"))
+    chance = F.col("expected") - F.col("whole")
+    odds = (F.col("u") / (1 - F.col("u"))) / (chance / (1 - chance))
+    ranked = expected.withColumn("rank", F.when(chance > 0, odds))
     spread = F.floor(F.col("rank") / (F.col("rank") + 1) * F.lit(float(FINE * FINE))).cast("bigint")
     return ranked.withColumn("bin", F.least(spread, F.lit(FINE * FINE - 1)))
 
@@ -82,7 +119,7 @@ def _crossing(bins: DataFrame, bin_column: str) -> DataFrame:
 
 def cuts(sizes: DataFrame, shares: DataFrame) -> DataFrame:
     """For each source that samples: the bin at which it stops, and the last rank and id that it takes within that bin."""
-    wanted = F.col("target") - F.col("whole") * F.col("source_size")
+    wanted = F.col("target") - F.col("certain")
     ranked = _ranked(sizes, shares).filter("rank is not null").withColumn("wanted", wanted).withColumn("coarse", F.floor(F.col("bin") / FINE))
     first = ranked.groupBy("source", "coarse").agg(F.sum("size").alias("words"), F.first("wanted").alias("wanted"), F.lit(0).cast("bigint").alias("start"))
     at = stored(_crossing(first, "coarse"), "cut")
@@ -115,7 +152,7 @@ def decided(rows: DataFrame, shares: DataFrame, ends: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """Digest of the mix: ``doc_id, size, source_size, target, taken, copies``, a row for each document."""
     sizes = stored(sized(docs), "sizes")
-    shares = stored(targets(sizes), "shares")
+    shares = stored(shares_of(sizes), "shares")
     words = (F.col("copies") * F.col("size")).cast("bigint").alias("taken")
     return decided(sizes, shares, cuts(sizes, shares)).select("doc_id", "size", "source_size", "target", words, "copies")
 
@@ -123,7 +160,7 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents themselves, each as often as the mix takes it."""
     sizes = stored(sized(docs), "sizes")
-    shares = stored(targets(sizes), "shares")
+    shares = stored(shares_of(sizes), "shares")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     chosen = decided(sized(docs, row), shares, cuts(sizes, shares)).filter("copies > 0")
     return chosen.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -170,10 +170,10 @@ def _repair_sql() -> str:
 SQL = {
     "op8_pareto_mix": rf"""
         WITH sizes AS (
-            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{mixing.WORD}')), 0)::BIGINT AS size FROM documents
+            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{mixing.WORD}')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS mark FROM documents
         ), drawn AS (
-            SELECT *, (('0x' || md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || size)[1:12])::BIGINT + 0.5::DOUBLE)
-                / 281474976710656.0::DOUBLE AS u FROM sizes
+            SELECT *, (('0x' || md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || mark)[1:12])::BIGINT + 0.5::DOUBLE)
+                / 281474976710656.0::DOUBLE AS u, floor(sqrt(sqrt(greatest(size, 1)::DOUBLE)) * {mixing.PULL}.0::DOUBLE)::BIGINT AS pull FROM sizes
         ), weighed AS (
             SELECT source, sum(size)::BIGINT AS source_size,
                 [3, 1, 2][(row_number() OVER (ORDER BY source IS NULL, source) - 1)::INTEGER % 3 + 1] AS weight FROM sizes GROUP BY source
@@ -187,17 +187,22 @@ SQL = {
         ), level AS (
             SELECT coalesce((SELECT level FROM levels WHERE weight * level < 2 * source_size ORDER BY place LIMIT 1),
                 (SELECT max(2.0::DOUBLE * source_size) FROM levels)) AS level
-        ), shares AS (
-            SELECT source, source_size, least(weight * level, 2.0::DOUBLE * source_size) AS target,
-                CASE WHEN source_size > 0 THEN least(weight * level, 2.0::DOUBLE * source_size) / source_size ELSE 0.0::DOUBLE END AS copies
-            FROM weighed, level
+        ), wanted AS (
+            SELECT source, source_size, least(weight * level, 2.0::DOUBLE * source_size) AS target FROM weighed, level
+        ), tried AS (
+            SELECT source, size, pull, n, (target - 2 * coalesce(sum(n * size) OVER larger, 0)::DOUBLE)
+                / (sum(n * size * pull) OVER (PARTITION BY source) - coalesce(sum(n * size * pull) OVER larger, 0))::DOUBLE AS try
+            FROM (SELECT source, size, pull, count(*) AS n FROM drawn WHERE size > 0 GROUP BY ALL) JOIN wanted USING (source)
+            WINDOW larger AS (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), rates AS (
+            SELECT source, arg_max(try, size) AS rate FROM tried WHERE try * pull < 2 GROUP BY source
         ), ranked AS (
-            SELECT d.*, source_size, target, floor(copies) AS whole, copies - floor(copies) AS chance,
-                CASE WHEN copies > floor(copies)
-                    THEN (u / (1 - u)) / ((copies - floor(copies)) / (1 - (copies - floor(copies)))) END AS rank
-            FROM drawn d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source
+            SELECT *, CASE WHEN expected > whole THEN (u / (1 - u)) / ((expected - whole) / (1 - (expected - whole))) END AS rank, sum(whole * size) OVER (PARTITION BY source) AS certain
+            FROM (SELECT *, floor(expected) AS whole FROM (
+                SELECT d.*, source_size, target, CASE WHEN source_size = 0 THEN 0.0::DOUBLE WHEN rate IS NULL THEN 2.0::DOUBLE ELSE least(2.0::DOUBLE, rate * pull) END AS expected
+                FROM drawn d JOIN wanted s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN rates r ON d.source IS NOT DISTINCT FROM r.source))
         ), summed AS (
-            SELECT *, target - whole * source_size AS wanted, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id) AS upto,
+            SELECT *, target - certain AS wanted, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id) AS upto,
                 sum(size) OVER (PARTITION BY source, rank, doc_id) AS peers FROM ranked
         )
         SELECT doc_id, size, source_size, target, copies, (copies * size)::BIGINT AS taken FROM (
