@@ -10,11 +10,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from workpulse.llm import decontamination, language, mixing, neardup, tokenids
-from workpulse.llm.storage import stored
+from workpulse.llm.storage import discard, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; those without a letter, or that no language fits, go."""
+    """Documents of some language; those without a letter go, and longer ones that no family of languages claims.
+
+    If no row has a language to learn from, only those without a letter go.
+    """
     return language.identified(docs, language.fit(docs))
 
 
@@ -53,6 +56,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the table ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)  # the next stage's table holds all that is left of it
+        before = docs
     return docs
