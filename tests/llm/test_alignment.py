@@ -150,3 +150,16 @@ def test_a_vocabulary_whose_merges_have_another_order(tmp_path, tokenizers):
     path.write_text(json.dumps(held))
     own = alignment.ByteVocabulary(str(path))
     assert own.fast is None and own(" Hello") == tokenizers[0].encode(" Hello", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("filler", [" ", "\n", "\u3000", "a", "é", "1", "!"])
+def test_texts_of_one_character(docs, tokenizers, filler):
+    """Runs of a million: among them white space that the faster encoder cannot cut."""
+    own = alignment.ByteVocabulary(A)
+    text = f"x{filler * 1_000_000}y z"
+    assert list(own(text)) == tokenizers[0].encode(text, add_special_tokens=False).ids
+
+
+def test_a_long_blank_text(docs, tokenizers):
+    rows = [(1, " " * 1_200_000 + "end"), (2, "short"), (3, "\n" * 1_000_000)]
+    assert _got(alignment.digest(docs(rows), A, B)) == _expected(rows, tokenizers)

@@ -39,6 +39,8 @@ CHUNK = 1 << 24  # bytes of text whose pairs are counted together
 MOST_TASKS = 10_000  # that read chunks back; beyond, a task reads several
 SHIFT = 32  # a pair is A id << 32 | B id
 SPACE = "▁"
+BLANK = 50_000  # characters of white space in a row
+_BLANK = re.compile(rf"\s{{{BLANK}}}")
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 # How the byte-level vocabulary cuts a text before merging; a fixed value of its public format.
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -58,7 +60,7 @@ class ByteVocabulary:
     """Byte-level BPE of a tokenizers file; special tokens within texts are plain text.
 
     Merges are in the order of their ids, so tiktoken's much faster merging by ids gives the same tokens. Where a file has
-    another order, or tiktoken gives up on a text, the tokenizers library encodes it.
+    another order, and for texts with very long runs of white space, which tiktoken cannot cut, the tokenizers library encodes.
     """
 
     def __init__(self, path: str):
@@ -81,11 +83,8 @@ class ByteVocabulary:
         self.fast = tiktoken.Encoding("bytes", pat_str=CUT, mergeable_ranks=ranks, special_tokens={}) if ordered else None
 
     def __call__(self, text: str):
-        if self.fast is not None:
-            try:
-                return self.fast.encode_ordinary(text)
-            except (ValueError, RuntimeError, OverflowError):
-                pass
+        if self.fast is not None and not (len(text) > BLANK and _BLANK.search(text)):
+            return self.fast.encode_ordinary(text)
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
 
