@@ -4,7 +4,8 @@ Words are runs of letters, digits and non-ASCII bytes, A-Z lowered, so line brea
 the class of the next power of two ``P >= n``, 4 at least. A document's windows of that class are ``2 P`` shingles long and start every ``P / 2``,
 so every stretch of ``1.5 P`` shingles lies in one of them. A window that holds a share ``CONTAINED`` of a template has a Jaccard similarity of
 `similarity(n)` at least with it; there are as many bands of one minimum as it takes to bring the chance that all of them differ under
-``MISS``. A window that agrees with a template in a band is confirmed if it holds at least ``CONTAINED`` of the template's shingles.
+``MISS``. A window that agrees with a template in a band is confirmed if it holds at least ``CONTAINED`` of the template's shingles. Minima are taken of
+windows that hold a shingle of some template; the others share none, so they agree with none.
 
 Shingles have five words; a template of fewer words is one shingle of all its words. The documents are not shuffled, and tasks hold the
 templates only, which are a parameter of bounded size.
@@ -28,6 +29,7 @@ CONTAINED = 0.75
 MISS = 1e-6
 SMALLEST = 4
 MOST_TEMPLATES = 20_000
+_SIEVE = 20  # bits of the table that most of a document's shingles fail
 
 # Notices, standard headers and opening paragraphs of public licenses, and lines of SPDX identifiers.
 _GNU = "This {what} is free software{a} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation{b} either version {version} of the License, or (at your option) any later version."
@@ -97,7 +99,11 @@ class Scanner:
             size = min(WORDS, len(of_words))
             own = np.unique(shingles(of_words, np.array([0, len(of_words)]), size, whole=False)[0])
             self.groups.setdefault(size, {}).setdefault(window_class(len(own)), []).append((name, own))
-        self.minima = {}
+        self.minima, self.known, self.sieves = {}, {}, {}
+        for size, classes in self.groups.items():
+            self.known[size] = np.unique(np.concatenate([own for members in classes.values() for _, own in members]))
+            self.sieves[size] = np.zeros(1 << _SIEVE, bool)
+            self.sieves[size][(self.known[size] >> np.uint64(64 - _SIEVE)).astype(np.int64)] = True
         for size, classes in self.groups.items():
             for width, members in classes.items():
                 count = max(bands(len(own)) for _, own in members)
@@ -119,20 +125,33 @@ class Scanner:
             runs, first = shingles(of_words, firsts, size, whole=False)
             if not len(runs):
                 continue
+            near = np.flatnonzero(self.sieves[size][(runs >> np.uint64(64 - _SIEVE)).astype(np.int64)])
+            near = near[np.isin(runs[near], self.known[size])]
+            if not len(near):
+                continue
             small = (runs >> np.uint64(32)).astype(np.uint32)
-            hit = {width: np.zeros(-(-len(runs) // (width // 2)), bool) for width in classes}
-            for k in range(max(len(self.minima[size, width]) for width in classes)):
-                shuffled = self._shuffled(small, k)
-                for width in classes:
-                    wanted = self.minima[size, width]
-                    if k < len(wanted):
-                        least = _window_minima(shuffled, width)
-                        for value in wanted[k] if len(wanted[k]) <= 16 else ():
-                            hit[width] |= least == value
-                        if len(wanted[k]) > 16:
-                            hit[width] |= np.isin(least, wanted[k])
             for width, members in classes.items():
-                yield from self._confirmed(runs, first, np.flatnonzero(hit[width]), width, members)
+                yield from self._confirmed(runs, first, self._agreeing(small, near, size, width), width, members)
+
+    def _agreeing(self, small: np.ndarray, near: np.ndarray, size: int, width: int) -> np.ndarray:
+        """Windows that agree with a template in a band. Only those that hold one of the shingles ``near`` are looked at, as others share none with a template.
+
+        A window is four steps of ``width / 2``; the last ones may be shorter.
+        """
+        step, last = width // 2, (len(small) - 1) // (width // 2)
+        own = near // step
+        steps = np.unique(np.clip(own[:, None] + np.arange(-3, 4), 0, last))
+        windows = np.unique(np.maximum(own[:, None] - np.arange(4), 0))
+        places = steps[:, None] * step + np.arange(step)
+        beyond = places >= len(small)
+        values = small[np.minimum(places, len(small) - 1)]
+        of_window = np.searchsorted(steps, np.minimum(windows[:, None] + np.arange(4), last))
+        hit = np.zeros(len(windows), bool)
+        for k, wanted in enumerate(self.minima[size, width]):
+            shuffled = self._shuffled(values, k)
+            shuffled[beyond] = np.iinfo(np.uint32).max
+            hit |= np.isin(shuffled.min(1)[of_window].min(1), wanted)
+        return windows[hit]
 
     def _confirmed(self, runs, first, windows, width, members):
         """Windows may reach into the next text; the part in each text counts by itself."""
@@ -155,21 +174,6 @@ class Scanner:
             yield text, name, float(held), int(at), count
 
 
-def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """Least value of each window of ``2 width`` values that starts every ``width / 2``; the last ones may be shorter."""
-    step = width // 2
-    whole = -(-len(values) // step)
-    filled = np.full(whole * step, np.iinfo(values.dtype).max, values.dtype)
-    filled[: len(values)] = values
-    blocks = filled.reshape(whole, step)
-    least = blocks[:, 0].copy()
-    for k in range(1, step):
-        np.minimum(least, blocks[:, k], out=least)
-    for shift in (1, 2):  # four steps make a window
-        least[: whole - shift] = np.minimum(least[: whole - shift], least[shift:]) if whole > shift else least[:0]
-    return least
-
-
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """``doc_id, license, contained, first_word, windows``: a row for each document and template found in it."""
     scanner = Scanner(templates)
