@@ -2,7 +2,8 @@ import pytest
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 # Names that the operators use themselves.
-CLASHING = ("size", "target", "taken", "rank", "bin", "row", "id", "mark", "rep", "component", "score", "stats", "held_out", "_kept", "part")
+CLASHING = ("size", "target", "taken", "rank", "bin", "row", "id", "mark", "rep", "component", "score", "stats", "held_out", "_kept",
+            "part", "_place", "place", "set_low", "_set_low", "_set_high", "_id", "_low", "blocks", "pair", "chunk")
 
 
 @pytest.fixture

@@ -475,9 +475,15 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("stands", F.col("kept") & F.col("own"))
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    """``docs`` with the name of each text's set in ``_set_low`` and ``_set_high``."""
-    text, names = docs.columns.index("text"), ["_set_low", "_set_high"]
+def _unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as it takes to be none of ``columns``."""
+    taken = {column.lower() for column in columns}
+    return [next(name + "_" * k for k in range(len(taken) + 1) if (name + "_" * k).lower() not in taken) for name in names]
+
+
+def _named(docs: DataFrame, names: list[str]) -> DataFrame:
+    """``docs`` with the name of each text's set in two further columns."""
+    text = docs.columns.index("text")
 
     def rows(batches):
         for batch in batches:
@@ -506,9 +512,10 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     again = ids.filter("_kept and _again").select("_id")
     if again.isEmpty():
         return out
-    several = _named(out.join(again, out["doc_id"] == again["_id"], "left_semi"))
+    low, high, place = _unused(docs.columns, "set_low", "set_high", "place")
+    several = _named(out.join(again, out["doc_id"] == again["_id"], "left_semi"), [low, high])
     stands = found.filter("stands").select(F.col("doc_id").alias("_id"), F.col("low").alias("_low"), F.col("high").alias("_high"))
-    same = (several["doc_id"] == stands["_id"]) & (several["_set_low"] == stands["_low"]) & (several["_set_high"] == stands["_high"])
-    order = Window.partitionBy("doc_id", "_set_low", "_set_high").orderBy("text", F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
-    once = several.join(stands, same, "left_semi").withColumn("_place", F.row_number().over(order)).filter("_place = 1")
+    same = (several["doc_id"] == stands["_id"]) & (several[low] == stands["_low"]) & (several[high] == stands["_high"])
+    order = Window.partitionBy("doc_id", low, high).orderBy("text", F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    once = several.join(stands, same, "left_semi").withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1)
     return out.join(again, out["doc_id"] == again["_id"], "left_anti").unionByName(once.select(*[F.col(f"`{c}`") for c in docs.columns]))

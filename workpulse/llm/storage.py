@@ -5,13 +5,20 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
 import pyarrow.fs as pafs
 
 _own: list[str] = []
-_open: list[list[str]] = []  # tables of the scratch blocks that are open
+_blocks = threading.local()  # of each thread, the tables of the scratch blocks that are open
+
+
+def _open() -> list[list[str]]:
+    if not hasattr(_blocks, "open"):
+        _blocks.open = []
+    return _blocks.open
 
 
 def shared_folder(spark) -> str:
@@ -43,8 +50,8 @@ def stored(frame, name: str = "table", keep: bool = False):
     spark = frame.sparkSession
     path = new_folder(spark, name)
     frame.write.parquet(path)
-    if _open and not keep:
-        _open[-1].append(path)
+    if _open() and not keep:
+        _open()[-1].append(path)
     out = spark.read.schema(frame.schema).parquet(path)
     out.stored_at = path
     return out
@@ -59,7 +66,7 @@ def discard(frame) -> None:
     """Delete a stored table that nothing reads any more."""
     path = frame.stored_at
     _delete(frame.sparkSession, path)
-    for tables in _open:
+    for tables in _open():
         if path in tables:
             tables.remove(path)
 
@@ -68,11 +75,11 @@ def discard(frame) -> None:
 def scratch(spark):
     """Delete the tables that are stored within the block at its end. What the block returns must be stored with ``keep``."""
     tables: list[str] = []
-    _open.append(tables)
+    _open().append(tables)
     try:
         yield
     finally:
-        _open.remove(tables)
+        _open().remove(tables)
         for path in tables:
             _delete(spark, path)
 
