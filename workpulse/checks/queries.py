@@ -126,6 +126,13 @@ def _outcomes_observed(spark, sf_dir):
     return records.outcomes_of(spark, seen)
 
 
+def _written(spark, frame, name):
+    """``frame`` as a table that is kept, as such tables are in use."""
+    path = scratch_folder(spark, name)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def _clustered(spark, rows):
     """``rows`` written in the order of their cases, and read back."""
     path = scratch_folder(spark, "clustered")
@@ -176,8 +183,8 @@ def _chain_bitmaps(spark, sf_dir, chosen=None):
     """KPIs of the value chain from bitmaps and sums of two loads of its rows."""
     rows = X.chain_filtered(spark, sf_dir)
     loads_ = [rows.where(F.pmod(F.hash("Atividade"), F.lit(2)) == i) for i in range(2)]
-    first = distinct.numbered(loads_[0])
-    numbers = distinct.numbered(loads_[1], first)
+    first = _written(spark, distinct.numbered(loads_[0]), "numbers")
+    numbers = _written(spark, distinct.numbered(loads_[1], first), "numbers")
     bits = distinct.joined_bitmaps(distinct.bitmaps(loads_[0], first), distinct.bitmaps(loads_[1], numbers))
     return rounded(distinct.kpis(bits, distinct.joined_hours(*map(distinct.hours, loads_)), chosen))
 
