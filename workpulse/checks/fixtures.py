@@ -343,7 +343,8 @@ def payments_from_pages(spark, sf_dir) -> DataFrame:
     return records.with_times(records.flatten(asked, schemas.PAYMENT_FIELDS))
 
 
-def clean_activities(spark, sf_dir) -> DataFrame:
+def activities(spark, sf_dir) -> DataFrame:
+    """Activities with their state nested, a line each; a line without a state has a state without a name."""
     lines = table(spark, sf_dir, "lineitem")
     number = F.col("l_linenumber") - 1
     state = F.when(F.col("l_linestatus") == "O", pick([o for _, o in STATE_TEXTS], number)).otherwise(
@@ -351,13 +352,26 @@ def clean_activities(spark, sf_dir) -> DataFrame:
     )
     start = F.col("l_shipdate").cast("timestamp_ntz")
     hours = F.make_dt_interval(F.lit(0), F.col("l_quantity").cast("int"))
-    rows = lines.select(
+    return lines.select(
         F.col("l_orderkey").cast("string").alias("processInstanceId"),
         F.struct(state.alias("stateName")).alias("state"),
         start.alias("startDate"),
         F.when(F.col("l_returnflag") != "N", start + hours).alias("endDate"),
     )
-    return cases.clean_activities(rows, AS_OF)
+
+
+def clean_activities(spark, sf_dir) -> DataFrame:
+    return cases.clean_activities(activities(spark, sf_dir), AS_OF)
+
+
+def landed_activities(spark, sf_dir) -> DataFrame:
+    """Pages of an activity each, times as zoned text; those of another process are among them."""
+    rows = activities(spark, sf_dir)
+    zoned = {name: F.concat(F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("-0300")) for name in ("startDate", "endDate")}
+    other = F.array(F.lit(L.CASE_PROCESS), F.lit("outro"))
+    both = rows.withColumns(zoned).withColumn("processId", F.explode(other))
+    kept = (F.col("processId") == L.CASE_PROCESS) | (F.col("processInstanceId").cast("bigint") % 10 == 0)
+    return pages(both.where(kept), list_name="activities")
 
 
 def chain_wide(spark, sf_dir) -> DataFrame:

@@ -550,3 +550,8 @@ SQL["versions_from_workbooks"] = SQL["versions_stacked"]
 SQL["kpi_from_states"] = SQL["kpi_general_by_unit"]
 SQL["vc_kpis_bitmaps"] = SQL["vc_kpis"]
 SQL["vc_kpis_chosen_bitmaps"] = f"{SQL['vc_kpis']} WHERE {_chosen(X.CHOSEN_CHAIN)}"
+SQL["src_activities"] = SQL["activities_clean"]
+SQL["sheet_from_csv"] = SQL["src_wide"]
+SQL["versions_from_csv"] = SQL["versions_stacked"]
+SQL["detail_from_csv"] = SQL["case_detail"]
+SQL["kpi_from_parquet"] = SQL["kpi_filtered"]

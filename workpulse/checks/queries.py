@@ -159,6 +159,44 @@ def _report_kept(spark, sf_dir):
     return version.table("kpis")
 
 
+def _src_activities(spark, sf_dir):
+    """Activities out of landed pages, cleaned."""
+    texts = records.unwrap(X.landed_activities(spark, sf_dir), "activities")
+    rows = records.asked(records.sound_records(texts, schemas.ACTIVITY), L.CASE_PROCESS)
+    return rounded(cases.clean_activities(records.with_times(rows), X.AS_OF))
+
+
+def _sheet_from_csv(spark, sf_dir):
+    """The value-chain sheet, read back from CSV parts."""
+    path = scratch_folder(spark, "sheet")
+    sinks.write_csv(X.chain_wide(spark, sf_dir), path)
+    return sheets.read_sheet(spark, path)
+
+
+def _versions_from_csv(spark, sf_dir):
+    """The stacked versions, each read back from CSV parts."""
+    paths = {}
+    for version, sheet in X.version_sheets(spark, sf_dir).items():
+        paths[version] = scratch_folder(spark, "version")
+        sinks.write_csv(sheet, paths[version])
+    return sheets.read_versions(spark, paths)
+
+
+def _detail_from_csv(spark, sf_dir):
+    """The detail table as it is written for download, read back."""
+    path, shown = scratch_folder(spark, "detail"), cases.detail(_filtered_cases(spark, sf_dir))
+    sinks.write_csv(shown, path)
+    # An empty cell is null and a quoted one blank; without a null value of its own the reader takes both for null.
+    return rounded(spark.read.schema(shown.schema).csv(path, header=True, escape='"', nullValue="\\N"))
+
+
+def _kpi_from_parquet(spark, sf_dir):
+    """KPIs from the cleaned cases as they are written for later reports."""
+    path, clean = scratch_folder(spark, "cases"), X.clean_cases(spark, sf_dir)
+    sinks.write_parquet(clean, path, partition_by=["status"])
+    return rounded(cases.kpis(cases.filtered(spark.read.schema(clean.schema).parquet(path), EVERYTHING)))
+
+
 def _versions_from_workbooks(spark, sf_dir):
     """The stacked versions, read out of the sheets of workbooks."""
     folder = scratch_folder(spark, "workbooks")
@@ -307,7 +345,12 @@ QUERIES = {
     "other_fields": _other_fields,
     "flatten_requests": _flatten_requests,
     "activities_clean": _of_activities(lambda rows: rows),
+    "src_activities": _src_activities,
     "src_wide": X.chain_wide,
+    "sheet_from_csv": _sheet_from_csv,
+    "versions_from_csv": _versions_from_csv,
+    "detail_from_csv": _detail_from_csv,
+    "kpi_from_parquet": _kpi_from_parquet,
     "versions_stacked": X.stacked_versions,
     "versions_from_workbooks": _versions_from_workbooks,
     # cleaning

@@ -8,9 +8,9 @@ from pyspark.sql.types import MapType
 
 
 def write_csv(frame: DataFrame, path, mode="overwrite"):
-    """CSV parts with a header; times as wall time, null as an empty cell."""
+    """CSV parts with a header; times as wall time, null as an empty cell, texts with the blanks around them."""
     writer = frame.write.mode(mode).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
-    writer.csv(path, header=True, escape='"')
+    writer.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_parquet(frame: DataFrame, path, mode="overwrite", partition_by=()):
