@@ -68,5 +68,7 @@ def kpis(kept_bitmaps: DataFrame, kept_hours: DataFrame, chosen=None) -> DataFra
     together = kept_bitmaps.where(kept).groupBy("component", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
     counts = together.agg(*[F.coalesce(F.sum(F.when(F.col("component") == i, F.col("n"))), F.lit(0)).alias(name) for i, name in enumerate(COUNTED)])
     totals = kept_hours.where(kept).agg(sum_or_zero(F.col("total_hours")).alias("total_hours"), F.count_distinct("Unidade").alias("units"))
-    # One row each.
-    return totals.crossJoin(F.broadcast(counts)).select("total_hours", "units", *COUNTED)
+    # One row each, put side by side by adding what the other lacks as zeros.
+    zeros = {name: F.lit(0).cast("bigint") for name in ("units", *COUNTED)} | {"total_hours": F.lit(0.0)}
+    rows = totals.withColumns({name: zeros[name] for name in COUNTED}).unionByName(counts.withColumns({name: zeros[name] for name in ("total_hours", "units")}))
+    return rows.agg(*[F.sum(name).alias(name) for name in ("total_hours", "units", *COUNTED)])
