@@ -43,7 +43,8 @@ SENT = 1_000_000  # ids or shingles that may go to every task, of 8 or 16 bytes
 LIKELY = 161  # of the sketch; 4.5 standard deviations below what pairs of the least similarity share
 COMMON = 1000  # a shingle that so many classes hold, or one in so many of all, is a common one
 BEFORE = 64  # shingles before a shared one that are looked at; a pair that shares only earlier ones besides is made again, and counts once
-SPREAD = 1 << 18  # shingles that are spread out at once
+SPREAD = 1 << 18  # shingles that are counted or spread out at once
+BUCKET = 1 << 20  # distinct shingles that are counted in one piece, about
 _EXTRA = SKETCH - TREES * DEPTH
 _WIDE = 4  # bytes of a minimum
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -293,6 +294,76 @@ def _least(n):
     return F.ceil(n * SIMILARITY / F.lit(100))
 
 
+def _chunks(batch):
+    """Runs ``start, end, sets`` of a batch's classes with `SPREAD` shingles together at most, or one class with more."""
+    sets_of = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
+    start = 0
+    while start < len(sets_of):
+        end, size = start, 0
+        while end < len(sets_of) and (end == start or size + len(sets_of[end]) <= SPREAD):
+            size += len(sets_of[end])
+            end += 1
+        yield start, end, sets_of[start:end]
+        start = end
+
+
+def _counted(shingle, times, low, high):
+    """Each shingle once, with the sum of its ``times`` and the least and greatest component that holds it."""
+    order = np.argsort(shingle, kind="stable")
+    shingle, times, low, high = (x[order] for x in (shingle, times, low, high))
+    first = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1])) if len(shingle) else np.zeros(0, np.int64)
+    if not len(first):
+        return shingle, times, low, high
+    return shingle[first], np.add.reduceat(times, first), np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+
+
+def _held(own: DataFrame) -> DataFrame:
+    """``shingle, times`` of the shingles that classes of several components hold.
+
+    Tasks count the shingles of a chunk and send them packed, one row for each bucket of shingles, so a shingle that very many classes hold
+    is one entry a chunk.
+    """
+    total = own.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
+    buckets = max(16, total // 8 // BUCKET)
+
+    def packed(batches):
+        for batch in batches:
+            for start, end, sets_of in _chunks(batch):
+                n = np.array([len(x) for x in sets_of], np.int64)
+                component = np.repeat(batch.column(1).to_numpy()[start:end], n)
+                counted = _counted(np.concatenate(sets_of), np.ones(int(n.sum()), np.int64), component, component)
+                bucket = (counted[0].view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                names, firsts = np.unique(bucket[order], return_index=True)
+                bounds = np.append(firsts, len(order)).tolist()
+                entries = np.stack(counted)[:, order]
+                bytes_ = [np.ascontiguousarray(entries[:, a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(bytes_, pa.binary())], ["bucket", "entries"])
+
+    def merged(batches):
+        def shared(counted):
+            several = counted[2] != counted[3]
+            return pa.RecordBatch.from_arrays([pa.array(counted[0][several]), pa.array(counted[1][several])], ["shingle", "times"])
+
+        open_, parts_, size = None, [], 0
+        for batch in batches:
+            for bucket, entries in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if bucket != open_ and parts_:
+                    yield shared(_counted(*np.concatenate(parts_, 1)))
+                    parts_, size = [], 0
+                open_ = bucket
+                parts_.append(np.frombuffer(entries.as_buffer(), np.int64).reshape(4, -1))
+                size += parts_[-1].shape[1]
+                if size > 4 * BUCKET:
+                    parts_ = [np.stack(_counted(*np.concatenate(parts_, 1)))]
+                    size = parts_[0].shape[1]
+        if parts_:
+            yield shared(_counted(*np.concatenate(parts_, 1)))
+
+    sent = own.mapInArrow(tidy(packed), "bucket bigint, entries binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(merged), "shingle bigint, times bigint")
+
+
 def _first_told(own: DataFrame, held: DataFrame) -> DataFrame:
     """``shingle, rep, component, n, place`` of each class's shingles that may be the first it shares, by ``held``, which every task gets: `SENT` rows at most."""
     table = held.toArrow()
@@ -320,8 +391,17 @@ def _first_told(own: DataFrame, held: DataFrame) -> DataFrame:
     return own.mapInArrow(tidy(rows), "shingle bigint, rep bigint, component bigint, n bigint, place bigint")
 
 
-def _first_joined(spread: DataFrame, held: DataFrame, reps: DataFrame) -> DataFrame:
+def _first_joined(own: DataFrame, held: DataFrame, reps: DataFrame) -> DataFrame:
     """The same, whatever the number of shingles that are held."""
+
+    def rows(batches):
+        for batch in batches:
+            for start, end, sets_of in _chunks(batch):
+                n = np.array([len(x) for x in sets_of], np.int64)
+                ids = [pa.array(np.repeat(batch.column(c).to_numpy()[start:end], n)) for c in range(2)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets_of))], ["rep", "component", "n", "shingle"])
+
+    spread = stored(own.mapInArrow(tidy(rows), "rep bigint, component bigint, n bigint, shingle bigint"), "spread")
     # Mostly so few shingles are common that every task can have them; then no task gets all rows of one.
     common = F.col("times") > max(COMMON, reps.count() // COMMON)
     often = held.filter(common)
@@ -343,25 +423,9 @@ def _rarest(crowded: DataFrame, full: DataFrame, labels: DataFrame) -> DataFrame
     component = labels.select(F.col("node").alias("rep"), F.col("component").alias("_c"))
     reps = stored(crowded.select("rep").distinct().join(component, "rep", "left").select("rep", F.coalesce("_c", "rep").alias("component")), "families")
 
-    def rows(batches):
-        for batch in batches:
-            sets_of = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
-            start = 0
-            while start < len(sets_of):
-                end, size = start, 0
-                while end < len(sets_of) and (end == start or size + len(sets_of[end]) <= SPREAD):
-                    size += len(sets_of[end])
-                    end += 1
-                n = np.array([len(x) for x in sets_of[start:end]], np.int64)
-                ids = [pa.array(np.repeat(batch.column(c).to_numpy()[start:end], n)) for c in range(2)]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets_of[start:end]))], ["rep", "component", "n", "shingle"])
-                start = end
-
     own = full.join(reps, "rep").select("rep", "component", "shingles")
-    spread = stored(own.mapInArrow(tidy(rows), "rep bigint, component bigint, n bigint, shingle bigint"), "spread")
-    held = spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("component").alias("_low"), F.max("component").alias("_high"))
-    held = stored(held.filter("_low <> _high").select("shingle", "times"), "held")
-    first = stored(_first_told(own, held) if held.count() <= SENT else _first_joined(spread, held, reps), "first")
+    held = stored(_held(own), "held")
+    first = stored(_first_told(own, held) if held.count() <= SENT else _first_joined(own, held, reps), "first")
     # Of each shingle's holders, those outside its largest component are tried against all.
     sizes = first.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("shingle").agg(F.max(F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("kinds"))
