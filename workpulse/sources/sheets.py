@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from workpulse import labels as L
 from workpulse.sources import workbook
 
-FORMS = ("parquet", "json", "csv", "workbook")
+FORMS = ("parquet", "json", "csv")
+WORKBOOK = "workbook"
 
 
 def tidy_headers(sheet: DataFrame) -> DataFrame:
@@ -20,13 +21,13 @@ def _read(spark: SparkSession, path, form, line_breaks, sheet=None) -> DataFrame
     A CSV with line breaks within cells cannot be split: ``line_breaks`` makes each file one task. Without it, a line with too few or too
     many cells, as such a break leaves, raises an error.
     """
-    if form not in FORMS:
-        raise ValueError(f"form is one of {FORMS}")
+    if form not in (*FORMS, WORKBOOK):
+        raise ValueError(f"form is one of {(*FORMS, WORKBOOK)}")
     if line_breaks and form != "csv":
         raise ValueError("line_breaks is for CSV")
-    if sheet is not None and form != "workbook":
+    if sheet is not None and form != WORKBOOK:
         raise ValueError("sheet is for workbooks")
-    if form == "workbook":
+    if form == WORKBOOK:
         workbook.register(spark)
         reader = spark.read.format(workbook.NAME)
         return (reader.option("sheet", sheet) if sheet is not None else reader).load(path)
@@ -68,4 +69,4 @@ def read_versions(spark: SparkSession, paths, form="csv", line_breaks=False) ->
 def read_workbook_versions(spark: SparkSession, path, sheets=None) -> DataFrame:
     """The versions that lie in the sheets of one workbook, or of each workbook of a folder; ``sheets`` maps a version to its sheet's name."""
     sheets = sheets or L.VERSION_SHEETS
-    return stack_versions({version: read_version(spark, path, "workbook", sheet=name) for version, name in sheets.items()})
+    return stack_versions({version: read_version(spark, path, WORKBOOK, sheet=name) for version, name in sheets.items()})
