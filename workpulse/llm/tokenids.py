@@ -202,6 +202,14 @@ class Reader:
 # ---- Tokens ----------------------------------------------------------------------------------------------------------
 
 
+_PARTS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)  # masks of the first bytes of eight
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, for all places but the last seven."""
+    return np.ndarray((len(data) - 7,), "<u8", buffer=data, strides=(1,))
+
+
 class Pieces:
     """Ids of texts, by pieces that are encoded once and kept.
 
@@ -231,8 +239,8 @@ class Pieces:
         """Encode new pieces; ``values`` are sorted."""
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         whole = int(sizes.sum())
-        if self.held + whole > len(self.bytes):
-            self.bytes = np.concatenate([self.bytes[: self.held], np.zeros(max(len(self.bytes), 2 * whole), np.uint8)])
+        if self.held + whole + 8 > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes[: self.held], np.zeros(max(len(self.bytes), 2 * whole) + 8, np.uint8)])
         self.bytes[self.held : self.held + whole] = np.frombuffer(b"".join(pieces), np.uint8)
         self.begins = np.concatenate([self.begins, self.held + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
@@ -287,13 +295,17 @@ class Pieces:
         return counts, out
 
     def _same(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, slots: np.ndarray) -> bool:
-        """Whether every piece has the bytes of the known piece in its slot."""
-        sizes = ends - starts
+        """Whether every piece has the bytes of the known piece in its slot, eight bytes at a time."""
+        sizes, known = ends - starts, self.begins[slots]
         if (sizes != self.sizes[slots]).any():
             return False
-        before = np.cumsum(sizes) - sizes
-        along = np.arange(int(sizes.sum()))
-        return bool((data[np.repeat(starts - before, sizes) + along] == self.bytes[np.repeat(self.begins[slots] - before, sizes) + along]).all())
+        own, held = _eights(np.concatenate([data, np.zeros(8, np.uint8)])), _eights(self.bytes)
+        while len(sizes):
+            if ((own[starts] ^ held[known]) & _PARTS[np.minimum(sizes, 8)]).any():
+                return False
+            more = sizes > 8
+            starts, known, sizes = starts[more] + 8, known[more] + 8, sizes[more] - 8
+        return True
 
     def _plain(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The same of whole texts, each encoded by itself."""
