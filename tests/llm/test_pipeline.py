@@ -21,7 +21,7 @@ TABLES = "documents embeddings pages benchmark labels conversations"
 
 def test_every_operator_is_registered_once():
     numbers = [int(name[2:].split("_")[0]) for name in queries.QUERIES]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry_points.queries())
     assert set(queries.SQL) <= set(queries.QUERIES)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontaminate", "mix_sources", "token_ids"]
