@@ -391,7 +391,7 @@ def _first_told(own: DataFrame, held: DataFrame) -> DataFrame:
     return own.mapInArrow(tidy(rows), "shingle bigint, rep bigint, component bigint, n bigint, place bigint")
 
 
-def _first_joined(own: DataFrame, held: DataFrame, reps: DataFrame) -> DataFrame:
+def _first_joined(own: DataFrame, held: DataFrame) -> DataFrame:
     """The same, whatever the number of shingles that are held."""
 
     def rows(batches):
@@ -403,7 +403,7 @@ def _first_joined(own: DataFrame, held: DataFrame, reps: DataFrame) -> DataFrame
 
     spread = stored(own.mapInArrow(tidy(rows), "rep bigint, component bigint, n bigint, shingle bigint"), "spread")
     # Mostly so few shingles are common that every task can have them; then no task gets all rows of one.
-    common = F.col("times") > max(COMMON, reps.count() // COMMON)
+    common = F.col("times") > max(COMMON, own.count() // COMMON)
     often = held.filter(common)
     often = F.broadcast(often) if often.count() <= SENT else often
     several = spread.join(held.filter(~common), "shingle").unionByName(spread.join(often, "shingle"))
@@ -421,11 +421,10 @@ def _rarest(crowded: DataFrame, full: DataFrame, labels: DataFrame) -> DataFrame
     one and up to ``y - o + 1`` in the other.
     """
     component = labels.select(F.col("node").alias("rep"), F.col("component").alias("_c"))
-    reps = stored(crowded.select("rep").distinct().join(component, "rep", "left").select("rep", F.coalesce("_c", "rep").alias("component")), "families")
-
-    own = full.join(reps, "rep").select("rep", "component", "shingles")
+    reps = crowded.select("rep").distinct().join(component, "rep", "left").select("rep", F.coalesce("_c", "rep").alias("component"))
+    own = stored(full.join(reps, "rep").select("rep", "component", "shingles"), "own")
     held = stored(_held(own), "held")
-    first = stored(_first_told(own, held) if held.count() <= SENT else _first_joined(own, held, reps), "first")
+    first = stored(_first_told(own, held) if held.count() <= SENT else _first_joined(own, held), "first")
     # Of each shingle's holders, those outside its largest component are tried against all.
     sizes = first.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("shingle").agg(F.max(F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("kinds"))
