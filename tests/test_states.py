@@ -148,6 +148,21 @@ def test_numbers_beyond_one_bitmap(spark):
     assert bits.where("component = 3").count() == 3 and bits.agg(F.max(F.length("bits"))).first()[0] == 4096
 
 
+def test_numbering_tests_no_row_below_the_groups(spark):
+    rows = spark.createDataFrame(_long(random.Random(5), 50), LONG)
+    plan = distinct.numbered(rows)._jdf.queryExecution().optimizedPlan().toString()
+    tests = [line for line in plan.splitlines() if "Filter" in line.split("(")[0]]
+    assert tests and not any("lambda" in line or "subquery" in line for line in tests)
+
+
+def test_each_bitmap_is_built_in_one_task(spark):
+    rows = spark.createDataFrame(_long(random.Random(6), 50), LONG)
+    plan = distinct.bitmaps(rows, distinct.numbered(rows))._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Exchange hashpartitioning")]
+    assert above.count("partial_bitmap_construct_agg") == 1 and above.count("bitmap_construct_agg") == 2
+    assert "hashpartitioning(component" in plan[plan.index("Exchange hashpartitioning") :].splitlines()[0]
+
+
 def test_bitmaps_of_nothing(spark):
     rows = spark.createDataFrame([], LONG)
     assert tuple(distinct.kpis(distinct.bitmaps(rows, distinct.numbered(rows)), distinct.hours(rows)).first()) == (0.0, 0, 0, 0, 0, 0)

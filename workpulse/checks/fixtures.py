@@ -374,8 +374,11 @@ def landed_activities(spark, sf_dir) -> DataFrame:
     return pages(both.where(kept), list_name="activities")
 
 
-def chain_wide(spark, sf_dir) -> DataFrame:
-    """The value-chain sheet, every cell text; headers come padded and are trimmed on reading."""
+def chain_wide(spark, sf_dir, dealt=False) -> DataFrame:
+    """The value-chain sheet, every cell text; headers come padded and are trimmed on reading.
+
+    A small file is one task's, whatever its rows unfold to; with ``dealt`` its rows are spread over all tasks first.
+    """
     part = F.col("p_partkey")
     size = F.col("p_size")
     columns = {
@@ -394,7 +397,8 @@ def chain_wide(spark, sf_dir) -> DataFrame:
             )
         columns[f"TEMPO (h) {unit}"] = F.when(part % 13 == 0, "n/d").otherwise((size / 8.0).cast("string"))
         columns[f"{L.AUTOMATION} {unit}"] = pick(AUTOMATION_TEXTS, (part + i) % 5)
-    padded = table(spark, sf_dir, "part").select(
+    parts = table(spark, sf_dir, "part")
+    padded = (parts.repartition("p_partkey") if dealt else parts).select(
         *[column.alias(f" {name} ") for name, column in columns.items()]
     )
     return sheets.tidy_headers(padded).na.fill("")

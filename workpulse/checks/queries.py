@@ -218,9 +218,10 @@ def _kpi_from_states(spark, sf_dir):
 
 
 def _chain_bitmaps(spark, sf_dir, chosen=None):
-    """KPIs of the value chain from bitmaps and sums of two loads of its rows."""
-    rows = X.chain_filtered(spark, sf_dir)
-    loads_ = [rows.where(F.pmod(F.hash("Atividade"), F.lit(2)) == i) for i in range(2)]
+    """KPIs of the value chain from bitmaps and sums of two loads of its rows. Each load is kept as a table: it is read several times."""
+    rows = value_chain.filtered(value_chain.long(X.chain_wide(spark, sf_dir, dealt=True)))
+    rows = rows.select(*[f"`{name}`" for name in dict.fromkeys((*distinct.KEYS, *L.COMPONENTS, L.DEMAND))])
+    loads_ = [_written(spark, rows.where(F.pmod(F.hash("Atividade"), F.lit(2)) == i), "load") for i in range(2)]
     first = _written(spark, distinct.numbered(loads_[0]), "numbers")
     numbers = _written(spark, distinct.numbered(loads_[1], first), "numbers")
     bits = distinct.joined_bitmaps(distinct.bitmaps(loads_[0], first), distinct.bitmaps(loads_[1], numbers))

@@ -1,6 +1,6 @@
 """Positions over a whole frame of groups without bringing it into one task."""
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 SAMPLED = 64  # groups sampled for each piece
 
@@ -9,6 +9,16 @@ def pieces_of(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _cuts_before(cuts: str, place: Column, count: int) -> Column:
+    """How many of fewer than ``count`` ordered cuts are not above ``place``, by halving. Never null: a join on a column that might be has its null
+    test pushed down to every row below the groups."""
+    steps = [1 << i for i in reversed(range(count.bit_length()))]
+    found = F.aggregate(
+        F.array(*[F.lit(step) for step in steps]), F.lit(0), lambda seen, step: F.when(F.get(cuts, seen + step - 1) <= place, seen + step).otherwise(seen)
+    )
+    return F.coalesce(found, F.lit(0))
+
+
 def with_position(groups: DataFrame, measure, key, descending=True, name="ranking") -> DataFrame:
     """Add the 1-based position by ``measure``, null measures last, ties by ``key``.
 
@@ -35,7 +45,7 @@ def with_position(groups: DataFrame, measure, key, descending=True, name="rankin
     )
     pieces = (
         groups.withColumn("_cuts", cuts.scalar())
-        .withColumn("_piece", F.size(F.filter("_cuts", lambda cut: cut <= place)))
+        .withColumn("_piece", _cuts_before("_cuts", place, count))
         .drop("_cuts")
     )
     # At most as many rows as pieces, whatever the number of groups.

@@ -36,10 +36,14 @@ def numbered(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def bitmaps(rows: DataFrame, numbers: DataFrame) -> DataFrame:
-    """Which numbers occur in each combination: one row of 4 KB for each combination, component and 32,768 numbers that it has some of."""
+    """Which numbers occur in each combination: one row of 4 KB for each combination, component and 32,768 numbers that it has some of.
+
+    Numbers are dealt by their bitmap before any is built: tasks that each held a few bits of all bitmaps would send all of them, 4 KB each.
+    """
+    keys = [f"`{key}`" for key in KEYS]
     marked = _values(rows, KEYS).join(numbers, ["component", "value"])
-    bucket = F.bitmap_bucket_number("number").alias("bucket")
-    return marked.groupBy(*[f"`{key}`" for key in KEYS], "component", bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
+    dealt = marked.select(*keys, "component", F.bitmap_bucket_number("number").alias("bucket"), F.bitmap_bit_position("number").alias("bit")).repartition("component", "bucket")
+    return dealt.groupBy(*keys, "component", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
 
 def hours(rows: DataFrame) -> DataFrame:
