@@ -114,6 +114,36 @@ def test_many_small_loads_equal_one(spark, tmp_path):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_buckets_of_many_rows_are_merged_in_slices(spark, tmp_path, monkeypatch):
+    """No task gets a whole bucket, whatever the number of buckets; later loads find the slices' files."""
+    monkeypatch.setattr(loads, "ROWS_A_TASK", 10)
+    folder, root = tmp_path / "landed", str(tmp_path / "table")
+    folder.mkdir()
+    for k in range(3):
+        land(folder, f"{k}.json", [case(str(n), unidade=f"U{k}") for n in range(0, 120, k + 1)] + [case(None)], 1000 + k)
+        version = loads.load(spark, str(folder), root, buckets=2)
+    assert shown(asked(version)) == shown(records.read_cases(spark, str(folder)))
+    for part in version.facts["tables"][loads.CASES]["parts"]:
+        held = [spark.read.parquet(os.path.join(root, part, name)) for name in os.listdir(os.path.join(root, part)) if name.startswith("part-")]
+        assert len(held) > 2 and all(rows.count() < 40 for rows in held)
+    plan = loads._merged(loads._with_bucket(version.table(loads.CASES), 2), 2, 6)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "12), REPARTITION_BY_NUM" in plan
+
+
+def test_whole_rows_are_grouped_only_if_a_case_is_there_twice(spark, tmp_path):
+    def fresh(cases):
+        folder = tmp_path / f"landed{len(cases)}"
+        folder.mkdir()
+        land(folder, "a.json", cases, 1000)
+        return loads._with_bucket(loads._flat(records.read_records(spark, str(folder), placed=True), loads.CASE_PAGES, "raise"), 4)
+
+    once, touched, rows = loads._once(fresh([case("1"), case("2"), case(None), case(None)]))
+    assert rows == 4 and set(touched) == {r.bucket for r in once.collect()} and loads.ENDED not in once.columns
+    assert "Aggregate" not in once._jdf.queryExecution().executedPlan().toString()
+    twice, _, rows = loads._once(fresh([case("1"), case("1", "FINALIZED", END), case("2")]))
+    assert rows == 3 and sorted((r.processInstanceId, r.status) for r in twice.collect()) == [("1", "FINALIZED"), ("2", "OPEN")]
+
+
 def test_two_loads_at_once(spark, tmp_path, pages):
     root = str(tmp_path / "table")
     tables = Snapshots(spark, root)

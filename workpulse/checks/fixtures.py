@@ -292,11 +292,13 @@ LANDED_AGAIN = (1, 2, 6)
 FIRST_LANDING = "2001-01-01"
 
 
-def landed_pages(spark, sf_dir) -> DataFrame:
-    """Pages of a case each with the time and file of their landing; a case is landed up to three times."""
+def landed_pages(spark, sf_dir, only=None) -> DataFrame:
+    """Pages of a case each with the time and file of their landing; a case is landed up to three times. With ``only`` those of one landing."""
     landed = landed_cases(spark, sf_dir)
+    if only is not None:  # so that orders are left out before they are joined
+        landed = landed.where(F.col("processInstanceId").cast("bigint") % LANDED_AGAIN[only] == 0)
     k, number = F.col("processInstanceId").cast("bigint"), F.col("_landing")
-    numbers = F.array_compact(F.array(*[F.when(k % every == 0, i) for i, every in enumerate(LANDED_AGAIN)]))
+    numbers = F.array_compact(F.array(*[F.when(k % every == 0, i) for i, every in enumerate(LANDED_AGAIN) if only in (None, i)]))
     again = landed.select("*", F.explode(numbers).alias("_landing"))
     status = pick(LANDED_STATES, (k + number) % len(LANDED_STATES))
     days = F.floor((k * 7 + number * 11) % 29 / 10).cast("int")

@@ -107,11 +107,14 @@ def _landing_outcomes(spark, sf_dir):
 
 
 def _loaded_in_steps(spark, sf_dir):
-    """Three loads of one table: each landing's pages are written as files, and a load reads those that are new."""
+    """Three loads of one table: each landing's pages are written as files, and a load reads those that are new.
+
+    The files are compressed; since such a file is read by one task, it holds a bounded number of pages.
+    """
     folder = scratch_folder(spark, "landed")
     for number in range(len(X.LANDED_AGAIN)):
-        landed = X.landed_pages(spark, sf_dir).where(F.col(records.LANDED_FILE) == f"part-{number}")
-        landed.select("page").write.text(f"{folder}/pages/landing-{number}")
+        landed = X.landed_pages(spark, sf_dir, only=number)
+        landed.select("page").write.option("maxRecordsPerFile", 100_000).text(f"{folder}/pages/landing-{number}", compression="gzip")
         version = loads.load(spark, f"{folder}/pages", f"{folder}/table", buckets=16)
     rows = loads.loaded(version, L.CASE_PROCESS, L.REQUESTED_STATUS)
     number = F.regexp_extract(records.LANDED_FILE, "landing-([0-9]+)", 1).cast("int").alias("landing")

@@ -9,6 +9,7 @@ records of known cases lose by their time, those without an instance id go with
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass
 
@@ -18,7 +19,9 @@ from workpulse import schemas
 from workpulse.snapshots import Snapshots, Version
 from workpulse.sources import records
 
-BUCKET = "bucket"
+BUCKET, SLICE, ENDED = "bucket", "slice", "endedText"
+# Rows that a task sorts in memory; larger buckets are merged in slices, a file each.
+ROWS_A_TASK = 150_000
 CASES, FILES = "cases", "files"
 
 
@@ -42,14 +45,30 @@ def listed(spark: SparkSession, path) -> DataFrame:
 
 
 def _flat(texts: DataFrame, landed: Landed, on_lost) -> DataFrame:
-    """Flat records, each case once, of all processes and states: a case that left the states asked for must not come back with an older landing."""
-    rows = records.last_landings(records.sound_records(texts, landed.schema, on_lost))
+    """Flat records of all processes and states: a case that left the states asked for must not come back with an older landing.
+
+    The end as it was landed stays beside, in ``endedText``: records of one file are ordered by it.
+    """
+    rows = records.sound_records(texts, landed.schema, on_lost).withColumn(ENDED, F.col("endDate"))
     return records.with_times(records.flatten(rows, landed.fields, rest=True))
 
 
+def _once(fresh: DataFrame) -> tuple[DataFrame, list[int], int]:
+    """Fresh rows with each case once, the buckets they lie in, and how many rows there are.
+
+    Whether a case is there twice is asked of the ids alone; whole rows are grouped only if one is.
+    """
+    seen = fresh.groupBy(BUCKET, *records.CASE_KEYS).agg(F.count(F.lit(1)).alias("n"))
+    again = F.max(F.when(F.col("processInstanceId").isNotNull(), F.col("n"))) > 1
+    held = seen.groupBy(BUCKET).agg(F.sum("n").alias("rows"), again.alias("again")).collect()  # no more than there are buckets
+    if any(row["again"] for row in held):
+        fresh = records.last_landings(fresh, end=ENDED)
+    return fresh.drop(ENDED), [row[BUCKET] for row in held], sum(row["rows"] for row in held)
+
+
 def _nothing_landed(spark, landed: Landed) -> DataFrame:
     pages = spark.createDataFrame([], f"page string, {records.LANDED_AT} timestamp, {records.LANDED_FILE} string")
-    return _flat(records.unwrap(pages, landed.list_name), landed, "raise")
+    return _flat(records.unwrap(pages, landed.list_name), landed, "raise").drop(ENDED)
 
 
 def _with_bucket(rows: DataFrame, buckets: int) -> DataFrame:
@@ -64,10 +83,16 @@ def _still_there(rows: DataFrame, new: DataFrame) -> DataFrame:
     return rows.where("processInstanceId is not null").unionByName(unknown)
 
 
-def _merged(rows: DataFrame, tasks: int) -> DataFrame:
-    """Each case of each bucket once, as landed last. One shuffle by bucket does for the grouping and for the files."""
-    dealt = rows.repartition(max(1, tasks), BUCKET)
-    return records.last_landings(dealt, (BUCKET, *records.CASE_KEYS)).sortWithinPartitions(BUCKET, "processInstanceId")
+def _merged(rows: DataFrame, tasks: int, slices=1) -> DataFrame:
+    """Each case of each bucket once, as landed last. One shuffle by bucket, and slice of it by a hash of the case, does for the grouping and for the files.
+
+    Marks are MD5 in hexadecimal, which no shuffle compresses well; they travel as bytes, whose order is the same.
+    """
+    key = F.coalesce("processInstanceId", records.LANDED_MARK)
+    rows = rows.withColumn(SLICE, F.pmod(F.hash("processId", key), F.lit(slices)))
+    dealt = rows.withColumn(records.LANDED_MARK, F.unhex(records.LANDED_MARK)).repartition(max(1, tasks) * slices, BUCKET, SLICE)
+    last = records.last_landings(dealt, (BUCKET, SLICE, *records.CASE_KEYS)).drop(SLICE).sortWithinPartitions(BUCKET, "processInstanceId")
+    return last.withColumn(records.LANDED_MARK, F.lower(F.hex(records.LANDED_MARK)))
 
 
 def _parts_by_bucket(version: Version | None) -> dict[int, str]:
@@ -77,7 +102,7 @@ def _parts_by_bucket(version: Version | None) -> dict[int, str]:
 def load(spark: SparkSession, source, root, landed: Landed = CASE_PAGES, buckets=256, on_lost="raise", clock=time.time, **layout) -> Version:
     """Read the files below ``source`` that no load has read before and bring the table below ``root`` up to date.
 
-    ``buckets`` holds from the first load on; a bucket is to be what one task can sort. ``facts`` of the version tell how many files the load read
+    ``buckets`` holds from the first load on; a bucket of many rows is merged in slices, and written as a file each. ``facts`` of the version tell how many files the load read
     and how many buckets it wrote. With no new file nothing is published. `Conflict` is raised if another load was faster.
     """
     tables = Snapshots(spark, root, clock)
@@ -95,13 +120,15 @@ def load(spark: SparkSession, source, root, landed: Landed = CASE_PAGES, buckets
         texts = records.read_records(spark, paths, landed.list_name, placed=True, **layout)
         fresh = _with_bucket(_flat(texts, landed, on_lost), buckets)
         # Written, since the buckets are asked for before the merge: the pages are parsed once.
-        fresh.write.parquet(store.path(draft.folder("fresh")))
+        fresh.write.option("compression", "zstd").parquet(store.path(draft.folder("fresh")))
         fresh = spark.read.schema(fresh.schema).parquet(store.path(draft.folder("fresh")))
-        touched = [row[0] for row in fresh.select(BUCKET).distinct().collect()]  # no more than there are buckets
-        rows = fresh
+        rows, touched, total = _once(fresh)
         if before := [store.path(lying[b]) for b in touched if b in lying]:
-            rows = fresh.unionByName(_with_bucket(_still_there(spark.read.schema(schema).parquet(*before), new), buckets))
-        _merged(rows, len(touched)).write.partitionBy(BUCKET).parquet(store.path(draft.folder(CASES)))
+            held = spark.read.schema(schema).parquet(*before)
+            total += held.count()  # the files' footers tell
+            rows = rows.unionByName(_with_bucket(_still_there(held, new), buckets))
+        slices = max(1, math.ceil(total / max(1, len(touched)) / ROWS_A_TASK))
+        _merged(rows, len(touched), slices).write.partitionBy(BUCKET).option("compression", "zstd").parquet(store.path(draft.folder(CASES)))
         store.delete(draft.folder("fresh"))
         written = [name for name in store.names(draft.folder(CASES)) if name.startswith(f"{BUCKET}=")]
         lying = {b: part for b, part in lying.items() if b not in set(touched)}

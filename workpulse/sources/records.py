@@ -163,14 +163,14 @@ def undeclared_columns(records: DataFrame, schema: StructType) -> DataFrame:
     return whole.where(~F.col("field").isin(schema.names)).groupBy("field").agg(F.count(F.lit(1)).alias("records"))
 
 
-def last_landings(rows: DataFrame, keys=CASE_KEYS) -> DataFrame:
+def last_landings(rows: DataFrame, keys=CASE_KEYS, end="endDate") -> DataFrame:
     """Of each case the record that was landed last, as the service gives each case once whenever it is asked.
 
     Of records landed at the same time that of the greatest file name counts; within a file an ended one before an open one, then the
     greatest end and mark. A record without an instance id cannot be told from others and stays. Each task sends one record
     a case to the shuffle, so a case that is landed very often is no hot key.
     """
-    order = F.struct(LANDED_AT, LANDED_FILE, "endDate", LANDED_MARK)
+    order = F.struct(LANDED_AT, LANDED_FILE, end, LANDED_MARK)
     apart = F.when(F.col("processInstanceId").isNull(), F.monotonically_increasing_id())
     keyed = rows.withColumns({f"_key_{i}": F.col(name) for i, name in enumerate(keys)} | {"_apart": apart})
     last = keyed.groupBy(*[f"_key_{i}" for i in range(len(keys))], "_apart").agg(F.max_by(F.struct(*rows.columns), order).alias("last"))
