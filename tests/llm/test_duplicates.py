@@ -231,6 +231,30 @@ def test_repeats_of_cut_and_pasted_texts(docs):
     _check_repeats(docs, rows)
 
 
+@pytest.mark.parametrize("starts", [500, 1111])
+def test_repeats_of_texts_longer_than_a_piece(docs, monkeypatch, starts):
+    """Long texts are worked on in pieces; strings that lie across two of them are found as well."""
+    monkeypatch.setattr(repeats, "STARTS", starts)
+    monkeypatch.setattr(repeats, "ENTRIES", 3)
+    rng = random.Random(8)
+    base = [_letters(rng, 2500) for _ in range(2)]
+    rows = []
+    for k in range(30):
+        a, b = sorted(rng.randrange(2500) for _ in range(2))
+        rows.append((k, _letters(rng, rng.randint(0, 900)) + rng.choice(base)[a:b] + _letters(rng, 30) + rng.choice(base)))
+    rows += [(30, base[0]), (30, base[0]), (31, "a" * 3000), (32, _letters(rng, starts)), (33, _letters(rng, starts + 399)), (34, base[1][:starts] + base[1][:starts])]
+    _check_repeats(docs, rows)
+
+
+def test_a_piece_of_a_long_text_is_no_longer_than_its_strings_need():
+    text = _letters(random.Random(9), 10_000)
+    found = list(repeats.pieces(pa.array(["short", None, text, "b" * 399]), 1000))
+    assert max(len(data) for _, _, data, _ in found) == 1000 + repeats.LENGTH - 1
+    held = [begin + s for i, begin, data, _ in found if i == 2 and len(data) >= repeats.LENGTH for s in range(len(data) - repeats.LENGTH + 1)]
+    assert held == list(range(10_000 - repeats.LENGTH + 1))
+    assert all(data.tobytes() == text[begin : begin + len(data)].encode() for i, begin, data, _ in found if i == 2)
+
+
 def test_clean_texts_stay_whole(docs):
     rng = random.Random(7)
     rows = [(k, _letters(rng, 1500)) for k in range(40)]
