@@ -302,6 +302,69 @@ def test_bounds_are_bounds():
                 assert (block.highest(block.squares[q], block.far[q], block.inside[q], block.left[q]) >= v @ v[q]).all()
 
 
+def test_copies_of_query_blocks_are_not_broadcast(spark, monkeypatch):
+    """Every block of queries goes to many blocks of rows; a small table of queries must not be sent whole, so multiplied, through the driver."""
+    monkeypatch.setattr(topk, "ROWS", 64)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    rng = np.random.default_rng(4)
+    frame = spark.createDataFrame([(i, rng.normal(size=8).tolist(), 1, 2, 3) for i in range(700)], VECTORS)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        out = topk.top_k(frame, 5, 20)
+        assert len(out.collect()) == 35 * 5
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "Broadcast" not in plan
+
+
+def test_search_with_rows_in_lines_and_queries_in_columns(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 64)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    lines, columns = topk._grid(600, 600, 1000, 4 * spark.sparkContext.defaultParallelism)
+    assert lines > 1 and columns > 1
+    rng = np.random.default_rng(5)
+    for big in (1.0, 300.0, 1e9):  # single floats, doubles, whole numbers without limit
+        rows = [(i % 450, (big * rng.integers(-2, 3, size=6)).tolist()) for i in range(600)]
+        _check_search(spark, rows, every=1)
+
+
+def test_copies_stay_in_proportion():
+    """Rows and queries that the grid copies, against the vectors; no line is over what a task holds."""
+    for count in (2_000, 50_000, 600_000, 15_000_000):
+        for asked in (1, count // 50, count):
+            for tasks in (8, 24, 4000):
+                lines, columns = topk._grid(count, asked, 130_000, tasks)
+                assert count <= lines * 130_000
+                assert lines * columns >= min(tasks, count * asked // (topk.ROWS * topk.QUERIES), 16 * count // asked)
+                least = asked * -(-count // 130_000)  # lines are needed that a task can hold
+                assert count * columns + asked * lines <= count * (topk.COPIES + 2) + least
+
+
+def test_tiles_give_what_brute_force_gives(monkeypatch):
+    monkeypatch.setattr(topk, "STRIP", 7)
+    monkeypatch.setattr(topk, "TILE", 50)
+    monkeypatch.setattr(topk, "RUN", 16)
+    rng = np.random.default_rng(6)
+    for kind, big in ((np.float32, 30), (np.float64, 10**5)):
+        for dense in (1, 32):
+            monkeypatch.setattr(topk, "DENSE", dense)
+            v = np.floor(rng.normal(size=(400, 10)) * big)
+            v[100:180], v[180:260] = v[100], 0  # many ties
+            ids = rng.permutation(np.concatenate([np.arange(300), np.arange(100)]))
+            pivots = topk.Pivots(v[:100])
+            block = lambda at: topk.Block(ids[at], v[at], pivots.table(v[at]), pivots)  # noqa: B023, E731
+            asked = np.unique(ids, return_index=True)[1][::9]
+            assert topk._kind((v * v).sum(1).max()) is kind
+            rows, queries = topk.Slab([block(slice(i, i + 70)) for i in range(0, 400, 70)], kind), topk.Slab([block(asked)], kind)
+            scores, owners = queries.nothing(6)
+            rows.search(queries, scores, owners)
+            for q, own, found, of in zip(ids[asked], v[asked], scores[np.argsort(np.argsort(ids[asked]))], owners[np.argsort(np.argsort(ids[asked]))], strict=True):
+                expected = sorted((-int(own @ x), int(i)) for i, x in zip(ids, v, strict=True) if i != q)[:6]
+                assert [(-int(s), int(i)) for s, i in zip(found, of, strict=True)] == expected
+
+
 def test_search_of_little(spark):
     _check_search(spark, [])
     _check_search(spark, [(1, [1.0])])
